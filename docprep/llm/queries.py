@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+import public_tokenizers
+
+from . import bpe, lines, packing, simhash, substring
 from .common import table
 
 
+def op2_line_dedup(spark, sf_dir):
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark, sf_dir):
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op5_length_buckets(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -14,11 +29,13 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_substring_dedup, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_length_buckets, op7_substring_dedup, op8_simhash_near_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
+    "op2_line_dedup": lines.ORACLE_SQL,
+    "op5_length_buckets": packing.oracle_sql(),
     "op7_substring_dedup": rf"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS seq
