@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, lines, packing, simhash, substring
+from . import bpe, line_rules, lines, packing, simhash, substring, url_rules
 from .common import table
 
 
@@ -29,13 +29,22 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_length_buckets, op7_substring_dedup, op8_simhash_near_dedup)}
+def op9_quality_rules(spark, sf_dir):
+    return line_rules.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_url_rules(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_length_buckets, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_url_rules)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL = {
     "op2_line_dedup": lines.ORACLE_SQL,
     "op5_length_buckets": packing.oracle_sql(),
+    "op9_quality_rules": line_rules.ORACLE_SQL,
     "op7_substring_dedup": rf"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS seq
