@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, line_rules, lines, packing, simhash, substring, url_rules
+from . import bpe, langid, line_rules, lines, packing, simhash, substring, url_rules
 from .common import table
 
 
+def op1_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark, sf_dir):
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op5_length_buckets, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op5_length_buckets, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_url_rules)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
