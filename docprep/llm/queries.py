@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
-from . import bpe, langid, line_rules, lines, packing, simhash, substring, url_rules
+from . import ann, bpe, cotraining, langid, line_rules, lines, packing, simhash, substring, url_rules
 from .common import table
 
 
@@ -21,10 +22,18 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_length_buckets(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -41,7 +50,7 @@ def op10_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op5_length_buckets, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_quality_classifier, op5_length_buckets, op6_nearest_neighbours, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_url_rules)} | {"pipeline": corpus_pipeline.run}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

@@ -17,21 +17,18 @@ documents costs a range one entry a group.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row_key
 from .wordhash import Batch, batches, hash_windows, mix
 
 WINDOW = 13
 ANCHOR_WORDS = 6
 #: Bytes of text in a group of documents; there are as many hash ranges as groups.
 GROUP_BYTES = 4 << 20
-_U64, _I64 = np.dtype("<u8"), np.dtype("<i8")
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -69,8 +66,12 @@ def _split(g: int, n_ranges: int, h: np.ndarray, *columns: np.ndarray) -> list[t
     return [(r, g, _pack(*(c[lo:hi] for c in (h, *columns)))) for r, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
 
 
-def _ordered(group: pd.DataFrame) -> pd.DataFrame:
-    return group.sort_values(["id", "th"], na_position="first", kind="stable").reset_index(drop=True)
+def _frame(group: pa.Table) -> pd.DataFrame:
+    return pd.DataFrame({"id": group["id"].to_numpy(), "th": group["th"].to_numpy(), "text": group["text"].to_pylist()})
+
+
+def _ordered(group: pa.Table) -> pa.Table:
+    return group.take(pa.array(np.lexsort((group["th"].to_numpy(), group["id"].to_numpy()))))
 
 
 def _anchor_rows(group: pd.DataFrame, g: int, n_ranges: int, k: int) -> list[tuple[int, int, bytes]]:
@@ -180,68 +181,102 @@ def _sources(group: pd.DataFrame, replies: list[bytes], k: int):
         yield b, at[later], best[later], where[later]
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, finish, schema: str) -> DataFrame:
-    """finish(group rows, packed replies) for every group, after both exchanges."""
-    rows = with_row_key(docs, id_col, text_col).withColumnsRenamed({"__id": "id", "__th": "th", "__text": "text"})
+_PACKED = pa.schema([("r", pa.int32()), ("g", pa.int32()), ("packed", pa.binary())])
+#: Stands for a null id: before all others, and never smaller than itself.
+_NO_ID = -(1 << 63)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, finish, schema: str, carry: bool = False) -> DataFrame:
+    """finish(rows, table, packed replies) for every group of documents, after both exchanges.
+
+    `table` has the columns of docs as c0, c1, .. if `carry`, in the order of `rows`.
+    """
+    text = F.col(text_col)
+    own = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))), text]
+    rows = docs.select(*[F.coalesce(own[0], F.lit(_NO_ID)).alias("id"), own[1].alias("th"), own[2].alias("text")], *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if carry and c != text_col])
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // GROUP_BYTES))
-    #: Null ids come first, as the smallest id, but never count as smaller than one another.
-    lowest = -(1 << 63)
-    dealt = rows.withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(lowest))).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "g")
-    packed = "r int, g int, packed binary"
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "g")
 
-    def anchors(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_anchor_rows(group, int(group.g.iloc[0]), n, k), columns=["r", "g", "packed"])
+    def packed(found: list[tuple[int, int, bytes]]) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(c, type=kind) for c, kind in zip(zip(*found, strict=True), _PACKED.types, strict=True)] if found else [pa.array([], type=x) for x in _PACKED.types], schema=_PACKED)
 
-    def edges(group: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        group = _ordered(group)
-        return pd.DataFrame(_edge_rows(group, list(shared.packed), int(group.g.iloc[0]), n, k) if len(group) else [], columns=["r", "g", "packed"])
+    def anchors(group: pa.Table) -> pa.Table:
+        return packed(_anchor_rows(_frame(group), group["g"][0].as_py(), n, k))
 
-    def last(group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        return finish(_ordered(group), list(replies.packed))
+    def edges(group: pa.Table, shared: pa.Table) -> pa.Table:
+        return packed(_edge_rows(_frame(_ordered(group)), shared["packed"].to_pylist(), group["g"][0].as_py(), n, k) if len(group) else [])
 
-    by = dealt.groupBy("g")
-    shared = by.applyInPandas(anchors, packed).groupBy("r").applyInPandas(_shared_anchors, "g int, packed binary")
-    wide = by.cogroup(shared.groupBy("g")).applyInPandas(edges, packed)
+    def last(group: pa.Table, replies: pa.Table) -> pa.Table:
+        group = _ordered(group)
+        return finish(_frame(group), group, replies["packed"].to_pylist())
+
+    by, kinds = dealt.groupBy("g"), "r int, g int, packed binary"
+    shared = by.applyInArrow(anchors, kinds).groupBy("r").applyInPandas(_shared_anchors, "g int, packed binary")
+    wide = by.cogroup(shared.groupBy("g")).applyInArrow(edges, kinds)
     replies = wide.groupBy("r").applyInPandas(_first_sources, "g int, packed binary")
-    return by.cogroup(replies.groupBy("g")).applyInPandas(last, schema)
+    return by.cogroup(replies.groupBy("g")).applyInArrow(last, schema)
+
+
+def _kept(rows: pd.DataFrame, replies: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, removed words and the remaining words joined by one space, of each row."""
+    n_words, n_removed, kept = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64), [""] * len(rows)
+    for b, at, _, _ in _sources(rows, replies, k):
+        gone = b.covered(at, k)
+        data, starts, ends = b.data.tobytes(), b.starts.tolist(), b.ends.tolist()
+        total = np.concatenate([[0], np.cumsum(gone)])
+        for t, row in enumerate(b.rows):
+            lo, hi = int(b.first_word[t]), int(b.first_word[t + 1])
+            n_words[row], n_removed[row] = hi - lo, total[hi] - total[lo]
+            if n_removed[row]:
+                stay = np.flatnonzero(~gone[lo:hi]) + lo
+                kept[row] = b" ".join([data[starts[i] : ends[i]] for i in stay.tolist()]).decode("utf-8", "surrogatepass")
+            elif hi > lo:
+                kept[row] = b" ".join(data[starts[lo] : ends[hi - 1]].split()).decode("utf-8", "surrogatepass")
+    return n_words, n_removed, kept
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
-    """`__id`, `__th`, `n_words`, `n_removed`, `kept` (remaining words joined by one space) for every row.
+    """`<id>`, `n_words`, `n_removed`, `kept` (remaining words joined by one space) for every row.
 
     A word goes if a window of k words around it also starts in a document with a smaller id. Null text has no words.
     Rows that share an id, repeated rows among them, are one document for that rule: neither is smaller. Null ids
     come before all others. Texts under k words stay whole. Other columns are not read.
     """
 
-    def finish(group: pd.DataFrame, replies: list[bytes]) -> pd.DataFrame:
-        n_words, n_removed, kept = np.zeros(len(group), dtype=np.int64), np.zeros(len(group), dtype=np.int64), [""] * len(group)
-        for b, at, _, _ in _sources(group, replies, k):
-            gone = b.covered(at, k)
-            data, starts, ends = b.data.tobytes(), b.starts.tolist(), b.ends.tolist()
-            total = np.concatenate([[0], np.cumsum(gone)])
-            for t, row in enumerate(b.rows):
-                lo, hi = int(b.first_word[t]), int(b.first_word[t + 1])
-                n_words[row], n_removed[row] = hi - lo, total[hi] - total[lo]
-                if n_removed[row]:
-                    stay = np.flatnonzero(~gone[lo:hi]) + lo
-                    kept[row] = b" ".join([data[starts[i] : ends[i]] for i in stay.tolist()]).decode("utf-8", "surrogatepass")
-                elif hi > lo:
-                    kept[row] = b" ".join(data[starts[lo] : ends[hi - 1]].split()).decode("utf-8", "surrogatepass")
-        return pd.DataFrame({"__id": group.id, "__th": group.th, "n_words": n_words, "n_removed": n_removed, "kept": kept})
-
-    out = _grouped(docs, id_col, text_col, k, finish, "__id long, __th long, n_words long, n_removed long, kept string")
-    return out.withColumn("__id", F.nullif("__id", F.lit(-(1 << 63))))
+    def finish(rows: pd.DataFrame, _: pa.Table, replies: list[bytes]) -> pa.Table:
+        n_words, n_removed, kept = _kept(rows, replies, k)
+        return pa.table({"id": rows.id.to_numpy(), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, type=pa.string())})
+
+    out = _grouped(docs, id_col, text_col, k, finish, "id long, n_words long, n_removed long, kept string")
+    return out.select(F.nullif("id", F.lit(_NO_ID)).alias(id_col), "n_words", "n_removed", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
+    """`docs` with the kept words as text. A text that loses nothing keeps its white space; a row that loses all its
+    words goes; rows and other columns stay as they are otherwise."""
+    names = [f"c{i}" for i, c in enumerate(docs.columns) if c != text_col]
+
+    def finish(rows: pd.DataFrame, table: pa.Table, replies: list[bytes]) -> pa.Table:
+        n_words, n_removed, kept = _kept(rows, replies, k)
+        text = [new if lost else old for new, old, lost in zip(kept, rows.text, n_removed, strict=True)]
+        stay = pa.array((n_removed == 0) | (n_removed < n_words))
+        return table.select(names).append_column("text", pa.array(text, type=pa.string())).filter(stay)
+
+    fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema) if f.name != text_col]
+    out = _grouped(docs, id_col, text_col, k, finish, ", ".join([*fields, "text string"]), carry=True)
+    return out.select(*[F.col("text" if c == text_col else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
     """Compacted paths: `<id>`, `first_word`, `n_words`, `source_id`, `source_word`, one row for each maximal run of
     repeated windows that follow one another both in the document and at their first source."""
 
-    def finish(group: pd.DataFrame, replies: list[bytes]) -> pd.DataFrame:
-        rows = []
-        for b, at, source, word in _sources(group, replies, k):
+    names = [id_col, "first_word", "n_words", "source_id", "source_word"]
+
+    def finish(rows: pd.DataFrame, _: pa.Table, replies: list[bytes]) -> pa.Table:
+        found = []
+        for b, at, source, word in _sources(rows, replies, k):
             if not len(at):
                 continue
             new = np.ones(len(at), dtype=bool)
@@ -249,21 +284,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             head = np.flatnonzero(new)
             length = np.diff(np.append(head, len(at))) + k - 1
             doc = b.doc[at[head]]
-            rows.append(pd.DataFrame({id_col: group.id.to_numpy()[np.asarray(b.rows)[doc]], "first_word": at[head] - b.first_word[doc], "n_words": length, "source_id": source[head], "source_word": word[head]}))
-        return pd.concat(rows) if rows else pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in (id_col, "first_word", "n_words", "source_id", "source_word")})
+            found.append((rows.id.to_numpy()[np.asarray(b.rows)[doc]], at[head] - b.first_word[doc], length, source[head], word[head]))
+        columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)] if found else [np.zeros(0, dtype=np.int64)] * 5
+        return pa.table(dict(zip(names, columns, strict=True)))
 
-    return _grouped(docs, id_col, text_col, k, finish, f"`{id_col}` long, first_word long, n_words long, source_id long, source_word long")
+    out = _grouped(docs, id_col, text_col, k, finish, ", ".join(f"`{c}` long" for c in names))
+    return out.withColumns({c: F.nullif(c, F.lit(_NO_ID)) for c in (id_col, "source_id")})
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
     done = deduplicate(docs, id_col, text_col, k)
-    return done.select(F.col("__id").alias(id_col), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
-    """`docs` with the kept words as text. A text that loses nothing keeps its white space; a row that loses all its
-    words goes."""
-    done = deduplicate(docs, id_col, text_col, k).where("n_removed > 0").select("__id", "__th", "n_words", "n_removed", "kept").distinct()
-    same = docs[id_col].eqNullSafe(done["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == done["__th"])
-    joined = docs.join(done, same, "left").where(F.col("n_removed").isNull() | (F.col("n_removed") < F.col("n_words")))
-    return joined.select(*[F.coalesce(done["kept"], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return done.select(id_col, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
