@@ -68,7 +68,7 @@ def encode_text(text: Column, vocabulary: Vocabulary) -> Column:
         ids = [encode(t, disallowed_special=()) if t else np.zeros(0, dtype=np.uint32) for t in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         values = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int32)))
 
     return run(text)
 
