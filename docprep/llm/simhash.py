@@ -104,16 +104,15 @@ def _dense_links(slots: DataFrame, probes: DataFrame, dense: DataFrame, max_dist
     )
     pick = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    table = slots.join(sized, "slot").select("slot", "fp", pick("tb").alias("t"), span("pb").alias("p"))
-    search = probes.join(sized, "slot").select("slot", "fp", pick("pb").alias("p"), span("tb").alias("t"))
+    table = slots.join(sized, "slot").select("slot", F.col("fp").alias("right"), pick("tb").alias("t"), span("pb").alias("p"))
+    search = probes.join(sized, "slot").select(F.col("slot").alias("s"), F.col("fp").alias("left"), pick("pb").alias("u"), span("tb").alias("v"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, right = a.fp.unique().astype("int64").view("uint64"), b.fp.unique().astype("int64").view("uint64")
+        left, right = a.left.unique().astype("int64").view("uint64"), b.right.unique().astype("int64").view("uint64")
         links = np.array(_forest(left, right, max_distance), dtype="uint64").reshape(-1, 2).view("int64")
         return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
-    keys = ["slot", "t", "p"]
-    return search.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInPandas(run, "a long, b long")
+    return search.groupBy("s", "v", "u").cogroup(table.groupBy("slot", "t", "p")).applyInPandas(run, "a long, b long")
 
 
 def links(fingerprints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
