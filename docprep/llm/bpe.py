@@ -97,7 +97,7 @@ def decode_ids(ids: Column, vocabulary: Vocabulary) -> Column:
 
 
 def _boundaries(chunk: Column, more: Column, pattern: str, size: int, overlap: int) -> Column:
-    """`head`: starts of pre-tokens within the first `overlap` characters; `tail`: those within the `overlap` characters
+    """`head`: starts of pre-tokens, but for those after white space, within the first `overlap` characters; `tail`: those within the `overlap` characters
     after `size`, counted from there."""
     ints = T.ArrayType(T.IntegerType(), False)
 
@@ -109,6 +109,8 @@ def _boundaries(chunk: Column, more: Column, pattern: str, size: int, overlap: i
             last = len(text) - CUT_MARGIN if more_follows else len(text)
             at = np.fromiter((m.start() for m in scan(text)), dtype=np.int32)
             at = at[at <= last]
+            # a run of white space is split by what follows it, so no piece may end in one
+            at = at[[s == 0 or not text[s - 1].isspace() for s in at.tolist()]]
             heads.append(at[at < overlap])
             tails.append(at[at >= size] - size)
         return pa.StructArray.from_arrays([pa.array(heads, type=pa.list_(pa.int32())), pa.array(tails, type=pa.list_(pa.int32()))], names=["head", "tail"])
