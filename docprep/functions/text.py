@@ -14,6 +14,11 @@ HAN = "一-鿿"
 MARK = "\u0001\u0002"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; inside lambdas Spark would compute it at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(F.regexp_replace(c, f"^{WS}+", ""), f"{WS}+\\z", "")
@@ -40,12 +45,11 @@ def split_sentences(c: Column, mode: str = "reference") -> Column:
     """
     if mode == "lossless":
         cut = F.split(F.regexp_replace(c, f"({END}+{CLOSE}?{WS}*)", f"$1{MARK}"), MARK, -1)
-        return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(1)))).otherwise(cut)
+        return let(cut, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(1)))).otherwise(x))
     if mode != "reference":
         raise ValueError(f"mode {mode!r}: reference or lossless")
     marked = F.regexp_replace(F.regexp_replace(c, f"^{END}+", ""), f"({END}+{CLOSE}?{WS}*){END}*", f"$1{MARK}")
-    cut = F.split(marked, MARK, -1)
-    return F.when(F.size(cut) > 1, F.slice(cut, 1, F.size(cut) - 1)).otherwise(F.array(c))
+    return let(F.split(marked, MARK, -1), lambda x: F.when(F.size(x) > 1, F.slice(x, 1, F.size(x) - 1)).otherwise(F.array(c)))
 
 
 def strip_images(c: Column) -> Column:

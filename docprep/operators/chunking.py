@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docprep.functions.text import split_paragraphs, split_sections, split_sentences, trim_ws
+from docprep.functions.text import let, split_paragraphs, split_sections, split_sentences, trim_ws
 
 MAX_CHARS = 3500
 
 
 def _pieces(md: Column, limit: int, mode: str) -> Column:
-    """Array of (text, kind S, P or N, opens): `opens` where the size test of an enclosing long part has fired."""
+    """Array of (text, size, nl: ends in a line break, kind S, P or N, opens: the size test of an enclosing long part has fired)."""
 
     def piece(text: Column, kind: str, opens: Column) -> Column:
-        return F.struct(text.alias("text"), F.lit(kind).alias("kind"), opens.alias("opens"))
+        return F.struct(text.alias("text"), F.char_length(text).alias("size"), text.endswith("\n").alias("nl"), F.lit(kind).alias("kind"), opens.alias("opens"))
 
     def paragraph(p: Column, at: Column) -> Column:
         cut = F.transform(split_sentences(p, mode), lambda s, i: piece(s, "N", i == 0))
@@ -32,28 +32,32 @@ def _starts(pieces: Column, limit: int) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("nl"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
-        size = F.char_length(x["text"])
-        flush = (acc["n"] > 0) & (x["opens"] | (acc["n"] + size > limit))
+        flush = (acc["n"] > 0) & (x["opens"] | (acc["n"] + x["size"] > limit))
         n = F.when(flush, 0).otherwise(acc["n"])
         sep = F.when((n == 0) | (x["kind"] == "N"), 0).when(x["kind"] == "P", 2).when(acc["nl"], 0).otherwise(1)
-        ends = F.when(size > 0, x["text"].endswith("\n")).when(sep > 0, F.lit(True)).otherwise(acc["nl"] & (n > 0))
+        ends = F.when(x["size"] > 0, x["nl"]).when(sep > 0, F.lit(True)).otherwise(acc["nl"] & (n > 0))
         at = F.when(flush, F.concat(acc["at"], F.array(acc["i"]))).otherwise(acc["at"])
-        return F.struct((n + sep + size).alias("n"), ends.alias("nl"), (acc["i"] + 1).alias("i"), at.alias("at"))
+        return F.struct((n + sep + x["size"]).alias("n"), ends.alias("nl"), (acc["i"] + 1).alias("i"), at.alias("at"))
 
     return F.aggregate(pieces, start, step, lambda acc: acc["at"])
 
 
 def _text(part: Column) -> Column:
     """A chunk from its pieces; leading empty pieces add no separator."""
-    first = F.array_position(F.transform(part, lambda x: x["text"] != ""), F.lit(True)) - 1
 
-    def joined(x: Column, i: Column) -> Column:
-        before = F.get(part, i - 1)["text"]
-        bare = (first < 0) | (i <= first) | (x["kind"] == "N")
-        sep = F.when(bare, "").when(x["kind"] == "P", "\n\n").when((before == "") | before.endswith("\n"), "").otherwise("\n")
-        return F.concat(sep, x["text"])
+    def joined(part: Column, first: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.get(part, i - 1)
+            sep = F.when((i <= first) | (x["kind"] == "N"), "").when(x["kind"] == "P", "\n\n").when((before["size"] == 0) | before["nl"], "").otherwise("\n")
+            return F.concat(sep, x["text"])
 
-    return trim_ws(F.array_join(F.transform(part, joined), ""))
+        return F.array_join(F.transform(part, one), "")
+
+    def empty_ahead(part: Column) -> Column:
+        at = F.array_position(F.transform(part, lambda x: x["size"] > 0), F.lit(True))
+        return F.when(at == 0, F.size(part)).otherwise(at - 1)
+
+    return trim_ws(let(part, lambda p: let(empty_ahead(p), lambda first: joined(p, first))))
 
 
 def chunk_documents(docs: DataFrame, limit: int = MAX_CHARS, mode: str = "reference", id_col: str = "doc_id", md_col: str = "markdown") -> DataFrame:
