@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 #: White space as ECMAScript defines it, sentence ends, closing quotes.
 WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 END = "[.!?。！？]"
 CLOSE = "[\"'」』]"
 HAN = "一-鿿"
-#: Between the pieces of a text while it is split; no text holds it.
-MARK = "\u0001\u0002"
+#: Between the pieces of a text while it is split: a code point that Unicode keeps free of characters.
+MARK = "\ufdd0"
 
 
 def let(value: Column, body) -> Column:
@@ -21,7 +22,7 @@ def let(value: Column, body) -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}+", ""), f"{WS}+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def nonspace_len(c: Column) -> Column:
@@ -48,7 +49,7 @@ def split_sentences(c: Column, mode: str = "reference") -> Column:
         return let(cut, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(1)))).otherwise(x))
     if mode != "reference":
         raise ValueError(f"mode {mode!r}: reference or lossless")
-    marked = F.regexp_replace(F.regexp_replace(c, f"^{END}+", ""), f"({END}+{CLOSE}?{WS}*){END}*", f"$1{MARK}")
+    marked = F.regexp_replace(F.ltrim(c, F.lit(END.strip("[]"))), f"({END}+{CLOSE}?{WS}*){END}*", f"$1{MARK}")
     return let(F.split(marked, MARK, -1), lambda x: F.when(F.size(x) > 1, F.slice(x, 1, F.size(x) - 1)).otherwise(F.array(c)))
 
 

@@ -66,12 +66,19 @@ def chunk_documents(docs: DataFrame, limit: int = MAX_CHARS, mode: str = "refere
     No shuffle and no Python: a document is one array of pieces and one fold over their lengths. Null and blank texts
     have no chunk. A piece over the limit is a chunk of its own; separators are not counted.
     """
-    pieces = docs.select(F.col(id_col).alias("id"), F.explode(F.array(_pieces(F.col(md_col), limit, mode))).alias("pieces")).where("pieces IS NOT NULL")
-    packed = pieces.select("id", "pieces", _starts(F.col("pieces"), limit).alias("at"))
-    spans = packed.select("id", "pieces", F.size("at").alias("n"), F.size("pieces").alias("size"), F.posexplode("at").alias("chunk_no", "lo"), "at")
-    upto = F.coalesce(F.get("at", F.col("chunk_no") + 1), F.col("size"))
-    texts = spans.select("id", "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), _text(F.slice("pieces", F.col("lo") + 1, upto - F.col("lo"))).alias("source_text"))
-    return texts.where(~F.col("last") | (F.col("source_text") != "")).select(F.col("id").alias(id_col), "chunk_no", "source_text", F.char_length("source_text").alias("n_chars"))
+    # outer generators: for the others Spark infers a filter on the array, which would build it twice
+    pieces = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.array(_pieces(F.col(md_col), limit, mode))).alias("pieces"))
+    packed = pieces.select("id", F.posexplode_outer(let(_starts(F.col("pieces"), limit), lambda at: _texts(F.col("pieces"), at))).alias("chunk_no", "source_text"))
+    return packed.where("source_text IS NOT NULL").select(F.col("id").alias(id_col), "chunk_no", "source_text", F.char_length("source_text").alias("n_chars"))
+
+
+def _texts(pieces: Column, at: Column) -> Column:
+    """The chunks that start at `at`, without a blank last one."""
+
+    def one(lo: Column, i: Column) -> Column:
+        return _text(F.slice(pieces, lo + 1, F.coalesce(F.get(at, i + 1), F.size(pieces)) - lo))
+
+    return let(F.transform(at, one), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def chunk_off(docs: DataFrame, id_col: str = "doc_id", md_col: str = "markdown") -> DataFrame:

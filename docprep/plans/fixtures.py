@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docprep.sources.folders import dealt_out
+
 #: Expressions that Spark and DuckDB read alike.
 NL = "chr(10)"
 REPLY_TEXT = "replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
@@ -28,7 +30,7 @@ ANALYSIS = "CASE doc_id % 4 WHEN 0 THEN '【術語表】：' || chr(10) || '- al
 
 
 def _table(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.read.parquet(f"{d}/{name}.parquet")
+    return dealt_out(s.read.parquet(f"{d}/{name}.parquet"))
 
 
 def plain_docs(s, d):

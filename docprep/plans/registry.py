@@ -10,7 +10,7 @@ from docprep.functions import text as X
 from docprep.operators import attempts, chapters, chunking, cost, history, model, pages, quality, requests
 from docprep.sources import export
 from docprep.sources import files as sources
-from docprep.sources.folders import shared_folder
+from docprep.sources.folders import dealt_out, shared_folder
 from docprep.streaming import streams
 
 from . import fixtures as fx
@@ -125,7 +125,7 @@ def _(s, d):
 
 @query("chunk_sizes_by_language", "SELECT lang, count(*) AS chunks, sum(c_chunk.n_chars)::BIGINT AS chars, max(c_chunk.n_chars) AS longest FROM c_chunk JOIN documents USING (doc_id) GROUP BY lang", _chunk_sql("plain_docs", 3500))
 def chunk_sizes_by_language(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").selectExpr("struct(doc_id, lang) AS doc_id", "text AS markdown")
+    docs = dealt_out(s.read.parquet(f"{d}/documents.parquet")).selectExpr("struct(doc_id, lang) AS doc_id", "text AS markdown")
     sizes = chunking.chunk_documents(docs).select(F.col("doc_id.lang").alias("lang"), "n_chars")
     return sizes.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions.text import escape_html
-from docprep.operators.ordered import in_order
 
 #: Fixed values.
 TITLE, AUTHOR, LANG, TOC_TITLE = "Translated Document", "AI Translator", "zh-TW", "目錄"
@@ -29,19 +28,19 @@ def export_entries(chapters: DataFrame, meta: DataFrame) -> DataFrame:
     """`doc_id`, `entry_no`, `path`, `content`: the files of a package as rows (metadata and spine, contents, chapters)."""
     slug = F.regexp_replace("title", "[^0-9A-Za-z一-鿿]+", "-")
     page = F.concat(F.lit("<html><head><title>"), escape_html(F.col("title")), F.lit("</title></head><body>"), F.col("html"), F.lit("</body></html>"))
-    files = chapters.select("doc_id", "chapter_no", "title", F.format_string("OEBPS/%d_%s.xhtml", "chapter_no", slug).alias("path"), page.alias("content"))
-    lists = files.groupBy("doc_id").agg(
-        F.array_join(F.transform(in_order("path", "chapter_no"), lambda p: F.concat(F.lit('<itemref idref="'), p, F.lit('"/>'))), "").alias("spine"),
-        F.array_join(F.transform(in_order(F.concat(escape_html(F.col("title")), F.lit("|"), F.col("path")), "chapter_no"), lambda p: F.concat(F.lit("<navPoint>"), p, F.lit("</navPoint>"))), "").alias("toc"),
-    )
-    known = meta.select("doc_id", F.col("title").alias("book"), "author", "lang", "toc_title", "date").join(lists, "doc_id")
-    opf = F.concat(F.lit("<package><title>"), escape_html(F.col("book")), F.lit("</title><creator>"), escape_html(F.col("author")), F.lit("</creator><language>"), F.col("lang"), F.lit("</language><date>"), F.col("date"), F.lit("</date><spine>"), F.col("spine"), F.lit("</spine></package>"))
-    ncx = F.concat(F.lit("<ncx><docTitle>"), F.col("toc_title"), F.lit("</docTitle>"), F.col("toc"), F.lit("</ncx>"))
-    return (
-        known.select("doc_id", F.lit(0).alias("entry_no"), F.lit("OEBPS/content.opf").alias("path"), opf.alias("content"))
-        .unionByName(known.select("doc_id", F.lit(1).alias("entry_no"), F.lit("OEBPS/toc.ncx").alias("path"), ncx.alias("content")))
-        .unionByName(files.select("doc_id", (F.col("chapter_no") + 2).alias("entry_no"), "path", "content"))
-    )
+    files = chapters.select("doc_id", F.struct("chapter_no", "title", F.format_string("OEBPS/%d_%s.xhtml", "chapter_no", slug).alias("path"), page.alias("content")).alias("file"))
+    books = files.groupBy("doc_id").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    known = books.join(meta.select("doc_id", F.col("title").alias("book"), "author", "lang", "toc_title", "date"), "doc_id", "left")
+    every = lambda line: F.array_join(F.transform("files", line), "")
+    spine = every(lambda f: F.concat(F.lit('<itemref idref="'), f["path"], F.lit('"/>')))
+    toc = every(lambda f: F.concat(F.lit("<navPoint>"), escape_html(f["title"]), F.lit("|"), f["path"], F.lit("</navPoint>")))
+    opf = F.concat(F.lit("<package><title>"), escape_html(F.col("book")), F.lit("</title><creator>"), escape_html(F.col("author")), F.lit("</creator><language>"), F.col("lang"), F.lit("</language><date>"), F.col("date"), F.lit("</date><spine>"), spine, F.lit("</spine></package>"))
+    ncx = F.concat(F.lit("<ncx><docTitle>"), F.col("toc_title"), F.lit("</docTitle>"), toc, F.lit("</ncx>"))
+    entry = lambda number, path, content: F.struct(number.alias("entry_no"), path.alias("path"), content.alias("content"))
+    lists = F.array(entry(F.lit(0), F.lit("OEBPS/content.opf"), opf), entry(F.lit(1), F.lit("OEBPS/toc.ncx"), ncx))
+    pages = F.transform("files", lambda f: entry(f["chapter_no"] + 2, f["path"], f["content"]))
+    entries = known.select("doc_id", F.explode_outer(F.when(F.col("book").isNotNull(), F.concat(lists, pages)).otherwise(pages)).alias("e"))
+    return entries.select("doc_id", "e.entry_no", "e.path", "e.content")
 
 
 def html_export(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,20 @@
-"""Where tables between jobs go."""
+"""Where tables between jobs go, and how small ones are dealt out."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share; a temporary one only if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docprep-")
     return f"{base.rstrip('/')}/docprep-{uuid.uuid4().hex}"
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, such as one small file, is dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
