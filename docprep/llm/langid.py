@@ -68,19 +68,24 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs = sorted(set(langs))
-        width = len(NGRAMS) << TABLE_BITS
-        marks, keep = np.zeros((len(texts), width), dtype=np.uint8), np.zeros(len(texts), dtype=bool)
-        for i, text in enumerate(texts):
-            keep[i] = mark(text, marks[i])
-        marks, y = marks[keep], np.asarray([self.langs.index(x) for x in langs], dtype=np.int64)[keep]
-        chosen = np.sort(np.concatenate([np.flatnonzero(y == c)[:LANDMARKS_PER_LANGUAGE] for c in range(len(self.langs))])) if len(y) else np.zeros(0, dtype=np.int64)
-        self.slots = np.flatnonzero(marks[chosen].any(axis=0))
-        self.landmarks = np.ascontiguousarray(marks[np.ix_(chosen, self.slots)].astype(np.float32).T)
+        table, slots, y = np.zeros(len(NGRAMS) << TABLE_BITS, dtype=np.uint8), [], []
+        for text, lang in zip(texts, langs, strict=True):
+            table[:] = 0
+            if mark(text, table):
+                slots.append(np.flatnonzero(table).astype(np.int32))
+                y.append(self.langs.index(lang))
+        y = np.asarray(y, dtype=np.int64)
+        chosen = [i for c in range(len(self.langs)) for i in np.flatnonzero(y == c)[:LANDMARKS_PER_LANGUAGE]]
+        self.slots = np.unique(np.concatenate([slots[i] for i in chosen])) if chosen else np.zeros(0, dtype=np.int32)
+        marks = np.zeros((len(slots), len(self.slots)), dtype=np.float32)
+        for row, s in zip(marks, slots, strict=True):
+            row[np.isin(self.slots, s, assume_unique=True)] = 1
+        self.landmarks = np.ascontiguousarray(marks[chosen].T)
         own = self.landmarks.T @ self.landmarks
         value, vector = np.linalg.eigh(own.astype(np.float64)) if len(chosen) else (np.zeros(0), np.zeros((0, 0)))
         good = value > 1e-6 * max(value.max(initial=0), 1)
         self.root = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
-        phi = self._map(marks[:, self.slots].astype(np.float32))
+        phi = self._map(marks)
         target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         weight = 1.0 / np.maximum(np.bincount(y, minlength=len(self.langs)), 1)[y]  # every language counts the same
         phi1 = np.hstack([phi, np.ones((len(phi), 1))])
