@@ -14,6 +14,7 @@ from docprep.sources.folders import dealt_out, shared_folder
 from docprep.streaming import streams
 
 from . import fixtures as fx
+from . import lifecycle
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -310,10 +311,13 @@ def _(s, d):
     return _rendered(s, d)
 
 
-@query("a7_export_entries", f"""
+_ENTRIES = f"""
     SELECT doc_id, 0 AS entry_no, 'OEBPS/content.opf' AS path, '<package><title>' || {_escape('title')} || '</title><creator>' || {_escape('author')} || '</creator><language>' || lang || '</language><date>' || date || '</date><spine>' || spine || '</spine></package>' AS content FROM h_meta JOIN h_list USING (doc_id)
     UNION ALL SELECT doc_id, 1, 'OEBPS/toc.ncx', '<ncx><docTitle>' || toc_title || '</docTitle>' || toc || '</ncx>' FROM h_meta JOIN h_list USING (doc_id)
-    UNION ALL SELECT doc_id, chapter_no + 2, path, '<html><head><title>' || {_escape('title')} || '</title></head><body>' || html || '</body></html>' FROM h_file""", _CHAPTERS)
+    UNION ALL SELECT doc_id, chapter_no + 2, path, '<html><head><title>' || {_escape('title')} || '</title></head><body>' || html || '</body></html>' FROM h_file"""
+
+
+@query("a7_export_entries", _ENTRIES, _CHAPTERS)
 def _(s, d):
     return export.export_entries(_rendered(s, d), export.export_metadata(_meta(s, d)))
 
@@ -729,3 +733,26 @@ def _(s, d):
 @query("st3_stream_history", f"SELECT {_NOW} FROM history_now")
 def _(s, d):
     return streams.run_to_end(streams.stream_history(fx.history_of(_stream(s, d, "events"))), shared_folder(s))
+
+
+# whole plans -----------------------------------------------------------------------------------------------------
+
+
+@query("lifecycle_estimate", "SELECT doc_id, model_id, tokens, floor(tokens * 2.5::DOUBLE + 0.5)::BIGINT AS output_tokens, round(tokens / 1e6 * i + floor(tokens * 2.5::DOUBLE + 0.5) / 1e6 * o, 9) AS usd FROM (SELECT doc_id, pages * 600 * 20 AS tokens FROM page_counts) CROSS JOIN prices", _COST)
+def _(s, d):
+    return lifecycle.estimate(fx.page_counts(s, d), 600, cost.price_list(s)).select("doc_id", "model_id", "tokens", "output_tokens", F.round("usd", 9).alias("usd"))
+
+
+@query("lifecycle_convert", _ENTRIES, _CHAPTERS | {"md_some": "SELECT doc_id, string_agg(text || chr(10) || chr(10), '' ORDER BY page_no) AS markdown FROM page_text GROUP BY doc_id"})
+def _(s, d):
+    return lifecycle.convert(fx.page_items(s, d), _meta(s, d))
+
+
+def _count(chunk: str, before: str) -> str:
+    return f"{len(chunk)}/{len(before)}"
+
+
+@query("lifecycle_translate", "SELECT doc_id, string_agg(reply || chr(10) || chr(10), '' ORDER BY chunk_no) AS translated_text FROM (SELECT doc_id, chunk_no, n_chars::VARCHAR || '/' || CASE WHEN chunk_no = 0 THEN '0' ELSE (length(lag(n_chars::VARCHAR) OVER w) + 2)::VARCHAR END AS reply FROM c_chunk WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)) GROUP BY doc_id", _chunk_sql("plain_docs", 3500))
+def _(s, d):
+    found = _analysis(s, d).select("doc_id", "style", "glossary", "characters")
+    return lifecycle.translate(fx.plain_docs(s, d), found, _count)
