@@ -24,10 +24,12 @@ def durable(df: DataFrame) -> DataFrame:
     Only where the session names no folder (local tests) a temporary one is set.
     """
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        made = tempfile.mkdtemp(prefix="docprep-checkpoint-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        context.setCheckpointDir(made)
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            named = tempfile.mkdtemp(prefix="docprep-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

@@ -153,10 +153,10 @@ def _sources(group: pd.DataFrame, replies: list[bytes], k: int):
     A window is repeated if its first coordinate lies in another, smaller document, in this group or elsewhere.
     """
     parts = [_unpack(p, *_EDGE) for p in replies]
-    h, h2, doc, word = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=k) for k in _EDGE)
-    key = mix(h ^ mix(h2.astype(np.uint64)))  # both hashes in one for the search; the second is compared again
+    h, h2, doc, word = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=kind) for kind in _EDGE)
+    key = mix(h ^ mix(h2.astype(np.uint64)))  # both hashes in one, for the search
     order = np.argsort(key)
-    key, h2, doc, word = key[order], h2[order], doc[order], word[order]
+    key, doc, word = key[order], doc[order], word[order]
     ids, held = group.id.to_numpy(), list(batches(group.text))
     edges = []
     for b in held:

@@ -93,9 +93,8 @@ class Batch:
 
     def covered(self, at: np.ndarray, k: int) -> np.ndarray:
         """Which words lie in one of the windows that start at `at`."""
-        edge = np.zeros(len(self.words) + 1, dtype=np.int32)
-        np.add.at(edge, at, 1) if len(at) < 64 else edge.__iadd__(np.bincount(at, minlength=len(edge)).astype(np.int32))
-        np.subtract.at(edge, at + k, 1) if len(at) < 64 else edge.__isub__(np.bincount(at + k, minlength=len(edge)).astype(np.int32))
+        n = len(self.words) + 1
+        edge = np.bincount(at, minlength=n) - np.bincount(at + k, minlength=n)
         return np.cumsum(edge[:-1]) > 0
 
 
