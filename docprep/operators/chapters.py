@@ -62,6 +62,7 @@ def render_blocks(chapters: DataFrame) -> DataFrame:
 
 
 def chapter_fallback(docs: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Documents without a chapter get one that says so."""
-    none = docs.select("doc_id").join(rendered.select("doc_id").distinct(), "doc_id", "left_anti")
-    return rendered.unionByName(none.select("doc_id", F.lit(0).alias("chapter_no"), F.lit(EMPTY_TITLE).alias("title"), F.lit(EMPTY_HTML).alias("html")))
+    """Documents without a chapter get one that says so. One left join, so the chapters are worked out once."""
+    every = docs.select("doc_id").distinct().join(rendered, "doc_id", "left")
+    none = F.col("chapter_no").isNull()
+    return every.select("doc_id", F.coalesce("chapter_no", F.lit(0)).alias("chapter_no"), F.when(none, EMPTY_TITLE).otherwise(F.col("title")).alias("title"), F.when(none, EMPTY_HTML).otherwise(F.col("html")).alias("html"))

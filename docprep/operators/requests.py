@@ -48,41 +48,73 @@ def parse_reply(replies: DataFrame) -> DataFrame:
     return parsed.select("doc_id", "chunk_no", F.coalesce(F.nullif("r.correctedTranslation", F.lit("")), "draft_text").alias("translated"), F.col("r.newTerms").alias("new_terms"), F.col("r.newCharacters").alias("new_characters"), F.col("r.chunkSummary").alias("summary"), F.coalesce("r.foundHallucinations", F.lit(False)).alias("found_hallucinations"), F.coalesce("r.missingContentDetected", F.lit(False)).alias("missing_content"))
 
 
-def prev_source_tail(chunks: DataFrame, n: int = TAIL_CHARS) -> DataFrame:
-    return chunks.select("doc_id", "chunk_no", F.coalesce(F.right(F.lag("source_text").over(_doc()), F.lit(n)), F.lit("")).alias("prev_source"))
+def _tail(c: str, n: int) -> Column:
+    return F.coalesce(F.right(F.lag(c).over(_doc()), F.lit(n)), F.lit(""))
 
 
-def prev_translation_tail(chunks: DataFrame, n: int = TAIL_CHARS) -> DataFrame:
-    return chunks.select("doc_id", "chunk_no", F.coalesce(F.right(F.lag("translated").over(_doc()), F.lit(n)), F.lit("")).alias("prev_translation"))
+def _given(start: str) -> Column:
+    """The initial lines as an array; the sentinel, '' and null are none."""
+    return F.filter(F.array(F.nullif(F.nullif(start, F.lit(NONE)), F.lit(""))), lambda x: x.isNotNull())
+
+
+def _grown(start: str, added: str) -> Column:
+    lines = F.flatten(F.collect_list(F.coalesce(added, F.array().cast("array<string>"))).over(_before()))
+    return F.array_join(F.concat(_given(start), lines), "\n")
 
 
-def _running(replies: DataFrame, initial: DataFrame, start: str, added: str, name: str) -> DataFrame:
-    known = replies.join(initial.select("doc_id", F.col(start).alias("start")), "doc_id", "left")
-    given = F.filter(F.array(F.nullif(F.nullif("start", F.lit(NONE)), F.lit(""))), lambda x: x.isNotNull())
-    lines = F.concat(given, F.flatten(F.collect_list(F.coalesce(added, F.array().cast("array<string>"))).over(_before())))
-    return known.select("doc_id", "chunk_no", F.array_join(lines, "\n").alias(name))
+def _summary_lines(c: str) -> Column:
+    noted = F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("- "), c))
+    return F.split(F.array_join(F.collect_list(noted).over(_before()), "\n"), "\n", -1)
+
+
+def _last_lines(lines: str, n: int) -> Column:
+    return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")
+
+
+def prev_source_tail(chunks: DataFrame, n: int = TAIL_CHARS) -> DataFrame:
+    return chunks.select("doc_id", "chunk_no", _tail("source_text", n).alias("prev_source"))
+
+
+def prev_translation_tail(chunks: DataFrame, n: int = TAIL_CHARS) -> DataFrame:
+    return chunks.select("doc_id", "chunk_no", _tail("translated", n).alias("prev_translation"))
 
 
 def running_glossary(replies: DataFrame, initial: DataFrame) -> DataFrame:
     """The glossary that chunk i sees: the initial one and the new terms of all chunks before; the sentinel is empty."""
-    return _running(replies, initial, "glossary", "new_terms", "glossary")
+    known = replies.join(initial.select("doc_id", F.col("glossary").alias("start")), "doc_id", "left")
+    return known.select("doc_id", "chunk_no", _grown("start", "new_terms").alias("glossary"))
 
 
 def running_characters(replies: DataFrame, initial: DataFrame) -> DataFrame:
-    return _running(replies, initial, "characters", "new_characters", "characters")
+    known = replies.join(initial.select("doc_id", F.col("characters").alias("start")), "doc_id", "left")
+    return known.select("doc_id", "chunk_no", _grown("start", "new_characters").alias("characters"))
 
 
 def rolling_summary(replies: DataFrame, lines: int = SUMMARY_LINES) -> DataFrame:
     """The last `lines` lines of the summaries before chunk i, each led by `- `; empty summaries are skipped."""
-    noted = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("- "), "summary"))
-    before = F.split(F.array_join(F.collect_list(noted).over(_before()), "\n"), "\n", -1)
-    return replies.select("doc_id", "chunk_no", before.alias("l")).select("doc_id", "chunk_no", F.array_join(F.slice("l", F.greatest(F.size("l") - lines + 1, F.lit(1)), F.lit(lines)), "\n").alias("plot_summary"))
+    before = replies.select("doc_id", "chunk_no", _summary_lines("summary").alias("l"))
+    return before.select("doc_id", "chunk_no", _last_lines("l", lines).alias("plot_summary"))
+
+
+def request_context(chunks: DataFrame, replies: DataFrame, initial: DataFrame, n: int = TAIL_CHARS, lines: int = SUMMARY_LINES) -> DataFrame:
+    """All that a chunk's request carries, in one pass: both tails, the running glossary and characters, the summary.
+
+    One window serves every column, so the chunks are shuffled and sorted by document once after the two joins.
+    """
+    start = initial.select("doc_id", "style", F.col("glossary").alias("start_terms"), F.col("characters").alias("start_characters"))
+    known = chunks.join(replies, ["doc_id", "chunk_no"], "left").join(start, "doc_id", "left")
+    seen = known.select(
+        "doc_id", "chunk_no", "source_text", "style",
+        _tail("source_text", n).alias("prev_source"), _tail("translated", n).alias("prev_translation"),
+        _grown("start_terms", "new_terms").alias("glossary"), _grown("start_characters", "new_characters").alias("characters"),
+        _summary_lines("summary").alias("l"),
+    )
+    return seen.withColumn("plot_summary", _last_lines("l", lines)).drop("l")
 
 
 def glossary_final(analysis: DataFrame, replies: DataFrame) -> DataFrame:
     grown = replies.groupBy("doc_id").agg(F.flatten(in_order("new_terms", "chunk_no")).alias("terms"))
-    given = F.filter(F.array(F.nullif(F.nullif("glossary", F.lit(NONE)), F.lit(""))), lambda x: x.isNotNull())
-    return analysis.join(grown, "doc_id", "left").select("doc_id", F.array_join(F.concat(given, F.coalesce("terms", F.array().cast("array<string>"))), "\n").alias("glossary"))
+    return analysis.join(grown, "doc_id", "left").select("doc_id", F.array_join(F.concat(_given("glossary"), F.coalesce("terms", F.array().cast("array<string>"))), "\n").alias("glossary"))
 
 
 def assemble_translation(chunks: DataFrame) -> DataFrame:

@@ -475,10 +475,7 @@ def _(s, d):
         || chr(10) || chr(10) || 'Translate:' || chr(10) || source_text AS request
     FROM x_prev JOIN x_glossary g USING (doc_id, chunk_no) JOIN x_characters c USING (doc_id, chunk_no) JOIN x_summary USING (doc_id, chunk_no) LEFT JOIN styled USING (doc_id)""", _CONTEXT | _STYLE)
 def _(s, d):
-    replies, found, on = _replies(s, d), _analysis(s, d), ["doc_id", "chunk_no"]
-    chunks = fx.turns(s, d).join(requests.prev_source_tail(fx.turns(s, d)), on).join(requests.prev_translation_tail(replies), on)
-    chunks = chunks.join(requests.running_glossary(replies, found), on).join(requests.running_characters(replies, found), on).join(requests.rolling_summary(replies), on)
-    return requests.build_request(chunks.join(found.select("doc_id", "style"), "doc_id", "left"))
+    return requests.build_request(requests.request_context(fx.turns(s, d), _replies(s, d), _analysis(s, d)))
 
 
 @query("j3_replies_to_chunks", "SELECT doc_id, chunk_no, source_text, translated FROM turns JOIN replies USING (doc_id, chunk_no)")
