@@ -13,6 +13,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 11
 #: A boundary this near to a cut may be an effect of the cut (a contraction is up to three characters).
 CUT_MARGIN = 8
-_SLICE_TOKENS = 1 << 20
+_SLICE_TOKENS = 1 << 17
 
 
 class Vocabulary:
@@ -64,11 +65,12 @@ def encode_text(text: Column, vocabulary: Vocabulary) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def run(texts: pa.Array) -> pa.Array:
-        encode = _encoding(file.value, pattern).encode_to_numpy
-        ids = [encode(t, disallowed_special=()) if t else np.zeros(0, dtype=np.uint32) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        values = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int32)))
+        encode, ids, ends = _encoding(file.value, pattern).encode_to_numpy, bytearray(), [0]
+        for text in texts:  # one at a time, into one buffer
+            ids += encode(text.as_py() or "", disallowed_special=()).astype(np.int32).tobytes()
+            ends.append(len(ids) // 4)
+        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)])
+        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)
 
     return run(text)
 
@@ -80,18 +82,16 @@ def decode_ids(ids: Column, vocabulary: Vocabulary) -> Column:
     @F.arrow_udf(T.BinaryType())
     def run(lists: pa.Array) -> pa.Array:
         data, start, length = _tokens(file.value)
-        bounds = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = np.concatenate([[0], np.cumsum(length[values])])
-        out = np.empty(int(sizes[-1]), dtype=np.uint8)
+        rows = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        values, out, ends = lists.flatten().to_numpy(zero_copy_only=False), bytearray(), np.zeros(len(lists) + 1, dtype=np.int32)
         for lo in range(0, len(values), _SLICE_TOKENS):
             part = values[lo : lo + _SLICE_TOKENS]
             n = length[part]
-            at = np.arange(int(n.sum())) + np.repeat(start[part] - (np.cumsum(n) - n), n)
-            out[sizes[lo] : sizes[lo + len(part)]] = data[at]
-        raw = memoryview(out)
-        ends = sizes[bounds]
-        return pa.array([raw[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], type=pa.binary())
+            upto = np.cumsum(n)
+            here = np.flatnonzero((rows > lo) & (rows <= lo + len(part)))
+            ends[here + 1] = len(out) + upto[rows[here] - lo - 1]
+            out += data[np.arange(upto[-1]) + np.repeat(start[part] - (upto - n), n)].tobytes()
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(out)])
 
     return run(ids)
 
