@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable
+from .common import durable, split_join
 
 K = 5
 PROJECTED = 8
@@ -211,6 +211,6 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id
     pairs = wide.mapInPandas(visit, "query_class long, vector array<double>, point array<double>, reach double, cell int")
     every = _best(first.unionByName(_searched(pairs, blocks, k, radius)), k + 1)
     packed = every.groupBy("query_class").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
-    own = members.join(packed, "query_class").select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
+    own = split_join(members, packed, ["query_class"]).select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     ranked = own.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("p", "x"))
     return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

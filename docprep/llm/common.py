@@ -33,6 +33,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def split_join(rows: DataFrame, aggregate: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with an aggregate of one row a key, so that Spark can split a hot key.
+
+    Where an aggregate's own shuffle serves the join, adaptive execution can't deal a large partition to more tasks. One
+    more key, derived from the others, makes it shuffle the aggregate, the smaller side, once more.
+    """
+    side = F.pmod(F.xxhash64(*keys), F.lit(2))
+    return rows.withColumn("__side", side).join(aggregate.withColumn("__side", side), [*keys, "__side"], how).drop("__side")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, zero for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

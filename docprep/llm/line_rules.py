@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HAS_WORD, with_row_key
+from .common import HAS_WORD, split_join, with_row_key
 from .wordhash import Batch, batches, mix
 
 MIN_WORDS = 20
@@ -99,7 +99,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     )
     each = keyed.select("id", "th", "host", F.posexplode(one).alias("p", "l")).select("id", "th", "host", "p", "l.h.h1", "l.h.h2", "l.w")
     frequent = frequent_lines(docs, F.col(host_col), F.col(text_col), **limits)
-    hits = each.join(frequent, ["host", "h1", "h2"]).select("id", "th", "host", "p", "w").distinct()
+    hits = split_join(each, frequent, ["host", "h1", "h2"]).select("id", "th", "host", "p", "w").distinct()
     lost = hits.groupBy("id", "th", "host").agg(F.sum("w").alias("lost")).groupBy(F.col("id").alias("lid"), F.col("th").alias("lth")).agg(F.max("lost").alias("n_lost_words"))
     joined = rows.drop("__text").join(lost, F.col("__id").eqNullSafe(F.col("lid")) & (F.col("__th") == F.col("lth")), "left")
     n = F.col("__n")

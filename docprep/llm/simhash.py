@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, split_join
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = durable(marked.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(links(classes.select("fp"), max_distance))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    named = split_join(rooted, rooted.groupBy("root").agg(F.min("first").alias("component_id")), ["root"]).select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable
+from .common import durable, split_join
 
 #: (verdict, host, path prefix); the longest that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -86,8 +86,8 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     marked = labels.where(F.col(quality).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.max((F.col(quality) == 0)).alias("bad"))
     rules = mine_rules(rows.join(marked, "id").select(tokens_of(F.col("url")).alias("tokens"), "bad"), **limits)
     distinct = rows.where("url IS NOT NULL").select(F.col("url").alias("key")).distinct().select("key", tokens_of(F.col("key")).alias("tokens"))
-    hits = rule_hits(distinct, rules).withColumn("mined", F.lit(True))
-    joined = rows.join(hits, rows.url == hits.key, "left")
+    hits = rule_hits(distinct, rules).select(F.col("key").alias("url"), F.lit(True).alias("mined"))
+    joined = split_join(rows, hits, ["url"], "left")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = joined.select("id", host.alias("host"), path.alias("path"), F.coalesce("mined", F.lit(False)).alias("mined"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"))
