@@ -16,7 +16,10 @@ from pyspark.sql.window import Window
 
 from .common import HAS_WORD, durable, split_join, with_row_key
 
-MIN_LINES = 2
+#: A single repeated line is a run too.
+MIN_LINES = 1
+#: What ORACLE_SQL, and with it the query op2_line_dedup, takes for a run.
+ORACLE_MIN_LINES = 2
 
 
 def _classes(active: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    return lines.line_digest(table(spark, sf_dir, "documents"))
+    return lines.line_digest(table(spark, sf_dir, "documents"), min_lines=lines.ORACLE_MIN_LINES)
 
 
 def op3_byte_bpe(spark, sf_dir):
