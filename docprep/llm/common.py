@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +19,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder of spark.checkpoint.dir, which survives lost executors.
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. A local session without one gets a temporary
+    folder; on a cluster, where executors could not read it, that is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="docprep-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
-    Only where the session names no folder (local tests) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder, which survives lost executors."""
+    context, base = df.sparkSession.sparkContext, shared_base(df.sparkSession)
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            named = tempfile.mkdtemp(prefix="docprep-checkpoint-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Parquet tables in the shared folder, for what is too large for a checkpoint, which is not compressed.
+
+    The files of a plan's shuffles go as soon as its table is written; tables go when dropped, or when the session ends.
+    """
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{shared_base(spark)}/docprep-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        self._files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.deleteOnExit(folder)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        before = self.spark.conf.get(self._CLEANUP, "false")
+        self.spark.conf.set(self._CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.base}/{name}")
+        finally:
+            self.spark.conf.set(self._CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}"), True)
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def split_join(rows: DataFrame, aggregate: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join rows with an aggregate of one row a key, so that Spark can split a hot key.
 
@@ -50,5 +93,5 @@ def n_words(text: Column) -> Column:
 
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`__id`, `__th`, `__text`: rows that share a doc_id stay apart unless their text is equal too."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
+    text = F.coalesce(named(text_col), F.lit(""))
+    return docs.select(named(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))

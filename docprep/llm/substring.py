@@ -1,18 +1,17 @@
 """Substring deduplication on a De Bruijn graph of word k-mers (operator 7).
 
-Every run of `k` words is an edge of the graph. An edge repeats if it has more than one source coordinate (document,
-word). Most edges occur once, so the work is split:
-
-1. each document gives the anchors of its edges: the least hash among the `ANCHOR_WORDS`-word runs inside an edge. Equal
-   edges have equal anchors, and neighbouring edges share them, so there are some four times fewer anchors than edges.
-   Anchors that occur in one place only rule their edges out.
-2. the remaining edges meet by their hash (64 bits, then 32 others) and learn their first source coordinate.
-3. joined back to the documents, edges that follow each other both there and at their first source form one path
-   without branches; such paths are compacted to spans (document, first word, words, first document, its word).
-
-Documents are dealt into groups by a hash of their id and shuffled once; groups and hash ranges exchange packed arrays
-with one entry for a hash and group, however often a passage occurs in the group. So a passage in a third of all
-documents costs a range one entry a group.
+Every run of `k` words is an edge of the graph; its source coordinates are the places (row, word) where it stands. Most
+edges have one, so the work is split, all of it in rows that Spark groups and joins:
+
+1. an edge's anchor is the least hash among the `ANCHOR_WORDS`-word runs inside it. Equal edges have equal anchors and
+   neighbouring edges share them, so there are some four times fewer anchors than edges; those of one document go.
+2. the remaining edges are grouped by their hash and joined with their first source coordinate.
+3. first coordinates that follow one another are nonbranching paths of the graph; each path's words are read once, at its
+   source. Edges that follow one another both in a document and at their source are compacted to spans, joined with the
+   words of their path and compared with the document's own words. Only what is equal word for word is removed.
+
+Keys that many rows share (a passage in a third of all documents) are combined before the exchange, and the joins put the
+aggregate on the side that lets Spark split the others.
 """
 
 from __future__ import annotations
@@ -20,35 +19,22 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from .common import Scratch, named, split_join
 from .wordhash import Batch, batches, hash_windows, mix
 
 WINDOW = 13
 ANCHOR_WORDS = 6
-#: Bytes of text in a group of documents; there are as many hash ranges as groups.
-GROUP_BYTES = 4 << 20
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
-
-
-def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n, out, at = len(data) // sum(np.dtype(k).itemsize for k in kinds), [], 0
-    for kind in kinds:
-        out.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
-        at += n * np.dtype(kind).itemsize
-    return out
-
-
-def _range_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+#: Stands for a null id: before all others, and never smaller than itself.
+_NO_ID = -(1 << 63)
 
 
 def _anchors(b: Batch, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and anchor hash of each window of k words."""
+    """First word and anchor of each window of k words."""
     at, _ = b.windows(k)
     runs = np.full(len(b.words), np.iinfo(np.uint64).max, dtype=np.uint64)
     h = mix(hash_windows(b.words, m))
@@ -60,180 +46,160 @@ def _anchors(b: Batch, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     return at, least[at]
 
 
-def _split(g: int, n_ranges: int, h: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Rows (range, group, packed) of hash-sorted columns."""
-    cut = np.searchsorted(_range_of(h, n_ranges), np.arange(n_ranges + 1))
-    return [(r, g, _pack(*(c[lo:hi] for c in (h, *columns)))) for r, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in columns.items()})
 
 
-def _frame(group: pa.Table) -> pd.DataFrame:
-    return pd.DataFrame({"id": group["id"].to_numpy(), "th": group["th"].to_numpy(), "text": group["text"].to_pylist()})
+def _integers(part: pa.RecordBatch, name: str) -> np.ndarray:
+    return part.column(name).to_numpy(zero_copy_only=False)
 
 
-def _ordered(group: pa.Table) -> pa.Table:
-    return group.take(pa.array(np.lexsort((group["th"].to_numpy(), group["id"].to_numpy()))))
+def _places(part: pa.RecordBatch, b: Batch, at: np.ndarray) -> dict:
+    """id, th and word (within its text) of the words numbered `at` of a batch."""
+    doc = b.doc[at]
+    row = np.asarray(b.rows)[doc]
+    return {"id": _integers(part, "id")[row], "th": _integers(part, "th")[row], "at": (at - b.first_word[doc]).astype(np.int32)}
 
 
-def _anchor_rows(group: pd.DataFrame, g: int, n_ranges: int, k: int) -> list[tuple[int, int, bytes]]:
-    found = [np.unique(_anchors(b, k, ANCHOR_WORDS)[1]) for b in batches(group.text)]
-    h = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
-    return _split(g, n_ranges, h)
+def anchor_runs(rows: DataFrame, k: int) -> DataFrame:
+    """`id`, `th`, `at`, `n`, `a`: each run of n windows, from word `at` on, under one anchor."""
 
+    def run(parts):
+        for part in parts:
+            for b in batches(part.column("text").to_pylist()):
+                at, anchor = _anchors(b, k, min(ANCHOR_WORDS, k))
+                if len(at):
+                    head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(at) != 1)]))
+                    n = np.diff(np.append(head, len(at))).astype(np.int32)
+                    yield _batch(_places(part, b, at[head]) | {"n": n, "a": anchor[head].view(np.int64)})
 
-def _shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: the hashes that more than one group has, for each of them."""
-    parts = [(g, _unpack(p, "<u8")[0]) for g, p in zip(rows.g, rows.packed, strict=True)]
-    every, count = np.unique(np.concatenate([h for _, h in parts]), return_counts=True)
-    shared = every[count > 1]
-    out = [(g, _pack(h[np.isin(h, shared, assume_unique=True)])) for g, h in parts]
-    return pd.DataFrame([x for x in out if x[1]], columns=["g", "packed"])
+    return rows.mapInArrow(run, "id long, th long, at int, n int, a long")
 
 
-def _members(sorted_values: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(h), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_values, h), len(sorted_values) - 1)
-    return sorted_values[at] == h
+def edges(rows: DataFrame, k: int) -> DataFrame:
+    """`id`, `th`, `at`, `h1`, `h2`: the windows in the `runs` (`at`, `n`) of each row."""
 
+    def run(parts):
+        for part in parts:
+            runs = part.column("runs")
+            upto = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(runs).to_numpy(zero_copy_only=False))])
+            flat = runs.flatten()
+            at, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for b in batches(part.column("text").to_pylist()):
+                first, last = b.rows[0], b.rows[-1] + 1
+                mine = slice(upto[first], upto[last])
+                lo = np.repeat(b.first_word[:-1], np.diff(upto[first : last + 1])) + at[mine]
+                size = len(b.words) + 1
+                wanted = np.cumsum(np.bincount(lo, minlength=size) - np.bincount(lo + n[mine], minlength=size)) > 0
+                word, h1 = b.windows(k)
+                pick = wanted[word]
+                if pick.any():
+                    h2 = b.windows(k, second=True)[1][pick] >> np.uint64(32)
+                    yield _batch(_places(part, b, word[pick]) | {"h1": h1[pick].view(np.int64), "h2": h2.astype(np.uint32).view(np.int32)})
 
-def _repeated_inside(values: list[np.ndarray]) -> np.ndarray:
-    """Hashes seen in more than one of some arrays, or twice in one."""
-    every = np.sort(np.concatenate(values)) if values else np.zeros(0, dtype=np.uint64)
-    return np.unique(every[1:][every[1:] == every[:-1]])
+    return rows.mapInArrow(run, "id long, th long, at int, h1 long, h2 int")
 
 
-def _edge_rows(group: pd.DataFrame, shared: list[bytes], g: int, n_ranges: int, k: int) -> list[tuple[int, int, bytes]]:
-    """The group's edges under anchors that occur elsewhere, each with its first coordinate in the group."""
-    known = np.sort(np.concatenate([_unpack(p, "<u8")[0] for p in shared])) if shared else np.zeros(0, dtype=np.uint64)
-    ids, keys = group.id.to_numpy(), [[], [], [], []]
-    for b in batches(group.text):
-        at, anchor = _anchors(b, k, ANCHOR_WORDS)
-        pick = _members(known, anchor)
-        if not pick.any():
-            continue
-        doc = np.asarray(b.rows)[b.doc[at[pick]]]
-        for column, values in zip(keys, (b.windows(k)[1][pick], b.windows(k, second=True)[1][pick] >> np.uint64(32), ids[doc], at[pick] - b.first_word[b.doc[at[pick]]]), strict=True):
-            column.append(values)
-    if not keys[0]:
-        return []
-    h, h2, doc, word = (np.concatenate(c) for c in keys)
-    order = np.lexsort((h2, h))  # stable: the rows are in the order of coordinates
-    h, h2, doc, word = h[order], h2[order], doc[order], word[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-    return _split(g, n_ranges, h[first], h2[first].astype("<u4"), doc[first].astype("<i8"), word[first].astype("<i4"))
+def _joined(text: str | None) -> tuple[list[bytes], bytes, np.ndarray]:
+    """A text's words, the words joined by one space, and where each begins there (and one past the end)."""
+    words = text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)])
+    return words, b" ".join(words), begin
 
 
-_EDGE = ("<u8", "<u4", "<i8", "<i4")
+def _as_text(data: bytes) -> str:
+    return data.decode("utf-8", "surrogatepass")
 
 
-def _first_sources(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: for each group, its edges that have an earlier coordinate in another group."""
-    parts = [_unpack(p, *_EDGE) for p in rows.packed]
-    h, h2, doc, word = (np.concatenate(c) for c in zip(*parts, strict=True))
-    group = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.lexsort((word, doc, h2, h))
-    h, h2, doc, word, group = h[order], h2[order], doc[order], word[order], group[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    later = np.flatnonzero(~new)
-    later = later[np.argsort(group[later], kind="stable")]
-    out, cut = [], np.searchsorted(group[later], np.arange(len(parts) + 1))
-    for i, g in enumerate(rows.g):
-        mine = later[cut[i] : cut[i + 1]]
-        if len(mine):
-            out.append((g, _pack(h[mine], h2[mine], doc[first[mine]], word[first[mine]])))
-    return pd.DataFrame(out, columns=["g", "packed"])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _path_words(texts: pd.Series, at: pd.Series, n: pd.Series) -> pd.Series:
+    out = []
+    for text, starts, counts in zip(texts, at, n, strict=True):
+        _, line, begin = _joined(text)
+        out.append([_as_text(line[begin[a] : begin[a + c] - 1]) for a, c in zip(starts, counts, strict=True)])
+    return pd.Series(out)
 
 
-def _sources(group: pd.DataFrame, replies: list[bytes], k: int):
-    """(batch, first words of repeated windows, their first document and word there), batch by batch.
+def _equal_words(words: list[bytes], line: bytes, begin: np.ndarray, at: int, source: str, k: int) -> list[tuple[int, int]]:
+    """The parts (first, past the last) of the span from word `at` on whose windows are those of the source's words."""
+    data = source.encode("utf-8", "surrogatepass")
+    if line[begin[at] : begin[at] + len(data)] == data and (n := data.count(b" ") + 1) and begin[at + n] - 1 == begin[at] + len(data):
+        return [(at, at + n)]
+    same = [a == b for a, b in zip(words[at:], data.split(b" "), strict=False)]
+    return [(at + i, at + i + k) for i in range(len(same) - k + 1) if all(same[i : i + k])]
 
-    A window is repeated if its first coordinate lies in another, smaller document, in this group or elsewhere.
-    """
-    parts = [_unpack(p, *_EDGE) for p in replies]
-    h, h2, doc, word = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=kind) for kind in _EDGE)
-    key = mix(h ^ mix(h2.astype(np.uint64)))  # both hashes in one, for the search
-    order = np.argsort(key)
-    key, doc, word = key[order], doc[order], word[order]
-    ids, held = group.id.to_numpy(), list(batches(group.text))
-    edges = []
-    for b in held:
-        at, e = b.windows(k)
-        edges.append((at, mix(e ^ mix(b.windows(k, second=True)[1] >> np.uint64(32)))))
-    inside = _repeated_inside([e for _, e in edges])
-    own_doc, own_word = np.full(len(inside), np.iinfo(np.int64).max), np.zeros(len(inside), dtype=np.int64)
-    for b, (at, e) in zip(reversed(held), reversed(edges), strict=True):
-        pick = np.flatnonzero(_members(inside, e))[::-1]  # the earliest is written last
-        spot = np.searchsorted(inside, e[pick])
-        own_doc[spot] = ids[np.asarray(b.rows)[b.doc[at[pick]]]]
-        own_word[spot] = at[pick] - b.first_word[b.doc[at[pick]]]
-    for b, (at, e) in zip(held, edges, strict=True):
-        mine = ids[np.asarray(b.rows)[b.doc[at]]]
-        best, where = mine.copy(), at - b.first_word[b.doc[at]]
-        for table, docs, words in ((inside, own_doc, own_word), (key, doc, word)):
-            hit = np.flatnonzero(_members(table, e))
-            spot = np.searchsorted(table, e[hit])
-            less = docs[spot] < best[hit]
-            best[hit[less]], where[hit[less]] = docs[spot][less], words[spot][less]
-        later = best < mine
-        yield b, at[later], best[later], where[later]
-
-
-_PACKED = pa.schema([("r", pa.int32()), ("g", pa.int32()), ("packed", pa.binary())])
-#: Stands for a null id: before all others, and never smaller than itself.
-_NO_ID = -(1 << 63)
 
-
-def _grouped(docs: DataFrame, id_col: str, text_col: str, k: int, finish, schema: str, carry: bool = False) -> DataFrame:
-    """finish(rows, table, packed replies) for every group of documents, after both exchanges.
-
-    `table` has the columns of docs as c0, c1, .. if `carry`, in the order of `rows`.
-    """
-    text = F.col(text_col)
-    own = [F.col(id_col).cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))), text]
-    rows = docs.select(*[F.coalesce(own[0], F.lit(_NO_ID)).alias("id"), own[1].alias("th"), own[2].alias("text")], *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if carry and c != text_col])
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // GROUP_BYTES))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "g")
-
-    def packed(found: list[tuple[int, int, bytes]]) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(c, type=kind) for c, kind in zip(zip(*found, strict=True), _PACKED.types, strict=True)] if found else [pa.array([], type=x) for x in _PACKED.types], schema=_PACKED)
-
-    def anchors(group: pa.Table) -> pa.Table:
-        return packed(_anchor_rows(_frame(group), group["g"][0].as_py(), n, k))
-
-    def edges(group: pa.Table, shared: pa.Table) -> pa.Table:
-        return packed(_edge_rows(_frame(_ordered(group)), shared["packed"].to_pylist(), group["g"][0].as_py(), n, k) if len(group) else [])
-
-    def last(group: pa.Table, replies: pa.Table) -> pa.Table:
-        group = _ordered(group)
-        return finish(_frame(group), group, replies["packed"].to_pylist())
-
-    by, kinds = dealt.groupBy("g"), "r int, g int, packed binary"
-    shared = by.applyInArrow(anchors, kinds).groupBy("r").applyInPandas(_shared_anchors, "g int, packed binary")
-    wide = by.cogroup(shared.groupBy("g")).applyInArrow(edges, kinds)
-    replies = wide.groupBy("r").applyInPandas(_first_sources, "g int, packed binary")
-    return by.cogroup(replies.groupBy("g")).applyInArrow(last, schema)
-
-
-def _kept(rows: pd.DataFrame, replies: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words, removed words and the remaining words joined by one space, of each row."""
-    n_words, n_removed, kept = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64), [""] * len(rows)
-    for b, at, _, _ in _sources(rows, replies, k):
-        gone = b.covered(at, k)
-        data, starts, ends = b.data.tobytes(), b.starts.tolist(), b.ends.tolist()
-        total = np.concatenate([[0], np.cumsum(gone)])
-        for t, row in enumerate(b.rows):
-            lo, hi = int(b.first_word[t]), int(b.first_word[t + 1])
-            n_words[row], n_removed[row] = hi - lo, total[hi] - total[lo]
-            if n_removed[row]:
-                stay = np.flatnonzero(~gone[lo:hi]) + lo
-                kept[row] = b" ".join([data[starts[i] : ends[i]] for i in stay.tolist()]).decode("utf-8", "surrogatepass")
-            elif hi > lo:
-                kept[row] = b" ".join(data[starts[lo] : ends[hi - 1]].split()).decode("utf-8", "surrogatepass")
-    return n_words, n_removed, kept
+def _cut(k: int):
+    @F.pandas_udf("n_words long, n_removed long, kept string")
+    def run(texts: pd.Series, at: pd.Series, sources: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, starts, source in zip(texts, at, sources, strict=True):
+            words, line, begin = _joined(text)
+            if starts is None:
+                out.append((len(words), 0, _as_text(line)))
+                continue
+            parts = sorted(p for a, s in zip(starts, source, strict=True) for p in _equal_words(words, line, begin, int(a), s, k))
+            stay, upto, removed = [], 0, 0
+            for lo, hi in parts:
+                if lo > upto:
+                    stay.append(line[begin[upto] : begin[lo] - 1])
+                removed += max(0, hi - max(lo, upto))
+                upto = max(upto, hi)
+            if upto < len(words):
+                stay.append(line[begin[upto] :])
+            out.append((len(words), removed, _as_text(b" ".join(stay))))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+
+    return run
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    text = named(text_col)
+    return [F.coalesce(named(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text")]
+
+
+def _one_a_key(rows: DataFrame) -> DataFrame:
+    """Repeated rows are read once; they meet before the exchange."""
+    return rows.groupBy("id", "th").agg(F.first("text").alias("text"))
+
+
+def sourced_spans(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """`id`, `th`, `at`, `n` (words), `sid`, `sth`, `sat`, `words` (at the source): the compacted spans, not yet compared."""
+    scratch, rows = Scratch(docs.sparkSession), docs.select(*_keys(docs, id_col, text_col))
+    runs = scratch.write("runs", anchor_runs(rows, k))
+    shared = runs.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a")
+    found = split_join(runs, shared, ["a"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    found = scratch.write("found", found)
+    scratch.drop("runs")
+    every = scratch.write("edges", edges(_one_a_key(rows).join(found, ["id", "th"]), k))
+
+    place = F.struct("id", "th", "at")
+    first = every.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max("id").alias("hi")).where("f.id < hi")
+    source = Window.partitionBy("f.id", "f.th").orderBy("f.at")
+    starts = F.when(F.coalesce(F.col("f.at") - F.lag("f.at").over(source), F.lit(0)) != 1, F.col("f.at"))
+    first = scratch.write("first", first.withColumn("head", starts).select("h1", "h2", F.col("f.id").alias("sid"), F.col("f.th").alias("sth"), F.col("f.at").alias("sat"), F.last("head", ignorenulls=True).over(source).alias("path")))
+    hits = split_join(every, first, ["h1", "h2"]).where("sid < id")
+
+    here = Window.partitionBy("id", "th").orderBy("at")
+    follows = F.coalesce((F.col("at") - F.lag("at").over(here) == 1) & (F.col("sat") - F.lag("sat").over(here) == 1) & (F.lag("sid").over(here) == F.col("sid")) & (F.lag("sth").over(here) == F.col("sth")), F.lit(False))
+    marked = hits.withColumn("head", F.when(~follows, F.col("at"))).withColumn("span", F.last("head", ignorenulls=True).over(here))
+    spans = marked.groupBy("id", "th", "span", "sid", "sth", "path").agg(F.min("sat").alias("sat"), (F.count("*") + k - 1).cast("int").alias("n"))
+    spans = scratch.write("spans", spans.withColumnRenamed("span", "at"))
+    scratch.drop("edges", "found")
+
+    paths = first.groupBy("sid", "sth", "path").agg((F.max("sat") - F.col("path") + k).cast("int").alias("n")).groupBy(F.col("sid").alias("id"), F.col("sth").alias("th")).agg(F.collect_list(F.struct("path", "n")).alias("p"))
+    read = _one_a_key(rows).join(paths, ["id", "th"]).select("id", "th", "p", _path_words(F.col("text"), F.col("p.path"), F.col("p.n")).alias("words"))
+    read = read.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.explode(F.arrays_zip("p.path", "words")).alias("z")).select("sid", "sth", F.col("z.path").alias("path"), F.col("z.words").alias("words"))
+    # a word holds no space, so the path's words split at spaces
+    taken = F.array_join(F.slice(F.split("words", " "), F.col("sat") - F.col("path") + 1, F.col("n")), " ")
+    return scratch.write("sourced", split_join(spans, read, ["sid", "sth", "path"]).select("id", "th", "at", "n", "sid", "sth", "sat", taken.alias("words")))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, carry: bool) -> DataFrame:
+    """`id`, `cut` (n_words, n_removed, kept) and, if `carry`, the columns of docs as c0, c1, .. of every row."""
+    spans = sourced_spans(docs, id_col, text_col, k).groupBy("id", "th").agg(F.collect_list(F.struct("at", "words")).alias("s"))
+    rows = docs.select(*_keys(docs, id_col, text_col), *[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if carry])
+    return split_join(rows, spans, ["id", "th"], "left").withColumn("cut", _cut(k)(F.col("text"), F.col("s.at"), F.col("s.words")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
@@ -241,57 +207,40 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A word goes if a window of k words around it also starts in a document with a smaller id. Null text has no words.
     Rows that share an id, repeated rows among them, are one document for that rule: neither is smaller. Null ids
-    come before all others. Texts under k words stay whole. Other columns are not read.
+    come before all others. Texts under k words stay whole; long texts are read whole. Other columns, whatever their
+    names, are not read.
     """
-
-    def finish(rows: pd.DataFrame, _: pa.Table, replies: list[bytes]) -> pa.Table:
-        n_words, n_removed, kept = _kept(rows, replies, k)
-        return pa.table({"id": rows.id.to_numpy(), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, type=pa.string())})
-
-    out = _grouped(docs, id_col, text_col, k, finish, "id long, n_words long, n_removed long, kept string")
-    return out.select(F.nullif("id", F.lit(_NO_ID)).alias(id_col), "n_words", "n_removed", "kept")
+    out = _judged(docs, id_col, text_col, k, carry=False)
+    return out.select(F.nullif("id", F.lit(_NO_ID)).alias(id_col), "cut.n_words", "cut.n_removed", "cut.kept")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
     """`docs` with the kept words as text. A text that loses nothing keeps its white space; a row that loses all its
-    words goes; rows and other columns stay as they are otherwise."""
-    names = [f"c{i}" for i, c in enumerate(docs.columns) if c != text_col]
-
-    def finish(rows: pd.DataFrame, table: pa.Table, replies: list[bytes]) -> pa.Table:
-        n_words, n_removed, kept = _kept(rows, replies, k)
-        text = [new if lost else old for new, old, lost in zip(kept, rows.text, n_removed, strict=True)]
-        stay = pa.array((n_removed == 0) | (n_removed < n_words))
-        return table.select(names).append_column("text", pa.array(text, type=pa.string())).filter(stay)
-
-    fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema) if f.name != text_col]
-    out = _grouped(docs, id_col, text_col, k, finish, ", ".join([*fields, "text string"]), carry=True)
-    return out.select(*[F.col("text" if c == text_col else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    words goes; rows and other columns, whatever their names, stay as they are otherwise."""
+    out = _judged(docs, id_col, text_col, k, carry=True).where("cut.n_removed = 0 OR cut.n_removed < cut.n_words")
+    text = F.when(F.col("cut.n_removed") > 0, F.col("cut.kept")).otherwise(F.col("text"))
+    return out.select(*[(text if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
-    """Compacted paths: `<id>`, `first_word`, `n_words`, `source_id`, `source_word`, one row for each maximal run of
-    repeated windows that follow one another both in the document and at their first source."""
+    """Compacted spans: `<id>`, `first_word`, `n_words`, `source_id`, `source_word`, one row for each maximal run of
+    repeated windows that follow one another both in the document and at their first source, equal word for word."""
 
-    names = [id_col, "first_word", "n_words", "source_id", "source_word"]
-
-    def finish(rows: pd.DataFrame, _: pa.Table, replies: list[bytes]) -> pa.Table:
-        found = []
-        for b, at, source, word in _sources(rows, replies, k):
-            if not len(at):
-                continue
-            new = np.ones(len(at), dtype=bool)
-            new[1:] = (np.diff(at) != 1) | (np.diff(source) != 0) | (np.diff(word) != 1) | (np.diff(b.doc[at]) != 0)
-            head = np.flatnonzero(new)
-            length = np.diff(np.append(head, len(at))) + k - 1
-            doc = b.doc[at[head]]
-            found.append((rows.id.to_numpy()[np.asarray(b.rows)[doc]], at[head] - b.first_word[doc], length, source[head], word[head]))
-        columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)] if found else [np.zeros(0, dtype=np.int64)] * 5
-        return pa.table(dict(zip(names, columns, strict=True)))
+    @F.pandas_udf("array<boolean>")
+    def equal(texts: pd.Series, at: pd.Series, sources: pd.Series) -> pd.Series:
+        out = []
+        for text, starts, source in zip(texts, at, sources, strict=True):
+            words, line, begin = _joined(text)
+            out.append([_equal_words(words, line, begin, int(a), s, k) == [(a, a + s.count(" ") + 1)] for a, s in zip(starts, source, strict=True)])
+        return pd.Series(out)
 
-    out = _grouped(docs, id_col, text_col, k, finish, ", ".join(f"`{c}` long" for c in names))
-    return out.withColumns({c: F.nullif(c, F.lit(_NO_ID)) for c in (id_col, "source_id")})
+    spans = sourced_spans(docs, id_col, text_col, k).groupBy("id", "th").agg(F.collect_list(F.struct("at", "n", "sid", "sat", "words")).alias("s"))
+    rows = _one_a_key(docs.select(*_keys(docs, id_col, text_col))).join(spans, ["id", "th"])
+    each = rows.select("id", F.explode(F.arrays_zip("s", equal(F.col("text"), F.col("s.at"), F.col("s.words")).alias("equal"))).alias("z")).where("z.equal")
+    ids = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
+    return each.select(ids("id").alias(id_col), F.col("z.s.at").alias("first_word"), F.col("z.s.n").alias("n_words"), ids("z.s.sid").alias("source_id"), F.col("z.s.sat").alias("source_word"))
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
     done = deduplicate(docs, id_col, text_col, k)
-    return done.select(id_col, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return done.select(named(id_col), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -9,17 +9,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 BUFFER_BYTES = 1 << 20
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_rng = np.random.default_rng(20240817)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_BLANK] = 0
-_POWER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _STEP2 = np.uint64(0xA0761D6478BD642F)
-_powers = np.ones(1, dtype=np.uint64)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Mask of the first n bytes of a lane of eight.
+_KEEP = np.array([*((1 << 8 * n) - 1 for n in range(8)), (1 << 64) - 1], dtype=np.uint64)
+#: Blank bytes at the end of a buffer, so that a lane can be read at every word.
+PAD = b" " * 8
+_LONG = 2048
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,13 +33,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 256), _POWER, dtype=np.uint64))])
-    return _powers
-
-
 def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a byte buffer."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
@@ -47,14 +42,19 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    first = np.zeros(len(data), dtype=np.int64)
-    first[starts] = starts
-    at = np.arange(len(data)) - np.maximum.accumulate(first)
-    longest = int((ends - starts).max())
-    np.minimum(at, longest, out=at)  # blanks count zero, whatever their power
-    return mix(np.add.reduceat(_BYTE[data] * powers(longest + 1)[at], starts) + (ends - starts).astype(np.uint64))
+    """A hash of the bytes of each word: eight at a time are mixed into it. `data` ends with PAD."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + _SEED)
+    lanes = np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    rows = np.flatnonzero(size <= _LONG)
+    at, left = starts[rows], size[rows]
+    while len(rows):
+        h[rows] = mix((h[rows] ^ (lanes[at] & _KEEP[np.minimum(left, 8)])) + _SEED)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for row in np.flatnonzero(size > _LONG):
+        h[row] = xxhash.xxh64_intdigest(data[starts[row] : ends[row]].tobytes())
+    return h
 
 
 def hash_windows(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
@@ -75,7 +75,7 @@ class Batch:
 
     def __init__(self, rows: list[int], texts: list[bytes]):
         self.rows = rows
-        self.data = np.frombuffer(b" ".join(texts) or b" ", dtype=np.uint8)
+        self.data = np.frombuffer(b" ".join([*texts, PAD]), dtype=np.uint8)
         self.starts, self.ends = spans(self.data)
         self.words = hash_words(self.data, self.starts, self.ends)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))

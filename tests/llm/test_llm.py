@@ -93,9 +93,7 @@ def kept_words(docs, k):
     return out
 
 
-@pytest.mark.parametrize("group", [1 << 10, 1 << 22])
-def test_substrings(spark, monkeypatch, group):
-    monkeypatch.setattr(substring, "GROUP_BYTES", group)
+def test_substrings(spark):
     texts = corpus(7, 90)
     found = substring.deduplicate(docs_of(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found} == kept_words(dict(enumerate(texts)), 13)
@@ -118,6 +116,30 @@ def test_substring_rows_of_one_id_and_columns(spark):
     assert Counter((r["doc_id"], r["text"], r["g"], r["h"]) for r in out.collect()) == {(1, long, 2, "x"): 2, (3, "tail", 2, "x"): 1, (None, None, 2, "x"): 1, (4, "", 2, "x"): 1}
 
 
+def test_substring_hashes_without_algebra(spark):
+    """Words that a polynomial hash modulo a power of two cannot tell apart."""
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    same = " ".join(f"w{i}" for i in range(12))
+    docs = docs_of(spark, [f"{same} {thue}", f"{same} {thue.translate({97: 98, 98: 97})}"])
+    assert [r["n_removed"] for r in substring.deduplicate(docs).collect()] == [0, 0]
+
+
+def test_substring_compares_words():
+    """Equal hashes of different words remove nothing."""
+    words, source = [f"w{i}".encode() for i in range(20)], " ".join(["w0", *(f"w{i}" for i in range(1, 14)), "x", "w15"])
+    line, begin = b" ".join(words), np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+    assert substring._equal_words(words, line, begin, 0, source, 13) == [(0, 13), (1, 14)]
+    assert substring._equal_words(words, line, begin, 2, "w2 w3", 2) == [(2, 4)]
+    assert substring._equal_words(words, line, begin, 18, "w18 w1", 2) == []
+
+
+def test_names_with_dots_and_clashes(spark):
+    docs = docs_of(spark, ["a\nb", "a\nb\nc", None]).toDF("doc_id", "text", "n_removed", "a.b", "n_lines", "kept", "at", "s", "cut", "words")
+    for stage in (lines.without_repeated_lines, substring.without_repeats, simhash.keep_first):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() >= 1
+
+
 # simhash -----------------------------------------------------------------------------------------------------------
 
 
