@@ -57,11 +57,12 @@ class Scratch:
         self._files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         self._files.deleteOnExit(folder)
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Add the rows to a table, in folders by a column if `by` is given, and return the table."""
         before = self.spark.conf.get(self._CLEANUP, "false")
         self.spark.conf.set(self._CLEANUP, "true")
         try:
-            df.write.parquet(f"{self.base}/{name}")
+            df.write.mode("append").partitionBy(*[by] if by else []).parquet(f"{self.base}/{name}")
         finally:
             self.spark.conf.set(self._CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")

@@ -29,6 +29,8 @@ from .wordhash import Batch, batches, hash_windows, mix
 
 WINDOW = 13
 ANCHOR_WORDS = 6
+#: Passes, by hash, in which edges are grouped; the shuffle files of one are on disk at a time.
+PASSES = 4
 #: Stands for a null id: before all others, and never smaller than itself.
 _NO_ID = -(1 << 63)
 
@@ -167,25 +169,32 @@ def sourced_spans(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
     """`id`, `th`, `at`, `n` (words), `sid`, `sth`, `sat`, `words` (at the source): the compacted spans, not yet compared."""
     scratch, rows = Scratch(docs.sparkSession), docs.select(*_keys(docs, id_col, text_col))
     runs = scratch.write("runs", anchor_runs(rows, k))
-    shared = runs.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a")
-    found = split_join(runs, shared, ["a"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    found = scratch.write("found", found)
-    scratch.drop("runs")
-    every = scratch.write("edges", edges(_one_a_key(rows).join(found, ["id", "th"]), k))
-
+    shared = scratch.write("shared", runs.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a"))
+    found = scratch.write("found", split_join(runs, shared, ["a"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("runs")))
+    scratch.drop("runs", "shared")
+    part = F.pmod("h1", F.lit(PASSES)).cast("int").alias("part")
+    every = scratch.write("edges", edges(_one_a_key(rows).join(found, ["id", "th"]), k).select("*", part), by="part")
+    scratch.drop("found")
     place = F.struct("id", "th", "at")
-    first = every.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max("id").alias("hi")).where("f.id < hi")
-    source = Window.partitionBy("f.id", "f.th").orderBy("f.at")
-    starts = F.when(F.coalesce(F.col("f.at") - F.lag("f.at").over(source), F.lit(0)) != 1, F.col("f.at"))
-    first = scratch.write("first", first.withColumn("head", starts).select("h1", "h2", F.col("f.id").alias("sid"), F.col("f.th").alias("sth"), F.col("f.at").alias("sat"), F.last("head", ignorenulls=True).over(source).alias("path")))
-    hits = split_join(every, first, ["h1", "h2"]).where("sid < id")
-
+    for p in range(PASSES):
+        mine = every.where(F.col("part") == p).drop("part")
+        seen = mine.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max("id").alias("hi")).where("f.id < hi")
+        seen = scratch.write(f"first{p}", seen.select("h1", "h2", F.col("f.id").alias("sid"), F.col("f.th").alias("sth"), F.col("f.at").alias("sat")))
+        hits = scratch.write("hits", split_join(mine, seen, ["h1", "h2"]).where("sid < id").drop("h1", "h2"))
+        places = scratch.write("places", seen.drop("h1", "h2"))
+        scratch.drop(f"first{p}")
+    scratch.drop("edges")
+
+    source = Window.partitionBy("sid", "sth").orderBy("sat")
+    starts = F.when(F.coalesce(F.col("sat") - F.lag("sat").over(source), F.lit(0)) != 1, F.col("sat"))
+    first = scratch.write("first", places.withColumn("head", starts).select("sid", "sth", "sat", F.last("head", ignorenulls=True).over(source).alias("path")))
+    scratch.drop("places")
     here = Window.partitionBy("id", "th").orderBy("at")
     follows = F.coalesce((F.col("at") - F.lag("at").over(here) == 1) & (F.col("sat") - F.lag("sat").over(here) == 1) & (F.lag("sid").over(here) == F.col("sid")) & (F.lag("sth").over(here) == F.col("sth")), F.lit(False))
     marked = hits.withColumn("head", F.when(~follows, F.col("at"))).withColumn("span", F.last("head", ignorenulls=True).over(here))
-    spans = marked.groupBy("id", "th", "span", "sid", "sth", "path").agg(F.min("sat").alias("sat"), (F.count("*") + k - 1).cast("int").alias("n"))
-    spans = scratch.write("spans", spans.withColumnRenamed("span", "at"))
-    scratch.drop("edges", "found")
+    spans = marked.groupBy("id", "th", "span", "sid", "sth").agg(F.min("sat").alias("sat"), (F.count("*") + k - 1).cast("int").alias("n"))
+    spans = scratch.write("spans", split_join(spans.withColumnRenamed("span", "at"), first, ["sid", "sth", "sat"]))
+    scratch.drop("hits")
 
     paths = first.groupBy("sid", "sth", "path").agg((F.max("sat") - F.col("path") + k).cast("int").alias("n")).groupBy(F.col("sid").alias("id"), F.col("sth").alias("th")).agg(F.collect_list(F.struct("path", "n")).alias("p"))
     read = _one_a_key(rows).join(paths, ["id", "th"]).select("id", "th", "p", _path_words(F.col("text"), F.col("p.path"), F.col("p.n")).alias("words"))
