@@ -70,9 +70,41 @@ def test_line_runs(spark, n):
     assert {r["__id"]: (r["kept"], r["n_removed"]) for r in found} == kept_lines(dict(enumerate(texts)), n)
 
 
+def longest_earlier(docs):
+    """By definition: for each line with an earlier copy, how many lines from it on have one together."""
+    where = {i: [x for x in (t or "").split("\n") if WORDS.search(x)] for i, t in docs.items()}
+    starts, out = [(i, p) for i in sorted(where) for p in range(len(where[i]))], {}
+    for n, (i, p) in enumerate(starts):
+        best = 0
+        for j, q in starts[:n]:
+            d = 0
+            while p + d < len(where[i]) and q + d < len(where[j]) and where[i][p + d] == where[j][q + d]:
+                d += 1
+            best = max(best, d)
+        if best:
+            out.setdefault(i, {})[p] = best
+    return out
+
+
+def test_maximal_line_runs(spark):
+    rng = random.Random(8)
+    texts = ["a\nb\nq", "a\nb\nc\nd", "a\nb\nc\nd", "\n".join("x" * 23), "\n".join("x" * 40 + "y"), "\n".join("ab" * 9 + "c")]
+    base = [f"line {i}" for i in range(40)]
+    for _ in range(25):
+        lo = rng.randrange(30)
+        texts.append("\n".join([rng.choice("pqr"), *base[lo : lo + rng.randrange(1, 30)], rng.choice("pqr")]))
+    found = {r["__id"]: r for r in lines.deduplicate_lines(docs_of(spark, texts)).collect()}
+    want = longest_earlier(dict(enumerate(texts)))
+    for i in range(len(texts)):
+        lcp = want.get(i, {})
+        assert found[i]["n_removed"] == len(lcp)
+        assert found[i]["longest_run"] == max(lcp.values(), default=0)
+        assert found[i]["n_runs"] == sum(1 for p, d in lcp.items() if lcp.get(p - 1, 0) + p - 1 < p + d)
+
+
 def test_line_rows_of_one_id_and_null_ids(spark):
     docs = docs_of(spark, ["a\nb", "a\nb", "a\nb\nc", "a\nb", "x\n\n"], ids=[1, 1, 2, None, 1])
-    found = Counter((r["__id"], r["kept"]) for r in lines.deduplicate_lines(docs).collect())
+    found = Counter((r["__id"], r["kept"]) for r in lines.deduplicate_lines(docs, min_lines=1).collect())
     assert found == {(1, ""): 2, (2, "c"): 1, (None, "a\nb"): 1, (1, "x\n\n"): 1}
     assert Counter((r["doc_id"], r["text"], r["label"]) for r in lines.without_repeated_lines(docs).collect()) == {(2, "c", 3): 1, (None, "a\nb", 3): 1, (1, "x\n\n", 3): 1}
 
