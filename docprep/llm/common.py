@@ -92,6 +92,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """A text without the lines whose numbers, counted from 0 over lines with a word, are in `gone`."""
+    lines = F.split(text, "\n", -1)
+    worded = F.filter(F.transform(lines, lambda x, p: F.when(x.rlike(HAS_WORD), p)), lambda p: p.isNotNull())
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda g: F.get(worded, g)))
+    return F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n")
+
+
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`__id`, `__th`, `__text`: rows that share a doc_id stay apart unless their text is equal too."""
     text = F.coalesce(named(text_col), F.lit(""))

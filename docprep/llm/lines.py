@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HAS_WORD, durable, named, split_join, with_row_key
+from .common import HAS_WORD, durable, named, split_join, with_row_key, without_lines
 
 #: A single repeated line is a run too.
 MIN_LINES = 1
@@ -102,12 +102,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = with_row_key(docs, id_col, text_col)
     found = repeated_runs(rows, min_lines)
     joined = rows.join(found, rows["__id"].eqNullSafe(found["id"]) & (rows["__th"] == found["th"]), "left")
-    split = joined.withColumn("lines", F.split("__text", "\n", -1))
-    split = split.withColumn("worded", F.filter(F.transform("lines", lambda x, p: F.when(x.rlike(HAS_WORD), p)), lambda p: p.isNotNull()))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda g: F.get("worded", g)))
-    kept = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(stay, lambda p: F.get("lines", p)), "\n"))
+    kept = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(without_lines(F.col("__text"), F.col("gone")))
+    n_lines = F.size(F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(HAS_WORD))).cast("long")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return split.select("__id", "__th", F.size("worded").cast("long").alias("n_lines"), zero(F.when(F.col("gone").isNotNull(), F.size("gone"))).alias("n_removed"), zero(F.col("n_runs")).alias("n_runs"), zero(F.col("longest_run")).alias("longest_run"), kept.alias("kept"))
+    return joined.select("__id", "__th", n_lines.alias("n_lines"), zero(F.when(F.col("gone").isNotNull(), F.size("gone"))).alias("n_removed"), zero(F.col("n_runs")).alias("n_runs"), zero(F.col("longest_run")).alias("longest_run"), kept.alias("kept"))
 
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:

@@ -355,6 +355,24 @@ def test_quality_rules_on_odd_texts(spark):
     assert line_rules.quality(docs_of(spark, ["a", "a", None], ids=[1, 1, None])).count() == 3
 
 
+def test_quality_counts_distinct_documents(spark):
+    words = " ".join(f"w{i}" for i in range(26))
+    docs = docs_of(spark, [f"{words}\n{words.upper()} x"] * 12, ids=[1] * 12)
+    assert {(r["n_lost_words"], r["kept"]) for r in line_rules.quality(docs).collect()} == {(0, True)}
+    docs = docs_of(spark, [words] * 12, ids=[1] * 6 + [None] * 6)
+    assert {(r["n_lost_words"], r["kept"]) for r in line_rules.quality(docs).collect()} == {(0, True)}
+    docs = docs_of(spark, [words] * 12)
+    assert {(r["n_lost_words"], r["kept"]) for r in line_rules.quality(docs).collect()} == {(26, False)}
+
+
+def test_frequent_lines_go(spark):
+    own = [" ".join(f"v{i}{chr(97 + j)}" for j in range(24)) for i in range(15)]
+    docs = docs_of(spark, [f"Menu {i}  Home\n\n{x}" for i, x in enumerate(own)] + ["menu 5 home", None])
+    out = line_rules.without_frequent_lines(docs.withColumnRenamed("h", "a.b"))
+    assert out.columns == docs.withColumnRenamed("h", "a.b").columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: f"\n{x}" for i, x in enumerate(own)}
+
+
 # url filters -------------------------------------------------------------------------------------------------------
 
 
@@ -455,16 +473,21 @@ def test_empty_and_null_tables(spark, make):
     assert langid.with_language(docs).count() == 0
 
 
+def word_sets(text):
+    ws = WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
 def plain_pipeline(docs):
-    """The stages after language on {id: text}."""
+    """The stages after language on {id: text}; near copies are those of five words and similarity 0.8."""
     docs = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
     cut = kept_lines(docs, lines.MIN_LINES)
     docs = {i: t for i, (t, gone) in cut.items() if not gone or WORDS.search(t)}
-    prints = {i: fingerprint(t) for i, t in docs.items()}
-    roots = components_of(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 4)
+    sets = {i: word_sets(t) for i, t in docs.items()}
+    roots = components_of(list(docs), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     first = {}
     for i in sorted(docs):
-        first.setdefault(roots[prints[i]], i)
+        first.setdefault(roots[i], i)
     docs = {i: docs[i] for i in first.values()}
     done = kept_words(docs, substring.WINDOW)
     return {i: n - gone for i, (n, gone, _) in done.items() if not gone or gone < n}
