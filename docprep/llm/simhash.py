@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, split_join
+from .common import durable, named, split_join
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -138,16 +138,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or wordless texts have fingerprint zero and are linked like any other. Rows with a null id take part; a
     component of such rows alone has a null component_id. Repeated rows and ids give a row each. Other columns are not read.
     """
-    marked = durable(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")))
+    marked = durable(docs.select(named(id_col).alias("id"), fingerprint(named(text_col), shingle).alias("fp")))
     classes = durable(marked.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(links(classes.select("fp"), max_distance))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = split_join(rooted, rooted.groupBy("root").agg(F.min("first").alias("component_id")), ["root"]).select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = split_join(rooted, rooted.groupBy("root").agg(F.min("first").alias("component_id")), ["root"]).select("fp", "component_id")
+    return marked.join(labelled, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component; rows with a null id stay."""
-    found = near_duplicates(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text", **options)
+    found = near_duplicates(docs.select(named(id_col).alias("__id"), named(text_col).alias("__text")), "__id", "__text", **options)
     later = found.where(F.col("__id") != F.col("component_id")).select("__id").distinct()
-    return docs.join(later, docs[id_col] == later["__id"], "left_anti")
+    return docs.join(later, named(id_col) == F.col("__id"), "left_anti")
