@@ -1,8 +1,9 @@
 """Length-bucketed packing (operator 5): boundaries by dynamic programming over the global histogram of lengths.
 
 The only thing the driver gathers is that histogram, of at most `max_len` + 1 rows, as texts over `max_len` tokens are
-cut into pieces first. Batches are numbered from exact running counts: blocks of ids are counted, the blocks' offsets
-are summed within a bucket, and rows are numbered within their block.
+cut into pieces first. Texts are read once. Batches are numbered from exact running counts: pieces are sorted by bucket and
+id over ranges that Spark samples, so that however ids are spaced the parts are alike in size; the parts' counts are summed
+within a bucket, and pieces are numbered within their part.
 """
 
 from __future__ import annotations
@@ -12,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_words
+from .common import durable, n_words, named
 
 MAX_LEN = 2048
 N_BUCKETS = 8
 BATCH_TOKENS = 65_536
-BLOCK_IDS = 4096
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], n_buckets: int = N_BUCKETS) -> list[int]:
@@ -48,21 +48,24 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
     `length` is the tokens of a row, by default its words. A batch holds up to batch_tokens // bucket_len pieces of one
     bucket, in order of id and piece; only the last of a bucket is not full. A row without tokens is one piece of
     length zero in the smallest bucket. Null ids come first; equal ids and repeated rows keep a piece each, in either order.
+    Long texts are counted whole. Other columns, whatever their names, are not read, but by `length`.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.coalesce(n_words(F.col(text_col)) if length is None else length, F.lit(0)).cast("long").alias("n"))
-    parts = sized.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)).cast("int") - 1)).alias("piece_no"))
-    parts = parts.select("id", "piece_no", F.least(F.lit(max_len), F.col("n") - F.col("piece_no") * max_len).cast("int").alias("n_tokens"))
+    count = n_words(named(text_col)) if length is None else length
+    sized = durable(docs.select(named(id_col).alias("id"), F.coalesce(count, F.lit(0)).cast("long").alias("n"), F.monotonically_increasing_id().alias("u")))
+    parts = sized.select("id", "u", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)).cast("int") - 1)).alias("piece_no"))
+    parts = parts.select("id", "u", "piece_no", F.least(F.lit(max_len), F.col("n") - F.col("piece_no") * max_len).cast("int").alias("n_tokens"))
     histogram = sorted((r["n_tokens"], r["count"]) for r in parts.groupBy("n_tokens").count().collect())
     bounds = optimal_bounds([x for x, _ in histogram], [c for _, c in histogram], n_buckets) or [0]
     bucket = F.array_min(F.filter(F.lit(bounds), lambda b: b >= F.col("n_tokens")))
-    block = F.coalesce(F.floor(F.col("id") / BLOCK_IDS), -1 - F.pmod(F.xxhash64("n_tokens", "piece_no"), F.lit(BLOCK_IDS))).cast("long")
-    placed = parts.withColumn("bucket_len", bucket).withColumn("block", F.when(F.col("id").isNull(), F.struct(F.lit(0).alias("a"), block.alias("b"))).otherwise(F.struct(F.lit(1).alias("a"), block.alias("b"))))
-    before = Window.partitionBy("bucket_len").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("bucket_len", "block").count().select("bucket_len", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("bucket_len", "block").orderBy("id", "piece_no", "n_tokens"))
-    numbered = placed.withColumn("row", inside).join(offsets, ["bucket_len", "block"])
+    order = ["bucket_len", "id", "piece_no", "n_tokens", "u"]  # u, a row's number in the scan, parts rows that are alike
+    ordered = durable(parts.withColumn("bucket_len", bucket).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("part", F.shiftright("at", 33))  # the number of the partition
+    counts = ordered.groupBy("bucket_len", "part").agg(F.count("*").alias("n"), F.min("at").alias("lo"))
+    before = Window.partitionBy("bucket_len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("bucket_len", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).alias("shift"))
+    numbered = ordered.join(shifts, ["bucket_len", "part"])
     capacity = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.greatest("bucket_len", F.lit(1))))
-    return numbered.select(F.col("id").alias(id_col), "piece_no", "n_tokens", "bucket_len", F.floor((F.col("offset") + F.col("row") - 1) / capacity).cast("long").alias("batch_no"))
+    return numbered.select(F.col("id").alias(id_col), "piece_no", "n_tokens", "bucket_len", F.floor((F.col("at") + F.col("shift")) / capacity).cast("long").alias("batch_no"))
 
 
 def oracle_sql(n_buckets: int = N_BUCKETS) -> str:
