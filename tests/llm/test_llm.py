@@ -275,8 +275,7 @@ def test_bounds_are_optimal():
         assert padded(packing.optimal_bounds(sizes, counts, k)) == best
 
 
-def test_packing(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK_IDS", 7)
+def test_packing(spark):
     rng = random.Random(2)
     texts = [" ".join(["w"] * rng.randrange(70)) for _ in range(200)] + [None, "", "w " * 205]
     rows = packing.pack(docs_of(spark, texts), max_len=50, n_buckets=3, batch_tokens=200).collect()
@@ -430,6 +429,47 @@ def test_language_is_held_out(spark):
     assert found.select("doc_id", "lang_pred").exceptAll(langid.identify(hidden).select("doc_id", "lang_pred")).count() == 0
 
 
+def test_language_by_a_plain_kernel(spark):
+    """Scores of the whole operator against sets of n-grams, counted one pair at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 3000 AND doc_id < 300")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+
+    def grams(text):
+        flat = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()).strip(" ")) + " "
+        flat = (" " if not text[:1].isalpha() else "") + flat + (" " if not text[-1:].isalpha() else "")
+        return {flat[i : i + n] for n in langid.NGRAMS for i in range(len(flat) - n + 1)}
+
+    taught = sorted((r["lang"], i) for i, r in rows.items() if r["lang"] and r["text"] and not found[i]["held_out"] and any(map(str.isalpha, r["text"])))
+    sets = {i: grams(r["text"]) for i, r in rows.items() if r["text"] and any(map(str.isalpha, r["text"]))}
+    marks, order = [], spark.createDataFrame([(i,) for _, i in taught], "i long").select("i", F.xxhash64("i").alias("h")).collect()
+    h = {r["i"]: r["h"] for r in order}
+    for lang in sorted({x for x, _ in taught}):
+        marks += sorted((i for x, i in taught if x == lang), key=lambda i: (h[i], i))[: langid.LANDMARKS_PER_LANGUAGE]
+    kernel = lambda i: np.array([len(sets[i] & sets[m]) for m in marks], dtype=float)
+    value, vector = np.linalg.eigh(np.array([kernel(m) for m in marks]))
+    good = value > 1e-6 * value.max()
+    phi = {i: kernel(i) @ (vector[:, good] / np.sqrt(value[good])) / len(sets[i]) ** 0.5 for i in sets}
+    langs = sorted({x for x, _ in taught})
+    x, y = np.array([phi[i] for _, i in taught]), np.array([langs.index(lang) for lang, _ in taught])
+    w = 1 / np.bincount(y)[y]
+    gram = x.T @ (x * w[:, None]) + langid.RIDGE * np.eye(x.shape[1])
+    weights = np.linalg.solve(gram, x.T @ ((y[:, None] == np.arange(len(langs))) * w[:, None]))
+    margin = {i: p @ weights for i, p in phi.items()}
+    agree = sum(found[i]["lang_pred"] == langs[int(m.argmax())] for i, m in margin.items())
+    assert agree >= 0.99 * len(margin)
+    assert np.median([abs(found[i]["score"] - np.clip(m.max(), 0, 1)) for i, m in margin.items()]) < 0.02
+
+
+def test_language_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    for lang in ("en", "fr"):
+        texts = [r["text"] for r in docs.where(F.col("lang") == lang).where("n_chars > 1000").orderBy("doc_id").limit(40).collect()]
+        (pred, whole), score = model.predict([texts[0], "\n".join(texts) * 10]), None
+        assert pred == [lang, lang] and whole[1] > 0.8 * whole[0]
+
+
 def test_language_of_odd_texts(spark):
     docs = docs_of(spark, [None, "", "123 !?", "the the and of", "the of and in", "x" * 600_000, "日本"] * 2)
     found = langid.identify(docs).collect()
