@@ -35,35 +35,6 @@ UNDETERMINED = "und"
 #: Score under which `with_language` rejects a text. On sf0.1 the lowest score of a held-out row with the right prediction is
 #: 0.256; letters of no learned language scored under 0.01, random letters up to 0.14.
 MIN_SCORE = 0.2
-PIECE_CHARS, so that the n-grams of a long text do not come to hold everything; its map is the
-mean of its pieces' by their letters. The model is fitted on a bounded sample of labelled rows (SAMPLE_PER_LANGUAGE each,
-MAX_SAMPLE in all, chosen by a hash of the id). Executors work out the landmarks' n-grams and the sample's maps; the driver
-gets at most MAX_LANDMARKS lists of n-gram numbers and a short vector for each row. Scoring reads every whole text.
-"""
-
-from __future__ import annotations
-
-import functools
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from .common import durable, named
-
-NGRAMS = (2, 3, 4)
-TABLE_BITS = 16
-SAMPLE_PER_LANGUAGE = 200
-MAX_SAMPLE = 3000
-LANDMARKS_PER_LANGUAGE = 32
-RIDGE = 1e-3
-UNDETERMINED = "und"
-#: Score under which `with_language` rejects a text. On sf0.1 the lowest score of a held-out row with the right prediction is
-#: 0.496; letters of no learned language and random letters scored 0.32 to 0.35.
-MIN_SCORE = 0.4
 PIECE_CHARS = 1 << 12
 MAX_LANDMARKS = 256
 #: Longer texts are landmarks only where a language has no shorter one.
