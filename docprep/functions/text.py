@@ -11,6 +11,8 @@ WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x20
 END = "[.!?。！？]"
 CLOSE = "[\"'」』]"
 HAN = "一-鿿"
+#: How much of a document the analysis of terms and of style reads.
+TERMS_CHARS, STYLE_CHARS = 50_000, 30_000
 #: Between the pieces of a text while it is split: a code point that Unicode keeps free of characters.
 MARK = "\ufdd0"
 

@@ -19,12 +19,15 @@ def history_current(log: DataFrame) -> DataFrame:
 
 
 def history_minus_deleted(log: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Records of ids without a tombstone."""
-    return log.join(tombstones.select("id").distinct(), "id", "left_anti")
+    """Records of ids without a tombstone; where tombstones have a time `ts`, records saved later than the last one count."""
+    if "ts" not in tombstones.columns:
+        return log.join(tombstones.select("id").distinct(), "id", "left_anti")
+    last = tombstones.groupBy("id").agg(F.max("ts").alias("deleted"))
+    return log.join(last, "id", "left").where(F.col("deleted").isNull() | (F.col("ts") > F.col("deleted"))).drop("deleted")
 
 
 def history_delete(log: DataFrame, ids: DataFrame) -> DataFrame:
-    """The current records that remain when `ids` are deleted."""
+    """The current records that remain when `ids` are deleted; a record saved after its tombstone's `ts` is back."""
     return history_minus_deleted(history_current(log), ids)
 
 

@@ -7,21 +7,31 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
-ATTEMPT = "doc_id long, chunk_no int, reply string, error_message string"
+ATTEMPT = "doc_id long, chunk_no int, attempt_no int, reply string, http_status int, error_message string, ts timestamp"
+_COLUMNS = ["doc_id", "chunk_no", "attempt_no", "reply", "http_status", "error_message", "ts"]
+
+
+def _attempt(doc_id, chunk_no, call: Callable[[], str]) -> tuple:
+    """One call as an attempt row; a failure's `status` attribute, if it has one, is its HTTP status."""
+    reply = status = message = None
+    try:
+        reply = call()
+    except Exception as error:  # a failure is a row
+        status, message = getattr(error, "status", None), str(error)
+    return doc_id, chunk_no, 1, reply, status, message, pd.Timestamp.now(tz="UTC")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"http_status": "Int32", "ts": "datetime64[us, UTC]"})
 
 
 def run_model(requests: DataFrame, fn: Callable[[str], str]) -> DataFrame:
-    """`reply` or `error_message` for each independent request (`doc_id`, `chunk_no`, `request`)."""
+    """An attempt row, with `reply` or `error_message`, for each independent request (`doc_id`, `chunk_no`, `request`)."""
 
     def run(parts):
         for part in parts:
-            out = []
-            for doc_id, chunk_no, request in zip(part["doc_id"], part["chunk_no"], part["request"], strict=True):
-                try:
-                    out.append((doc_id, chunk_no, fn(request), None))
-                except Exception as error:  # a failure is an attempt row
-                    out.append((doc_id, chunk_no, None, str(error)))
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "reply", "error_message"])
+            asked = zip(part["doc_id"], part["chunk_no"], part["request"], strict=True)
+            yield _frame([_attempt(doc_id, chunk_no, lambda request=request: fn(request)) for doc_id, chunk_no, request in asked])
 
     return requests.select("doc_id", "chunk_no", "request").mapInPandas(run, ATTEMPT)
 
@@ -32,12 +42,10 @@ def translate_in_order(requests: DataFrame, fn: Callable[[str, str], str]) -> Da
     def run(doc: pd.DataFrame) -> pd.DataFrame:
         out, previous = [], ""
         for row in doc.sort_values("chunk_no").itertuples():
-            try:
-                previous = fn(row.request, previous)
-                out.append((row.doc_id, row.chunk_no, previous, None))
-            except Exception as error:
-                out.append((row.doc_id, row.chunk_no, None, str(error)))
+            out.append(_attempt(row.doc_id, row.chunk_no, lambda row=row, previous=previous: fn(row.request, previous)))
+            previous = out[-1][3]
+            if out[-1][5] is not None:
                 break
-        return pd.DataFrame(out, columns=["doc_id", "chunk_no", "reply", "error_message"])
+        return _frame(out)
 
     return requests.select("doc_id", "chunk_no", "request").groupBy("doc_id").applyInPandas(run, ATTEMPT)

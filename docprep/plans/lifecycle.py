@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.operators import chapters, chunking, cost, model, pages, requests
+from docprep.operators import attempts, chapters, chunking, cost, model, pages, requests
 from docprep.sources import export
 
 
@@ -26,7 +26,12 @@ def convert(page_items: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def translate(docs: DataFrame, analysis: DataFrame, fn: Callable[[str, str], str], limit: int = chunking.MAX_CHARS) -> DataFrame:
-    """Translated text of each document; fn(source chunk, reply before) runs in order within a document."""
+    """`status` and, once completed, translated text of each document; fn(source chunk, reply before) runs in order within
+    a document. A failed chunk makes it an error, and the chunks after that are pending; no part is given as the whole."""
     asked = requests.requests(chunking.chunk_documents(docs, limit), analysis)
-    replies = model.translate_in_order(asked.withColumnRenamed("source_text", "request"), fn)
-    return requests.assemble_translation(replies.withColumnRenamed("reply", "translated"))
+    attempted = model.translate_in_order(asked.withColumnRenamed("source_text", "request"), fn)
+    outcome = F.when(F.col("error_message").isNotNull(), "failed").when(F.col("attempt_no").isNotNull(), "accepted").otherwise("pending")
+    every = asked.select("doc_id", "chunk_no").join(attempted, ["doc_id", "chunk_no"], "left").withColumn("outcome", outcome)
+    text = requests.assemble_translation(every.select("doc_id", "chunk_no", F.col("reply").alias("translated")))
+    known = attempts.document_status(every.select("doc_id", "outcome")).join(text, "doc_id")
+    return known.select("doc_id", "status", F.when(F.col("status") == "completed", F.col("translated_text")).alias("translated_text"))

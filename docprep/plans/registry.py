@@ -376,10 +376,15 @@ def _(s, d):
     return fx.plain_docs(s, d).select("doc_id", X.to_base64(F.encode("markdown", "UTF-8")).alias("b64"))
 
 
-@query("t19_url_name", "SELECT doc_id, url_encode(substr(markdown, 1, 60)) AS name FROM plain_docs WHERE NOT regexp_matches(substr(markdown, 1, 60), '[*!''()~/]')")
+# DuckDB escapes these five marks, which the components of a URI leave as they are
+_URL = "url_encode(markdown)"
+for _code, _char in ((33, "%21"), (39, "%27"), (40, "%28"), (41, "%29"), (42, "%2A")):
+    _URL = f"replace({_URL}, '{_char}', chr({_code}))"
+
+
+@query("t19_url_name", f"SELECT doc_id, {_URL} AS name FROM plain_docs")
 def _(s, d):
-    docs = fx.plain_docs(s, d).where(~F.substring("markdown", 1, 60).rlike("[*!'()~/]"))
-    return docs.select("doc_id", X.url_name(F.substring("markdown", 1, 60)).alias("name"))
+    return fx.plain_docs(s, d).select("doc_id", X.url_name(F.col("markdown")).alias("name"))
 
 
 @query("t20_nonspace_len", f"SELECT doc_id, length(regexp_replace(markdown, '{WS}', '', 'g')) AS n FROM para_docs")
@@ -493,9 +498,9 @@ def _(s, d):
     return requests.glossary_final(_analysis(s, d), _replies(s, d))
 
 
-@query("s3_analysis_prefix", "SELECT doc_id, substr(markdown, 1, 5000) AS for_terms, substr(markdown, 1, 3000) AS for_style FROM plain_docs")
+@query("s3_analysis_prefix", "SELECT doc_id, substr(markdown, 1, 50000) AS for_terms, substr(markdown, 1, 30000) AS for_style FROM plain_docs")
 def _(s, d):
-    return fx.plain_docs(s, d).select("doc_id", X.analysis_prefix(F.col("markdown"), 5000).alias("for_terms"), X.analysis_prefix(F.col("markdown"), 3000).alias("for_style"))
+    return fx.plain_docs(s, d).select("doc_id", X.analysis_prefix(F.col("markdown"), X.TERMS_CHARS).alias("for_terms"), X.analysis_prefix(F.col("markdown"), X.STYLE_CHARS).alias("for_style"))
 
 
 # attempts --------------------------------------------------------------------------------------------------------
@@ -749,7 +754,7 @@ def _count(chunk: str, before: str) -> str:
     return f"{len(chunk)}/{len(before)}"
 
 
-@query("lifecycle_translate", "SELECT doc_id, string_agg(reply || chr(10) || chr(10), '' ORDER BY chunk_no) AS translated_text FROM (SELECT doc_id, chunk_no, n_chars::VARCHAR || '/' || CASE WHEN chunk_no = 0 THEN '0' ELSE (length(lag(n_chars::VARCHAR) OVER w) + 2)::VARCHAR END AS reply FROM c_chunk WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)) GROUP BY doc_id", _chunk_sql("plain_docs", 3500))
+@query("lifecycle_translate", "SELECT doc_id, 'completed' AS status, string_agg(reply || chr(10) || chr(10), '' ORDER BY chunk_no) AS translated_text FROM (SELECT doc_id, chunk_no, n_chars::VARCHAR || '/' || CASE WHEN chunk_no = 0 THEN '0' ELSE (length(lag(n_chars::VARCHAR) OVER w) + 2)::VARCHAR END AS reply FROM c_chunk WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)) GROUP BY doc_id", _chunk_sql("plain_docs", 3500))
 def _(s, d):
     found = _analysis(s, d).select("doc_id", "style", "glossary", "characters")
     return lifecycle.translate(fx.plain_docs(s, d), found, _count)

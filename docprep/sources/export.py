@@ -20,7 +20,9 @@ def _or(c: str, default: str):
 
 def export_metadata(docs: DataFrame) -> DataFrame:
     """Defaults for null and empty title and author; the date in UTC to the second; an empty cover is none."""
-    date = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # an instant is shown in the session's zone, a time without a zone as it is
+    utc = F.to_utc_timestamp("ts", F.current_timezone()) if dict(docs.dtypes)["ts"] == "timestamp" else F.col("ts")
+    date = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return docs.select("doc_id", _or("title", TITLE).alias("title"), _or("author", AUTHOR).alias("author"), F.lit(LANG).alias("lang"), F.lit(TOC_TITLE).alias("toc_title"), date.alias("date"), F.nullif("cover", F.lit("")).alias("cover"))
 
 
@@ -48,6 +50,11 @@ def html_export(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit(PAGE_HEAD), escape_html(F.col("title")), F.lit(PAGE_STYLE), F.col("html"), F.lit(PAGE_TAIL)).alias("page"))
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """One folder of text for each `file_name`; documents whose `text` is null or empty are skipped."""
+def write_markdown(docs: DataFrame, path: str, mode: str | None = None) -> None:
+    """One folder with one Markdown file for each `file_name`; documents whose text is null or empty are skipped.
+
+    The text is the column `text`, or with a `mode` `translated_text` (translate) or `extracted_text` (any other).
+    """
+    if mode is not None:
+        docs = docs.withColumn("text", F.col("translated_text" if mode == "translate" else "extracted_text"))
     docs.where(F.coalesce(F.col("text"), F.lit("")) != "").select("file_name", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file_name").option("lineSep", "\n").text(path)

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one only if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docprep-")
+    """A new folder under spark.checkpoint.dir, which all executors share. A local session without one gets a temporary
+    folder; on a cluster, where executors could not read it, that is an error."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if base is None:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="docprep-")
     return f"{base.rstrip('/')}/docprep-{uuid.uuid4().hex}"
 
 

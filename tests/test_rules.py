@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from docprep.functions import text as X
-from docprep.operators import attempts, model, requests
+from docprep.operators import attempts, history, model, quality, requests
+from docprep.plans import lifecycle
 from docprep.sources import export, files
 
 
@@ -83,3 +84,50 @@ def test_model_failures_end_a_document(spark):
     frame = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "bad"), (2, 1, "c")], "doc_id long, chunk_no int, request string")
     found = {(r["doc_id"], r["chunk_no"]): (r["reply"], r["error_message"]) for r in model.translate_in_order(frame, fn).collect()}
     assert found == {(1, 0): ("a", None), (1, 1): ("ab", None), (2, 0): (None, "no")}
+
+
+def test_long_texts_without_an_end(spark):
+    """A megabyte of words: no pattern may recurse once for each of them."""
+    words = "word " * 200_000
+    pairs = spark.createDataFrame([(1, 0, words, words), (1, 1, "a", words + "end."), (1, 2, "a", "one two three. one, two; three four! (a b c d e.)")], "doc_id long, chunk_no int, source string, target string")
+    assert {r["chunk_no"]: r["latin_sentences"] for r in quality.untranslated_residue(pairs).collect()} == {0: 0, 1: 1, 2: 1}
+    for check in (quality.markdown_parity, quality.dialogue_breaks, quality.fullwidth_punct):
+        assert check(pairs).count() == 3
+
+
+def test_dates_are_in_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Taipei")
+        docs = spark.sql("SELECT 1 AS doc_id, '' AS title, '' AS author, '' AS cover, timestamp'2024-01-01 08:30:00' AS ts")
+        assert export.export_metadata(docs).first()["date"] == "2024-01-01T00:30:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_record_saved_after_its_tombstone_is_back(spark):
+    log = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "id long, ts long")
+    gone = spark.createDataFrame([(1, 4), (2, 6)], "id long, ts long")
+    assert {r["id"] for r in history.history_minus_deleted(log, gone).collect()} == {1, 3}
+    assert {r["id"] for r in history.history_minus_deleted(log, gone.drop("ts")).collect()} == {3}
+
+
+def test_translation_has_a_status(spark):
+    def fn(request, previous):
+        if "bad" in request:
+            raise ValueError("no")
+        return request.upper()
+
+    docs = spark.createDataFrame([(1, "one.\n\ntwo."), (2, "bad."), (3, "fine.\n\nbad.\n\nlast.")], "doc_id long, markdown string")
+    analysis = spark.createDataFrame([], "doc_id long, style string, glossary string, characters string")
+    found = {r["doc_id"]: (r["status"], r["translated_text"]) for r in lifecycle.translate(docs, analysis, fn, 6).collect()}
+    assert found[2] == found[3] == ("error", None)
+    assert found[1][0] == "completed" and found[1][1].split() == ["ONE.", "TWO."]
+
+
+def test_markdown_by_mode(spark, tmp_path):
+    docs = spark.createDataFrame([("a.md", "x", "y"), ("b.md", "z", None)], "file_name string, extracted_text string, translated_text string")
+    export.write_markdown(docs, str(tmp_path / "t"), "translate")
+    export.write_markdown(docs, str(tmp_path / "e"), "extract")
+    text = lambda folder: sorted(r["markdown"].strip() for r in files.scan_markdown(spark, str(tmp_path / folder)).collect())
+    assert (text("t"), text("e")) == (["y"], ["x", "z"])
