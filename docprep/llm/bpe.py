@@ -2,8 +2,12 @@
 
 Long texts are cut into chunks that overlap and are dealt out one by one. Each chunk is pre-tokenised from its own start.
 The pattern looks only forward, so two scans that share a boundary agree from there on: the first boundary that a chunk's
-scan shares with the scan of the chunk before is a true one. Pieces between such boundaries are encoded in parallel; a
-text whose scans do not meet within an overlap (one unbroken run of thousands of characters) is one piece.
+scan shares with the scan of the chunk before is a true one. Pieces between such boundaries are encoded in parallel.
+Where two scans do not meet within an overlap (an unbroken run of thousands of characters), the chunk is joined to the
+one before it and scanned again with it; only a text whose joined chunks do not meet either is one piece.
+
+The scan for boundaries uses the package `regex`, as tiktoken does not tell boundaries. The two hold different versions of
+Unicode, so characters that tiktoken classes otherwise are replaced by one of tiktoken's class before the scan.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import with_row_key
+from .common import durable, with_row_key
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 11
@@ -96,16 +100,34 @@ def decode_ids(ids: Column, vocabulary: Vocabulary) -> Column:
     return run(ids)
 
 
-def _boundaries(chunk: Column, more: Column, pattern: str, size: int, overlap: int) -> Column:
-    """`head`: starts of pre-tokens, but for those after white space, within the first `overlap` characters; `tail`: those within the `overlap` characters
-    after `size`, counted from there."""
+@functools.lru_cache(maxsize=1)
+def _reclassed() -> dict[int, str]:
+    """Characters that `regex` puts in another class of letters, numbers, white space and others than tiktoken does, each
+    with one that both put in tiktoken's class. The stand-ins take part in no contraction."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    one_byte = {bytes([i]): i for i in range(256)}
+
+    def theirs(pattern: str) -> str:
+        found = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=one_byte, special_tokens={})
+        return found.decode_bytes(found.encode_ordinary(every)).decode("utf-8")
+
+    out = {}
+    for pattern, stand_in in ((r"\p{L}", "\u00e9"), (r"\p{N}", "1"), (r"\s", "\u2003"), (r"[^\s\p{L}\p{N}]", "!")):
+        out |= {ord(c): stand_in for c in set(theirs(pattern)).difference(regex.findall(pattern, every))}
+    return out
+
+
+def _boundaries(chunk: Column, more: Column, body: Column, pattern: str, overlap: int) -> Column:
+    """`head`: starts of pre-tokens, but for those after white space, within the first `overlap` characters; `tail`: those
+    within the `overlap` characters after the first `body` ones, counted from there."""
     ints = T.ArrayType(T.IntegerType(), False)
 
     @F.arrow_udf(T.StructType([T.StructField("head", ints), T.StructField("tail", ints)]))
-    def run(chunks: pa.Array, followed: pa.Array) -> pa.Array:
-        scan = regex.compile(pattern).finditer
+    def run(chunks: pa.Array, followed: pa.Array, bodies: pa.Array) -> pa.Array:
+        scan, reclassed = regex.compile(pattern).finditer, _reclassed()
         heads, tails = [], []
-        for text, more_follows in zip(chunks.to_pylist(), followed.to_pylist(), strict=True):
+        for text, more_follows, size in zip(chunks.to_pylist(), followed.to_pylist(), bodies.to_pylist(), strict=True):
+            text = text if text.isascii() else text.translate(reclassed)
             last = len(text) - CUT_MARGIN if more_follows else len(text)
             at = np.fromiter((m.start() for m in scan(text)), dtype=np.int32)
             at = at[at <= last]
@@ -115,24 +137,57 @@ def _boundaries(chunk: Column, more: Column, pattern: str, size: int, overlap: i
             tails.append(at[at >= size] - size)
         return pa.StructArray.from_arrays([pa.array(heads, type=pa.list_(pa.int32())), pa.array(tails, type=pa.list_(pa.int32()))], names=["head", "tail"])
 
-    return run(chunk, more)
+    return run(chunk, more, body)
+
+
+def _of_text():
+    return Window.partitionBy("__id", "__th")
+
+
+def _met(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
+    """`__id`, `__th`, `k`, `body`, `begin` (the first boundary shared with the chunk before; null without one)."""
+    seen = chunks.select("__id", "__th", "k", "body", _boundaries(F.col("chunk"), F.col("more"), F.col("body"), pattern, overlap).alias("b"))
+    meets = F.array_min(F.array_intersect("b.head", F.lag("b.tail").over(_of_text().orderBy("k"))))
+    return durable(seen.select("__id", "__th", "k", "body", F.when(F.col("k") == 0, 0).otherwise(meets).alias("begin")))
+
+
+def _joined(chunks: DataFrame, begins: DataFrame, group: Column) -> DataFrame:
+    """Chunks with those of one group joined; k is that of the first."""
+    placed = begins.select(F.col("__id").alias("i"), F.col("__th").alias("t"), F.col("k").alias("n"), group.alias("g"))
+    same = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")) & (F.col("k") == F.col("n"))
+    parts = F.array_sort(F.collect_list(F.struct("k", "body", "more", "chunk")))
+    rows = chunks.join(placed, same).groupBy("__id", "__th", "g").agg(parts.alias("p"), F.max("copies").alias("copies"))
+    last = F.element_at("p", -1)
+    firsts = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x["chunk"].substr(F.lit(1), x["body"]))
+    body = F.aggregate("p", F.lit(0), lambda n, x: n + x["body"])
+    return rows.select("__id", "__th", F.get("p", F.lit(0))["k"].alias("k"), last["more"].alias("more"), body.alias("body"), F.concat(F.array_join(firsts, ""), last["chunk"]).alias("chunk"), "copies")
+
+
+def _cut(chunks: DataFrame, begins: DataFrame) -> DataFrame:
+    """The pieces of texts whose chunks all meet: from the boundary shared with the chunk before to that with the next."""
+    placed = begins.select(F.col("__id").alias("i"), F.col("__th").alias("t"), F.col("k").alias("n"), "begin", F.lead("begin").over(_of_text().orderBy("k")).alias("end"))
+    same = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")) & (F.col("k") == F.col("n"))
+    length = F.when(F.col("end").isNotNull(), F.col("body") + F.col("end") - F.col("begin")).otherwise(F.char_length("chunk"))
+    return chunks.join(placed, same).select("__id", "__th", "k", F.substring("chunk", F.col("begin") + 1, length).alias("piece"), "copies")
 
 
 def pieces(rows: DataFrame, pattern: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """`__id`, `__th`, `k`, `piece`, `copies`: the pieces of long texts, in order of k; repeated rows are counted."""
     last = F.ceil(F.char_length("__text") / size).cast("int") - 1
     cut = rows.select("__id", "__th", "__text", F.explode(F.sequence(F.lit(0), last)).alias("k"), last.alias("last"))
-    cut = cut.select("__id", "__th", "k", (F.col("k") < F.col("last")).alias("more"), F.substring("__text", F.col("k") * size + 1, F.lit(size + overlap)).alias("chunk"))
-    chunks = cut.groupBy("__id", "__th", "k", "more").agg(F.first("chunk").alias("chunk"), F.count("*").alias("copies"))
-    seen = chunks.select("__id", "__th", "k", _boundaries(F.col("chunk"), F.col("more"), pattern, size, overlap).alias("b"))
-    by = Window.partitionBy("__id", "__th")
-    in_order = by.orderBy("k")
-    meets = F.array_min(F.array_intersect("b.head", F.lag("b.tail").over(in_order)))
-    synced = seen.select("__id", "__th", "k", F.when(F.col("k") == 0, 0).otherwise(meets).alias("begin"))
-    synced = synced.select(F.col("__id").alias("i"), F.col("__th").alias("t"), F.col("k").alias("n"), "begin", F.lead("begin").over(in_order).alias("end"), F.bool_and(F.col("begin").isNotNull()).over(by).alias("whole"))
-    same = F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")) & (F.col("k") == F.col("n"))
-    cut_out = F.substring("chunk", F.when(F.col("whole"), F.col("begin") + 1).otherwise(1), F.when(F.col("whole") & F.col("end").isNotNull(), F.lit(size) + F.col("end") - F.col("begin")).when(F.col("more"), size).otherwise(size + overlap))
-    return chunks.join(synced, same).select("__id", "__th", "k", cut_out.alias("piece"), "copies", "whole")
+    cut = cut.select("__id", "__th", "k", (F.col("k") < F.col("last")).alias("more"), F.lit(size).alias("body"), F.substring("__text", F.col("k") * size + 1, F.lit(size + overlap)).alias("chunk"))
+    chunks = cut.groupBy("__id", "__th", "k", "more", "body").agg(F.first("chunk").alias("chunk"), F.count("*").alias("copies"))
+    out = None
+    for joining in (True, False):
+        begins = _met(chunks, pattern, overlap).withColumn("whole", F.bool_and(F.col("begin").isNotNull()).over(_of_text()))
+        done, left = begins.where("whole"), begins.where("not whole")
+        found = _cut(chunks, done)
+        out = found if out is None else out.unionByName(found)
+        if left.isEmpty():
+            return out
+        met = F.count("begin").over(_of_text().orderBy("k"))  # up to and with the chunk
+        chunks = _joined(chunks, left, met if joining else F.lit(0))
+    return out.unionByName(chunks.select("__id", "__th", "k", F.col("chunk").alias("piece"), "copies"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
@@ -140,11 +195,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     rows = with_row_key(docs, id_col, text_col)
     short = rows.where(F.char_length("__text") <= size).select("__id", encode_text(F.col("__text"), vocabulary).alias("ids"))
     cut = pieces(rows.where(F.char_length("__text") > size), vocabulary.pattern, size, overlap)
-    apart = cut.where("whole").select("__id", "__th", "k", "copies", encode_text(F.col("piece"), vocabulary).alias("ids"))
-    joined = cut.where("not whole").groupBy("__id", "__th").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("piece"), F.max("copies").alias("copies"))
-    unmet = joined.select("__id", "__th", F.lit(0).alias("k"), "copies", encode_text(F.col("piece"), vocabulary).alias("ids"))
+    apart = cut.select("__id", "__th", "k", "copies", encode_text(F.col("piece"), vocabulary).alias("ids"))
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
-    whole = apart.unionByName(unmet).groupBy("__id", "__th").agg(ordered.alias("ids"), F.max("copies").cast("int").alias("copies"))
+    whole = apart.groupBy("__id", "__th").agg(ordered.alias("ids"), F.max("copies").cast("int").alias("copies"))
     return short.unionByName(whole.select("__id", "ids", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("__id", "ids"))
 
 

@@ -262,6 +262,33 @@ def test_bpe(spark, encoding, size, overlap):
     assert bpe.round_trip_digest(docs_of(spark, [texts[0]] * 3, ids=[1, 1, 1]), vocabulary, size=size, overlap=overlap).count() == 3
 
 
+def test_bpe_joins_only_around_a_failed_cut(spark, encoding):
+    words = " ".join(f"w{i}" for i in range(60))
+    text = words + " " + "x" * 150 + " " + words
+    rows = bpe.with_row_key(docs_of(spark, [text, "y" * 400, words]), "doc_id", "text")
+    found = defaultdict(list)
+    for r in bpe.pieces(rows, public_tokenizers.PATTERN, size=40, overlap=12).collect():
+        found[r["__id"]].append((r["k"], r["piece"]))
+    assert {i: "".join(p for _, p in sorted(ps)) for i, ps in found.items()} == {0: text, 1: "y" * 400, 2: words}
+    assert len(found[0]) >= 7 and len(found[1]) == 1
+    for ps in found.values():
+        ids = [t for _, p in sorted(ps) for t in encoding.encode_ordinary(p)]
+        assert ids == encoding.encode_ordinary("".join(p for _, p in sorted(ps)))
+
+
+def test_bpe_classes_of_characters(spark, encoding):
+    odd = [chr(c) for c in sorted(bpe._reclassed())]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([rng.choice(odd), "a", " ", "1", "!", "'s", "\n"]) for _ in range(120)) for _ in range(150)]
+    for pattern in (r"\p{L}", r"\p{N}", r"\s"):
+        some = "".join(odd)[:3000]
+        both = tiktoken.Encoding("c", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        assert len(both.decode_bytes(both.encode_ordinary(some)).decode()) == len(bpe.regex.findall(pattern, some.translate(bpe._reclassed())))
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = {r["__id"]: list(r["ids"]) for r in bpe.encode(docs_of(spark, texts), vocabulary, size=24, overlap=20).collect()}
+    assert got == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 # packing -----------------------------------------------------------------------------------------------------------
 
 
