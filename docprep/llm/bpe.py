@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute
 import regex
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,14 +118,14 @@ def _reclassed() -> dict[int, str]:
     return out
 
 
-def _boundaries(chunk: Column, more: Column, body: Column, pattern: str, overlap: int) -> Column:
+def _boundaries(chunk: Column, more: Column, body: Column, pattern: str, overlap: int, classes: Broadcast) -> Column:
     """`head`: starts of pre-tokens, but for those after white space, within the first `overlap` characters; `tail`: those
     within the `overlap` characters after the first `body` ones, counted from there."""
     ints = T.ArrayType(T.IntegerType(), False)
 
     @F.arrow_udf(T.StructType([T.StructField("head", ints), T.StructField("tail", ints)]))
     def run(chunks: pa.Array, followed: pa.Array, bodies: pa.Array) -> pa.Array:
-        scan, reclassed = regex.compile(pattern).finditer, _reclassed()
+        scan, reclassed = regex.compile(pattern).finditer, classes.value
         heads, tails = [], []
         for text, more_follows, size in zip(chunks.to_pylist(), followed.to_pylist(), bodies.to_pylist(), strict=True):
             text = text if text.isascii() else text.translate(reclassed)
@@ -146,7 +147,8 @@ def _of_text():
 
 def _met(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
     """`__id`, `__th`, `k`, `body`, `begin` (the first boundary shared with the chunk before; null without one)."""
-    seen = chunks.select("__id", "__th", "k", "body", _boundaries(F.col("chunk"), F.col("more"), F.col("body"), pattern, overlap).alias("b"))
+    classes = chunks.sparkSession.sparkContext.broadcast(_reclassed())  # some ten thousand entries, whatever the texts
+    seen = chunks.select("__id", "__th", "k", "body", _boundaries(F.col("chunk"), F.col("more"), F.col("body"), pattern, overlap, classes).alias("b"))
     meets = F.array_min(F.array_intersect("b.head", F.lag("b.tail").over(_of_text().orderBy("k"))))
     return durable(seen.select("__id", "__th", "k", "body", F.when(F.col("k") == 0, 0).otherwise(meets).alias("begin")))
 
