@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .attempts import MAX_SHORT, MAX_TRANSLATION
+from .requests import NONE, SUMMARY_LINES, TAIL_CHARS, request_text
+
 ATTEMPT = "doc_id long, chunk_no int, attempt_no int, reply string, http_status int, error_message string, ts timestamp"
+#: What an attempt of the whole loop leaves: the call, and the fields of the reply that it came to.
+TRANSLATION = "doc_id long, chunk_no int, attempt_no int, request_sha256 string, translated string, new_terms array<string>, new_characters array<string>, summary string, missing_content boolean, short boolean, http_status int, error_message string, ts timestamp"
 _COLUMNS = ["doc_id", "chunk_no", "attempt_no", "reply", "http_status", "error_message", "ts"]
 
 
@@ -22,7 +31,7 @@ def _attempt(doc_id, chunk_no, call: Callable[[], str]) -> tuple:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS).astype({"http_status": "Int32", "ts": "datetime64[us, UTC]"})
+    return pd.DataFrame(rows, columns=_COLUMNS, dtype=object).astype({"http_status": "Int32", "ts": "datetime64[us, UTC]"})
 
 
 def run_model(requests: DataFrame, fn: Callable[[str], str]) -> DataFrame:
@@ -49,3 +58,90 @@ def translate_in_order(requests: DataFrame, fn: Callable[[str, str], str]) -> Da
         return _frame(out)
 
     return requests.select("doc_id", "chunk_no", "request").groupBy("doc_id").applyInPandas(run, ATTEMPT)
+
+
+class _Short(Exception):
+    pass
+
+
+def _strings(found) -> list[str]:
+    return [str(x) for x in found] if isinstance(found, list) else []
+
+
+def _reply(json_text: str | None, draft: str) -> dict:
+    """The fields of a correction; a blank or bad one, or one without a text, keeps the draft."""
+    try:
+        found = json.loads(json_text) if (json_text or "").strip() else {}
+    except ValueError:
+        found = {}
+    found = found if isinstance(found, dict) else {}
+    text, summary = (x if isinstance(x, str) and x else None for x in map(found.get, ("correctedTranslation", "chunkSummary")))
+    return {
+        "translated": text or draft, "new_terms": _strings(found.get("newTerms")), "new_characters": _strings(found.get("newCharacters")),
+        "summary": summary, "missing_content": found.get("missingContentDetected") is True,
+    }
+
+
+def _is_short(source: str, target: str) -> bool:
+    n, m = (len(re.sub(r"\s+", "", x)) for x in (source, target))
+    return n > 150 and m < n * 0.02
+
+
+def _can_retry(status, message: str) -> bool:
+    return status == 429 or re.search("429|quota|rate limit|suspiciously short", message.lower()) is not None
+
+
+def _given(text) -> list[str]:
+    return [text] if isinstance(text, str) and text not in ("", NONE) else []
+
+
+def translate_with_context(requests: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, wait: Callable[[float], None] = time.sleep, most: int = MAX_TRANSLATION) -> DataFrame:
+    """Every attempt at the chunks (`doc_id`, `chunk_no`, `source_text`, `style`, `glossary`, `characters`), in order within
+    a document, while documents run in parallel; `attempts.translation_outcome` reads the rows.
+
+    draft(request) gives a text and correct(request, draft) the JSON of a reply. Each request carries the tails of the
+    chunk before, the glossary and characters grown by the replies so far, and the last lines of their summaries. A short
+    draft, a limit of the service and missing content are tried again, `most` times in all; short drafts pass after
+    MAX_SHORT retries, missing content at the last attempt. Any other failure, or the last one, ends the document there.
+    Null texts are empty. A group is one document's chunks.
+    """
+
+    def attempt(request: str, source: str, tries: int) -> dict:
+        row = {"request_sha256": hashlib.sha256(request.encode("utf-8", "surrogatepass")).hexdigest(), "short": False}
+        try:
+            text = draft(request) or ""
+            row["short"] = _is_short(source, text)
+            if row["short"] and tries <= MAX_SHORT:
+                raise _Short("the draft is suspiciously short")
+            row |= _reply(correct(request, text), text) if correct else _reply(None, text)
+        except Exception as error:  # a failure is a row
+            row |= {"http_status": getattr(error, "status", None), "error_message": str(error)}
+        return row | {"attempt_no": tries, "ts": pd.Timestamp.now(tz="UTC")}
+
+    def run(doc: pd.DataFrame) -> pd.DataFrame:
+        out, before, notes = [], ("", ""), []
+        first = doc.iloc[0]
+        terms, people = _given(first["glossary"]), _given(first["characters"])
+        for chunk in doc.sort_values("chunk_no").itertuples():
+            source = chunk.source_text if isinstance(chunk.source_text, str) else ""
+            story = "\n".join("\n".join(notes).split("\n")[-SUMMARY_LINES:])
+            style = first["style"] if isinstance(first["style"], str) else ""
+            request = request_text({"style": style, "glossary": "\n".join(terms), "characters": "\n".join(people), "plot_summary": story}, *before, source)
+            for tries in range(1, most + 1):
+                row = attempt(request, source, tries)
+                out.append({"doc_id": chunk.doc_id, "chunk_no": chunk.chunk_no} | row)
+                message = row.get("error_message")
+                again = _can_retry(row["http_status"], message) if message is not None else row["missing_content"]
+                if not again or tries == most:
+                    break
+                if message is not None:
+                    wait(1 if "suspiciously short" in message.lower() else 5 * tries)
+            if message is not None:
+                break
+            terms, people = terms + row["new_terms"], people + row["new_characters"]
+            notes += [f"- {row['summary']}"] if row["summary"] else []
+            before = source[-TAIL_CHARS:], row["translated"][-TAIL_CHARS:]
+        columns = [c.split()[0] for c in TRANSLATION.split(", ")]
+        return pd.DataFrame([[r.get(c) for c in columns] for r in out], columns=columns, dtype=object).astype({"doc_id": "int64", "chunk_no": "int32", "attempt_no": "int32", "short": "bool", "http_status": "Int32", "missing_content": "boolean", "ts": "datetime64[us, UTC]"})
+
+    return requests.select("doc_id", "chunk_no", "source_text", "style", "glossary", "characters").groupBy("doc_id").applyInPandas(run, TRANSLATION)

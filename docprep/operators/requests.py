@@ -14,6 +14,10 @@ from .ordered import in_order
 TERMS_HEAD, CHARACTERS_HEAD, NONE = "【術語表】：", "【角色圖譜】：", "無"
 REPLY = "correctedTranslation string, newTerms array<string>, newCharacters array<string>, chunkSummary string, foundHallucinations boolean, missingContentDetected boolean"
 TAIL_CHARS = 1000
+#: Our own wording of a request; `{}` stands for the parts. The defaults are for context that is not there yet.
+DEFAULTS = {"style": "general", "glossary": "keep names and headings the same throughout", "characters": "find the characters and keep them the same", "plot_summary": "this is the beginning"}
+BEFORE = "\n\nPrevious source:\n{}\nPrevious translation:\n{}"
+REQUEST = "Style: {}\nGlossary:\n{}\nCharacters:\n{}\nThe story so far:\n{}{}\n\nTranslate:\n{}"
 SUMMARY_LINES = 10
 
 
@@ -137,15 +141,19 @@ def replies_to_chunks(chunks: DataFrame, replies: DataFrame) -> DataFrame:
     return chunks.join(replies, ["doc_id", "chunk_no"])
 
 
+def _filled(template: str, *parts) -> Column:
+    fixed = [F.lit(x) for x in template.split("{}")]
+    return F.concat(fixed[0], *[x for pair in zip(parts, fixed[1:], strict=True) for x in pair])
+
+
 def build_request(chunks: DataFrame) -> DataFrame:
     """One instruction text for each chunk, in our own wording, with defaults where there is no context yet."""
-    given = lambda c, default: F.when(F.coalesce(c, F.lit("")).isin("", NONE), default).otherwise(F.col(c))
-    context = F.when(F.coalesce("prev_source", F.lit("")) == "", "").otherwise(F.concat(F.lit("\n\nPrevious source:\n"), "prev_source", F.lit("\nPrevious translation:\n"), F.coalesce("prev_translation", F.lit(""))))
-    text = F.concat(
-        F.lit("Style: "), given("style", "general"),
-        F.lit("\nGlossary:\n"), given("glossary", "keep names and headings the same throughout"),
-        F.lit("\nCharacters:\n"), given("characters", "find the characters and keep them the same"),
-        F.lit("\nThe story so far:\n"), given("plot_summary", "this is the beginning"),
-        context, F.lit("\n\nTranslate:\n"), "source_text",
-    )
-    return chunks.select("doc_id", "chunk_no", text.alias("request"))
+    given = [F.when(F.coalesce(c, F.lit("")).isin("", NONE), default).otherwise(F.col(c)) for c, default in DEFAULTS.items()]
+    before = F.when(F.coalesce("prev_source", F.lit("")) == "", "").otherwise(_filled(BEFORE, F.col("prev_source"), F.coalesce("prev_translation", F.lit(""))))
+    return chunks.select("doc_id", "chunk_no", _filled(REQUEST, *given, before, F.col("source_text")).alias("request"))
+
+
+def request_text(context: dict[str, str], prev_source: str, prev_translation: str, source_text: str) -> str:
+    """The text of `build_request` for one chunk, for the loop that learns its context as it goes."""
+    given = [default if (context[c] or "") in ("", NONE) else context[c] for c, default in DEFAULTS.items()]
+    return REQUEST.format(*given, BEFORE.format(prev_source, prev_translation) if prev_source else "", source_text)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docprep.operators import attempts, chapters, chunking, cost, model, pages, requests
 from docprep.sources import export
+from docprep.sources.folders import written
 
 
 def estimate(page_counts: DataFrame, tokens_per_page: int, models: DataFrame, factor: int = 20) -> DataFrame:
@@ -25,13 +26,16 @@ def convert(page_items: DataFrame, meta: DataFrame) -> DataFrame:
     return export.export_entries(rendered, export.export_metadata(meta))
 
 
-def translate(docs: DataFrame, analysis: DataFrame, fn: Callable[[str, str], str], limit: int = chunking.MAX_CHARS) -> DataFrame:
-    """`status` and, once completed, translated text of each document; fn(source chunk, reply before) runs in order within
-    a document. A failed chunk makes it an error, and the chunks after that are pending; no part is given as the whole."""
+def translate(docs: DataFrame, analysis: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, limit: int = chunking.MAX_CHARS, **options) -> DataFrame:
+    """`status` and, once completed, translated text and final glossary of each document, by `model.translate_with_context`,
+    whose rows are written to the shared folder, so that no chunk is asked for twice. A failed chunk makes it an error, and the chunks after that are pending; no part is given as the whole."""
     asked = requests.requests(chunking.chunk_documents(docs, limit), analysis)
-    attempted = model.translate_in_order(asked.withColumnRenamed("source_text", "request"), fn)
-    outcome = F.when(F.col("error_message").isNotNull(), "failed").when(F.col("attempt_no").isNotNull(), "accepted").otherwise("pending")
-    every = asked.select("doc_id", "chunk_no").join(attempted, ["doc_id", "chunk_no"], "left").withColumn("outcome", outcome)
-    text = requests.assemble_translation(every.select("doc_id", "chunk_no", F.col("reply").alias("translated")))
-    known = attempts.document_status(every.select("doc_id", "outcome")).join(text, "doc_id")
-    return known.select("doc_id", "status", F.when(F.col("status") == "completed", F.col("translated_text")).alias("translated_text"))
+    tried = written(model.translate_with_context(asked, draft, correct, **options))
+    ended = attempts.translation_outcome(tried)
+    accepted = tried.join(ended.where("outcome = 'accepted'"), ["doc_id", "chunk_no", "attempt_no"]).select("doc_id", "chunk_no", "translated", "new_terms")
+    every = asked.select("doc_id", "chunk_no").join(ended.select("doc_id", "chunk_no", "outcome"), ["doc_id", "chunk_no"], "left")
+    status = attempts.document_status(every.withColumn("outcome", F.coalesce("outcome", F.lit("pending"))))
+    terms = requests.glossary_final(asked.groupBy("doc_id").agg(F.first("glossary").alias("glossary")), accepted)
+    known = status.join(requests.assemble_translation(accepted), "doc_id", "left").join(terms, "doc_id", "left")
+    done = F.col("status") == "completed"
+    return known.select("doc_id", "status", F.when(done, F.col("translated_text")).alias("translated_text"), F.when(done, F.col("glossary")).alias("glossary"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -471,14 +472,17 @@ def _(s, d):
     return requests.requests(fx.turns(s, d), _analysis(s, d))
 
 
-@query("t15_build_request", """
+_REQUEST = """
     SELECT doc_id, chunk_no, 'Style: ' || CASE WHEN coalesce(style, '') IN ('', '無') THEN 'general' ELSE style END
         || chr(10) || 'Glossary:' || chr(10) || CASE WHEN coalesce(g.glossary, '') IN ('', '無') THEN 'keep names and headings the same throughout' ELSE g.glossary END
         || chr(10) || 'Characters:' || chr(10) || CASE WHEN coalesce(c.characters, '') IN ('', '無') THEN 'find the characters and keep them the same' ELSE c.characters END
         || chr(10) || 'The story so far:' || chr(10) || CASE WHEN coalesce(plot_summary, '') IN ('', '無') THEN 'this is the beginning' ELSE plot_summary END
         || CASE WHEN prev_source = '' THEN '' ELSE chr(10) || chr(10) || 'Previous source:' || chr(10) || prev_source || chr(10) || 'Previous translation:' || chr(10) || prev_translation END
         || chr(10) || chr(10) || 'Translate:' || chr(10) || source_text AS request
-    FROM x_prev JOIN x_glossary g USING (doc_id, chunk_no) JOIN x_characters c USING (doc_id, chunk_no) JOIN x_summary USING (doc_id, chunk_no) LEFT JOIN styled USING (doc_id)""", _CONTEXT | _STYLE)
+    FROM x_prev JOIN x_glossary g USING (doc_id, chunk_no) JOIN x_characters c USING (doc_id, chunk_no) JOIN x_summary USING (doc_id, chunk_no) LEFT JOIN styled USING (doc_id)"""
+
+
+@query("t15_build_request", _REQUEST, _CONTEXT | _STYLE)
 def _(s, d):
     return requests.build_request(requests.request_context(fx.turns(s, d), _replies(s, d), _analysis(s, d)))
 
@@ -689,6 +693,24 @@ def _(s, d):
     return model.translate_in_order(fx.turns(s, d).withColumnRenamed("source_text", "request"), _follow).select("doc_id", "chunk_no", "reply")
 
 
+def _draft(request: str) -> str:
+    return "T" + request.rsplit("\n\nTranslate:\n", 1)[1]
+
+
+def _correction(request: str, draft: str) -> str:
+    n = len(draft)
+    return json.dumps({"newTerms": [f"t{n}", "-"], "newCharacters": [f"c{n}"] * (n % 2), "chunkSummary": f"s{n}\nx"})
+
+
+_CORRECTED = {"replies": "SELECT doc_id, chunk_no, 'T' || source_text AS translated, ['t' || (length(source_text) + 1), '-'] AS new_terms, CASE WHEN length(source_text) % 2 = 0 THEN ['c' || (length(source_text) + 1)] ELSE [] END AS new_characters, 's' || (length(source_text) + 1) || chr(10) || 'x' AS summary FROM turns"}
+
+
+@query("u2_translate_with_context", f"SELECT doc_id, chunk_no, 1 AS attempt_no, sha256(request) AS request_sha256, replies.translated FROM ({_REQUEST}) AS asked JOIN replies USING (doc_id, chunk_no)", _CONTEXT | _STYLE | _CORRECTED)
+def _(s, d):
+    asked = requests.requests(fx.turns(s, d), _analysis(s, d))
+    return model.translate_with_context(asked, _draft, _correction).select("doc_id", "chunk_no", "attempt_no", "request_sha256", "translated")
+
+
 @query("a2_scan_markdown")
 def _(s, d):
     return sources.scan_markdown(s, _markdown_folder(s, d))
@@ -750,11 +772,28 @@ def _(s, d):
     return lifecycle.convert(fx.page_items(s, d), _meta(s, d))
 
 
-def _count(chunk: str, before: str) -> str:
-    return f"{len(chunk)}/{len(before)}"
+def _count(request: str) -> str:
+    """Characters of the chunk and lines of the glossary, long enough for a draft, but some chunks fail."""
+    n = len(request.split("\n\nTranslate:\n", 1)[1])
+    if n % 11 == 3:
+        raise ValueError("no")
+    return f"{n}/{request.split('Glossary:', 1)[1].split('Characters:', 1)[0].count(chr(10)) - 1}{'.' * 100}"
+
+
+def _term(request: str, draft: str) -> str:
+    return json.dumps({"newTerms": [draft]})
+
+
+_TRANSLATED = """
+    SELECT doc_id, CASE WHEN bad THEN 'error' ELSE 'completed' END AS status, CASE WHEN NOT bad THEN text END AS translated_text,
+        CASE WHEN NOT bad THEN array_to_string(list_concat(CASE WHEN known = '' THEN [] ELSE [known] END, parts), chr(10)) END AS glossary
+    FROM (SELECT doc_id, any_value(known) AS known, bool_or(bad) AS bad, string_agg(part || chr(10) || chr(10), '' ORDER BY chunk_no) AS text, list(part ORDER BY chunk_no) AS parts
+        FROM (SELECT doc_id, chunk_no, known, n_chars % 11 = 3 AS bad, n_chars || '/' || greatest(1, chunk_no + CASE WHEN known = '' THEN 0 ELSE len(string_split(known, chr(10))) END) || repeat('.', 100) AS part
+            FROM (SELECT c_chunk.*, coalesce(nullif(glossary, '無'), '') AS known FROM c_chunk LEFT JOIN analysis USING (doc_id)))
+        GROUP BY doc_id)"""
 
 
-@query("lifecycle_translate", "SELECT doc_id, 'completed' AS status, string_agg(reply || chr(10) || chr(10), '' ORDER BY chunk_no) AS translated_text FROM (SELECT doc_id, chunk_no, n_chars::VARCHAR || '/' || CASE WHEN chunk_no = 0 THEN '0' ELSE (length(lag(n_chars::VARCHAR) OVER w) + 2)::VARCHAR END AS reply FROM c_chunk WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)) GROUP BY doc_id", _chunk_sql("plain_docs", 3500))
+@query("lifecycle_translate", _TRANSLATED, _chunk_sql("plain_docs", 3500))
 def _(s, d):
     found = _analysis(s, d).select("doc_id", "style", "glossary", "characters")
-    return lifecycle.translate(fx.plain_docs(s, d), found, _count)
+    return lifecycle.translate(fx.plain_docs(s, d), found, _count, _term)

@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/docprep-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in a new shared folder, for what must not be computed twice, such as model calls."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def dealt_out(df: DataFrame) -> DataFrame:
     """A table of fewer partitions than there are cores, such as one small file, is dealt to all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -113,18 +113,48 @@ def test_a_record_saved_after_its_tombstone_is_back(spark):
 
 
 def test_translation_has_a_status(spark):
-    def fn(request, previous):
-        if "bad" in request:
+    def fn(request):
+        text = request.split("Translate:\n")[1]
+        if "bad" in text:
             raise ValueError("no")
-        return request.upper()
+        return text.upper()
 
     docs = spark.createDataFrame([(1, "one.\n\ntwo."), (2, "bad."), (3, "fine.\n\nbad.\n\nlast.")], "doc_id long, markdown string")
     analysis = spark.createDataFrame([], "doc_id long, style string, glossary string, characters string")
-    found = {r["doc_id"]: (r["status"], r["translated_text"]) for r in lifecycle.translate(docs, analysis, fn, 6).collect()}
+    found = {r["doc_id"]: (r["status"], r["translated_text"]) for r in lifecycle.translate(docs, analysis, fn, limit=6).collect()}
     assert found[2] == found[3] == ("error", None)
     assert found[1][0] == "completed" and found[1][1].split() == ["ONE.", "TWO."]
 
 
+def test_attempts_at_a_chunk(spark):
+    long = "word " * 50
+
+    def draft(request):
+        text = request.split("Translate:\n")[1]
+        if text in ("limit", "fault"):
+            error = OSError("no")
+            error.status = 429 if text == "limit" else 500
+            raise error
+        return "x" if text == long else text
+
+    def correct(request, text):
+        return {"gap": '{"missingContentDetected": true, "correctedTranslation": "filled"}', "torn": '{"newTerms": [', "list": "[1]"}.get(text, "")
+
+    texts = [(1, 0, "limit"), (1, 1, "after"), (2, 0, "fault"), (3, 0, long), (3, 1, "gap"), (3, 2, "torn"), (3, 3, "list"), (4, 0, None)]
+    asked = spark.createDataFrame([(*t, None, None, "無") for t in texts], "doc_id long, chunk_no int, source_text string, style string, glossary string, characters string")
+    tried = model.translate_with_context(asked, draft, correct, wait=lambda seconds: None)
+    rows = tried.collect()
+    tries = {}
+    for r in rows:
+        tries.setdefault((r["doc_id"], r["chunk_no"]), []).append((r["attempt_no"], r["translated"], r["http_status"]))
+    assert {k: len(v) for k, v in tries.items()} == {(1, 0): 6, (2, 0): 1, (3, 0): 3, (3, 1): 6, (3, 2): 1, (3, 3): 1, (4, 0): 1}
+    assert tries[3, 0][-1] == (3, "x", None) and tries[3, 1][-1][1] == "filled" and (tries[3, 2], tries[3, 3]) == ([(1, "torn", None)], [(1, "list", None)])
+    ended = {(r["doc_id"], r["chunk_no"]): (r["outcome"], r["attempt_no"]) for r in attempts.translation_outcome(tried).collect()}
+    assert ended == {k: ("failed" if k[0] < 3 else "accepted", len(v)) for k, v in tries.items()}
+    known = requests.build_request(asked.where("doc_id = 3 AND chunk_no = 0").selectExpr("*", "'' AS plot_summary", "'' AS prev_source", "'' AS prev_translation")).selectExpr("sha2(request, 256) AS h").first()["h"]
+    assert {r["request_sha256"] for r in rows if (r["doc_id"], r["chunk_no"]) == (3, 0)} == {known}
+
+
 def test_markdown_by_mode(spark, tmp_path):
     docs = spark.createDataFrame([("a.md", "x", "y"), ("b.md", "z", None)], "file_name string, extracted_text string, translated_text string")
     export.write_markdown(docs, str(tmp_path / "t"), "translate")
