@@ -5,10 +5,12 @@ distance over d squared has a chi-square law, so once everything unseen lies bey
 than the k-th best distance d is missed with probability 1 - F(r^2 / d^2). A query takes projected neighbours in order
 and verifies them on the original vectors until F(r^2 / d^2) reaches `confidence`.
 
-Two levels of kd-tree hold every row. The upper one, fitted on a bounded sample, deals the rows into cells; a cell's rows
-are blocks of bounded size, each with a tree of its own. A query first visits its own cell, which gives a first d, and
-then the cells that the test with this d does not rule out. Equal vectors are one entry that carries its k + 1 least ids:
-no further copy can be among k neighbours when ties go to smaller ids.
+Two levels of kd-tree hold every row. The upper one deals the rows into cells; its splits come from a bounded sample of
+projected points, and there are as many cells as the number of rows asks for. A cell's box is that of all its rows. A
+cell's rows, in blocks of bounded size if there are too many, have a tree of their own. A query visits cells in waves by
+increasing gap: its own cell, then the nearest few, then all others that the test does not rule out, each wave with the
+k-th best distance of the one before. Equal vectors are one entry that carries its k + 1 least ids: no further copy can
+be among k neighbours when ties go to smaller ids.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from .common import durable, split_join
 K = 5
 PROJECTED = 8
 CONFIDENCE = 0.99
-SAMPLE = 20_000
-CELLS = 64
+#: Projected points (PROJECTED doubles each) that the driver reads, on average, to split the space into cells.
+SAMPLE = 100_000
+#: Rows to a cell on average, while the sample has four points for each cell; then cells are larger.
+CELL_ROWS = 2048
+#: Cells of the second wave.
+NEAR_CELLS = 4
 LEAF = 64
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 4096
@@ -67,61 +73,92 @@ def split_tree(points: np.ndarray, leaf: int, cells: int | None = None) -> list[
     return leaves
 
 
+def directions(dims: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((dims, PROJECTED))
+
+
 class Cells:
-    """The upper tree: boxes of the sample's leaves. A point belongs to the box at the least distance."""
-
-    def __init__(self, sample: np.ndarray, dims: int, cells: int):
-        self.directions = np.random.default_rng(SEED).standard_normal((dims, PROJECTED))
-        points = self.project(sample)
-        leaves = split_tree(points, 1, cells)
-        self.low = np.array([points[r].min(axis=0) for r in leaves])
-        self.high = np.array([points[r].max(axis=0) for r in leaves])
-
-    def project(self, unit: np.ndarray) -> np.ndarray:
-        return unit @ self.directions
-
-    def gaps(self, points: np.ndarray) -> np.ndarray:
-        """Squared distances from points to boxes."""
-        total = np.zeros((len(points), len(self.low)))
-        for j in range(points.shape[1]):
-            x = points[:, j : j + 1]
-            total += np.maximum(np.maximum(self.low[:, j] - x, x - self.high[:, j]), 0) ** 2
-        return total
+    """The upper tree: at each inner node a side and a value, under which a point goes left; leaves are cells."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        side, value, children, leaves = [], [], [], {}
+        waiting = [(points, None)]
+        while waiting:
+            rows, place = waiting.pop(0)
+            if place is not None:
+                children[place[0]][place[1]] = len(side)
+            width = np.ptp(rows, axis=0) if len(rows) > 1 else np.zeros(1)
+            split = len(leaves) + len(waiting) + 1 < cells and width.max() > 0
+            axis = int(width.argmax()) if split else -1
+            at = float(np.partition(rows[:, axis], len(rows) // 2)[len(rows) // 2]) if split else 0.0
+            if split and not (rows[:, axis] < at).any():
+                at = float(np.nextafter(at, np.inf))
+            if split:
+                low = rows[:, axis] < at
+                waiting += [(rows[low], (len(side), 0)), (rows[~low], (len(side), 1))]
+            else:
+                leaves[len(side)] = len(leaves)
+            side.append(axis)
+            value.append(at)
+            children.append([0, 0])
+        self.side, self.value, self.children = np.array(side), np.array(value), np.array(children)
+        self.cell = np.array([leaves.get(n, -1) for n in range(len(side))])
 
     def home(self, points: np.ndarray) -> np.ndarray:
-        return self.gaps(points).argmin(axis=1)
+        node, rows = np.zeros(len(points), dtype=np.int64), np.arange(len(points))
+        while (inner := self.side[node] >= 0).any():
+            at = node[inner]
+            node[inner] = self.children[at, (points[rows[inner], self.side[at]] >= self.value[at]).astype(np.int64)]
+        return self.cell[node]
+
+
+def gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances from points to boxes."""
+    total = np.zeros((len(points), len(low)))
+    for j in range(points.shape[1]):
+        x = points[:, j : j + 1]
+        total += np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0) ** 2
+    return total
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def cosines(vector: np.ndarray, others: np.ndarray) -> np.ndarray:
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
+
+
+def cosines(vector: np.ndarray, length: float, others: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
     """Cosines in double precision, row by row in one fixed order of addition."""
-    return (others * vector).sum(axis=1) / (np.sqrt((others * others).sum(axis=1)) * np.sqrt((vector * vector).sum()))
+    return (others * vector).sum(axis=1) / (other_lengths * length)
 
 
 def search_block(vectors: np.ndarray, ids: list[list[int]], points: np.ndarray, query: np.ndarray, query_points: np.ndarray, reach: np.ndarray, k: int, radius: float):
-    """For each query (row number, ids, scores) of its nearest in one block; reach: squared distance known so far."""
+    """For each query (row number, ids, scores) of its nearest in one block; reach: squared distance known so far. Leaves
+    are verified by increasing gap, twice as many in each step, with the test before each step."""
     leaves = split_tree(points, LEAF)
     low = np.array([points[r].min(axis=0) for r in leaves])
     high = np.array([points[r].max(axis=0) for r in leaves])
-    copies = np.array([len(i) for i in ids])
+    copies, sizes, query_sizes = np.array([len(i) for i in ids]), lengths(vectors), lengths(query)
     for q in range(len(query)):
-        gap = (np.maximum(np.maximum(low - query_points[q], query_points[q] - high), 0) ** 2).sum(axis=1)
-        limit, rows, scores = float(reach[q]), np.zeros(0, dtype=np.int64), np.zeros(0)
-        for leaf in gap.argsort():
-            if gap[leaf] > radius * limit:
+        gap = gaps(query_points[q : q + 1], low, high)[0]
+        order = gap.argsort()
+        limit, rows, scores, lo, step = float(reach[q]), np.zeros(0, dtype=np.int64), np.zeros(0), 0, 1
+        while lo < len(order):
+            near = [leaves[leaf] for leaf in order[lo : lo + step] if gap[leaf] <= radius * limit]
+            if not near:
                 break
-            rows = np.concatenate([rows, leaves[leaf]])
-            scores = np.concatenate([scores, cosines(query[q], vectors[leaves[leaf]])])
-            order = np.argsort(-scores, kind="stable")
-            enough = int(np.searchsorted(np.cumsum(copies[rows[order]]), k + 1)) + 1
-            cut = scores[order[min(enough, len(order)) - 1]]
-            keep = scores >= cut  # ties stay for the order of ids
+            near = np.concatenate(near)
+            rows = np.concatenate([rows, near])
+            scores = np.concatenate([scores, cosines(query[q], query_sizes[q], vectors[near], sizes[near])])
+            best = np.argsort(-scores, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(copies[rows[best]]), k + 1)) + 1
+            keep = scores >= scores[best[min(enough, len(best)) - 1]]  # ties stay for the order of ids
             rows, scores = rows[keep], scores[keep]
             if copies[rows].sum() > k:
                 limit = min(limit, max(0.0, 2 - 2 * float(scores.min())))
+            lo, step = lo + step, 2 * step
         if len(rows):
             yield q, np.concatenate([ids[r] for r in rows]), np.repeat(scores, copies[rows])
 
@@ -159,12 +196,13 @@ def _best(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
 
 
-def nearest(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE, cells: int = CELLS, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE, cells: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score` (cosine): the k nearest found of each row for which SQL `is_query` holds.
 
     `is_query` is over the column `vec_id`. Vectors that are null, empty, zero, or hold a null or non-finite component
     take no part, nor do vectors of another length than the most frequent one (of two, the greater). Null ids take no
     part. Rows of one id and vector count once. Ties go to smaller ids. With fewer than k candidates all are returned.
+    Without `cells` the number of rows sets how many there are. Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -174,9 +212,19 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("vector") == sizes["n"])
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()
-    tree = Cells(unit_rows(np.array([r["vector"] for r in picked])), sizes["n"], cells)
+    along = directions(sizes["n"])
     radius = chi2_quantile(confidence, PROJECTED)
+    share = 1 << 30
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(share)) < max(1, share * sample // sizes["count"]))
+
+    def project(parts):
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"point": list(unit_rows(_dense(part.vector)) @ along)})
+
+    picked = chosen.select("vector").mapInPandas(project, "point array<double>").limit(2 * sample).collect()
+    fitted = np.unique(np.array([r["point"] for r in picked]).reshape(-1, PROJECTED), axis=0)
+    tree = Cells(fitted, cells or max(1, min(-(-sizes["count"] // CELL_ROWS), len(fitted) // 4)))
 
     few = Window.partitionBy("vector").orderBy("vec_id")
     least = rows.distinct().withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
@@ -185,31 +233,42 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id
     def place(parts):
         for part in parts:
             if len(part):
-                points = tree.project(unit_rows(_dense(part.vector)))
+                points = unit_rows(_dense(part.vector)) @ along
                 yield part.assign(query_class=[int(i[0]) for i in part.ids], point=list(points), cell=tree.home(points).astype(np.int32))
 
     placed = durable(classes.mapInPandas(place, "vector array<double>, ids array<long>, query_class long, point array<double>, cell int"))
+    sides = [F.array(*[f(F.col("point")[j]) for j in range(PROJECTED)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    boxes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"), *sides).orderBy("cell").collect()
+    low, high = (np.array([b[name] for b in boxes], dtype=np.float64).reshape(-1, PROJECTED) for name in ("low", "high"))
+    names = np.array([b["cell"] for b in boxes], dtype=np.int32)
     n_blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
-    blocks = placed.join(n_blocks, "cell").select("cell", F.pmod(F.xxhash64("query_class"), F.col("n")).cast("int").alias("block"), "vector", "ids", "point")
+    blocks = split_join(placed, n_blocks, ["cell"]).select("cell", F.pmod(F.xxhash64("query_class"), F.col("n")).cast("int").alias("block"), "vector", "ids", "point")
 
     asked = rows.where(is_query).distinct().join(placed.select(F.col("vector").alias("v"), "query_class", "point", "cell"), F.col("vector") == F.col("v"))
     members = durable(asked.select(F.col("vec_id").alias("query_id"), "query_class", "vector", "point", "cell"))
     queries = members.groupBy("query_class").agg(F.first("vector").alias("vector"), F.first("point").alias("point"), F.first("cell").alias("home"))
-    first = durable(_best(_searched(queries.withColumn("cell", F.col("home")).withColumn("reach", F.lit(4.0)), blocks, k, radius), k + 1).drop("r"))
-    reach = first.groupBy("query_class").agg(F.when(F.count("*") > k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))).otherwise(4.0).alias("reach"))
 
-    def visit(parts):
-        for part in parts:
-            if len(part):
-                gaps = tree.gaps(_dense(part.point))
-                ok = gaps <= radius * part.reach.to_numpy()[:, None]
-                ok[np.arange(len(part)), part.home] = False
-                row, cell = np.nonzero(ok)
-                yield part.drop(columns="home").iloc[row].assign(cell=cell.astype(np.int32))
-
-    wide = queries.join(reach, "query_class", "left").withColumn("reach", F.coalesce("reach", F.lit(4.0))).select("query_class", "vector", "point", "home", "reach")
-    pairs = wide.mapInPandas(visit, "query_class long, vector array<double>, point array<double>, reach double, cell int")
-    every = _best(first.unionByName(_searched(pairs, blocks, k, radius)), k + 1)
+    def visits(known: DataFrame, first: int, last: int) -> DataFrame:
+        """A row for each query and cell of the ranks first to last by gap, its own cell apart, that is not ruled out."""
+        found = known.groupBy("query_class").agg(F.when(F.count("*") > k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))).otherwise(4.0).alias("reach"))
+        wide = queries.join(found, "query_class", "left").withColumn("reach", F.coalesce("reach", F.lit(4.0))).select("query_class", "vector", "point", "home", "reach")
+
+        def visit(parts):
+            step = max(1, (1 << 16) // max(1, len(names)))
+            for part in (p.iloc[lo : lo + step] for p in parts for lo in range(0, len(p), step)):
+                gap = gaps(_dense(part.point), low, high)
+                gap[part.home.to_numpy()[:, None] == names] = np.inf
+                order = np.argsort(gap, axis=1, kind="stable")[:, first:last]
+                row, rank = np.nonzero(np.take_along_axis(gap, order, axis=1) <= radius * part.reach.to_numpy()[:, None])
+                yield part.drop(columns="home").iloc[row].assign(cell=names[order[row, rank]])
+
+        return wide.mapInPandas(visit, "query_class long, vector array<double>, point array<double>, reach double, cell int")
+
+    own_cell = queries.withColumn("cell", F.col("home")).withColumn("reach", F.lit(4.0))
+    every = durable(_best(_searched(own_cell, blocks, k, radius), k + 1).drop("r"))
+    for first, last in ((0, NEAR_CELLS), (NEAR_CELLS, None)):
+        if len(names) > first + 1:
+            every = durable(_best(every.unionByName(_searched(visits(every, first, last), blocks, k, radius)), k + 1).drop("r"))
     packed = every.groupBy("query_class").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
     own = split_join(members, packed, ["query_class"]).select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     ranked = own.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("p", "x"))
