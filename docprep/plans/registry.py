@@ -744,19 +744,19 @@ def _stream(s, d, name):
 @query("st1_stream_drafts", "SELECT doc_id, chunk_no, string_agg(coalesce(text, ''), '' ORDER BY seq) AS draft_text FROM fragments GROUP BY 1, 2")
 def _(s, d):
     turns = _stream(s, d, "conversations").selectExpr("conv_id AS doc_id", "CAST(turn AS INT) AS chunk_no", "text AS source_text")
-    return streams.run_to_end(streams.stream_drafts(fx.fragments_of(turns)), shared_folder(s))
+    return streams.run_to_end(streams.stream_drafts(fx.fragments_of(turns)), shared_folder(s), ["doc_id", "chunk_no"])
 
 
 @query("st2_stream_progress", "SELECT doc_id, count(text) AS done, count(*) AS total, floor(100.0::DOUBLE * count(text) / count(*) + 0.5)::BIGINT AS percent FROM batch_texts GROUP BY doc_id")
 def _(s, d):
     total = s.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("total"))
     replies = _stream(s, d, "conversations").selectExpr("conv_id AS doc_id", "CAST(turn AS INT) AS batch_no", "CASE WHEN (conv_id + turn) % 9 = 4 THEN NULL ELSE text END AS text")
-    return streams.run_to_end(streams.stream_progress(replies.join(total, "doc_id")), shared_folder(s))
+    return streams.run_to_end(streams.stream_progress(replies.join(total, "doc_id")), shared_folder(s), ["doc_id"])
 
 
 @query("st3_stream_history", f"SELECT {_NOW} FROM history_now")
 def _(s, d):
-    return streams.run_to_end(streams.stream_history(fx.history_of(_stream(s, d, "events"))), shared_folder(s))
+    return streams.run_to_end(streams.stream_history(fx.history_of(_stream(s, d, "events"))), shared_folder(s), ["id"])
 
 
 # whole plans -----------------------------------------------------------------------------------------------------

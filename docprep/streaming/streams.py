@@ -28,12 +28,19 @@ def stream_history(log: DataFrame) -> DataFrame:
     return history_current(log)
 
 
-def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over what has arrived and return its last state."""
+def run_to_end(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Run a stream over what has arrived and return the last row of each key.
 
-    def replace(state: DataFrame, _: int) -> None:
-        state.write.mode("overwrite").parquet(f"{folder}/state")
+    A batch writes only the groups that it changed, to a folder of its own; a batch that is run again writes it anew.
+    """
 
-    run = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+
+    spark, fields = stream.sparkSession, [c for c in stream.columns if c not in keys]
+    keep(spark.createDataFrame([], stream.schema), -1)  # there may be no batch at all
+    run = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/state")
+    changes = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/changes").parquet(f"{folder}/changes/batch=*")
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
+    return latest.select(*keys, *[F.col(f"r.{c}") for c in fields])
