@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, split_join
+from .common import Scratch, split_join
 
 
 def _mark(edges: DataFrame):
@@ -16,19 +16,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """`node`, `root` (smallest node reachable) for each node of at least one edge between different nodes.
 
     A round takes every node's larger neighbours, then its smaller ones, to the least node it knows. Neighbour
-    sets are never gathered: a round is aggregates and joins on the node, where a hub is split by Spark.
+    sets are never gathered: a round is aggregates and joins on the node, where a hub is split by Spark. Each round's
+    edges are a table in the shared folder, and the table before it goes.
     """
-    e = durable(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    scratch, n = Scratch(edges.sparkSession), 0
+    e = scratch.write("e0", edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     before = _mark(e)
-    while True:
+    while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = split_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = split_join(large, low, ["a"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = durable(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = _mark(e)
+        e = scratch.write(f"e{n + 1}", small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        scratch.drop(f"e{n}")
+        n, now = n + 1, _mark(e)
         if now == before:
-            roots = e.select(F.col("b").alias("node")).distinct()
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+            break
         before = now
+    roots = e.select(F.col("b").alias("node")).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from . import ann, bpe, cotraining, langid, line_rules, lines, packing, simhash, substring, url_rules
+from . import ann, bpe, cotraining, divergence, langid, lexical, line_rules, lines, minmax, packing, simhash, substring, url_rules
 from .common import table
 
 
@@ -50,7 +50,25 @@ def op10_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_byte_bpe, op4_quality_classifier, op5_length_buckets, op6_nearest_neighbours, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_rules, op10_url_rules)} | {"pipeline": corpus_pipeline.run}
+def op11_minmax_near_dedup(spark, sf_dir):
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_line_dedup, op3_byte_bpe, op4_quality_classifier, op5_length_buckets, op6_nearest_neighbours, op7_substring_dedup,
+        op8_simhash_near_dedup, op9_quality_rules, op10_url_rules, op11_minmax_near_dedup, op12_lexical_search, op13_source_divergence,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -58,6 +76,9 @@ ORACLE_SQL = {
     "op2_line_dedup": lines.ORACLE_SQL,
     "op5_length_buckets": packing.oracle_sql(),
     "op9_quality_rules": line_rules.ORACLE_SQL,
+    "op11_minmax_near_dedup": minmax.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
     "op7_substring_dedup": rf"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS seq

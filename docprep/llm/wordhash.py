@@ -99,10 +99,10 @@ class Batch:
 
 
 def batches(texts) -> Iterator[Batch]:
-    """Batches of about BUFFER_BYTES over an iterable of str or None; a longer text is a batch of its own."""
+    """Batches of about BUFFER_BYTES over an iterable of str, UTF-8 bytes or None; a longer text is a batch of its own."""
     rows, held, size = [], [], 0
     for row, text in enumerate(texts):
-        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
         if held and size + len(data) > BUFFER_BYTES:
             yield Batch(rows, held)
             rows, held, size = [], [], 0
