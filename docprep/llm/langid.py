@@ -35,6 +35,8 @@ UNDETERMINED = "und"
 #: Score under which `with_language` rejects a text. On sf0.1 the lowest score of a held-out row with the right prediction is
 #: 0.256; letters of no learned language scored under 0.01, random letters up to 0.14.
 MIN_SCORE = 0.2
+#: Characters up to which a text is too short for the model to contradict a given language.
+SHORT_CHARS = 40
 PIECE_CHARS = 1 << 12
 MAX_LANDMARKS = 256
 #: Longer texts are landmarks only where a language has no shorter one.
@@ -210,7 +212,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """`docs` without the rows of undetermined language or with a score under `min_score`; a null language is filled with
-    the prediction, a given one and all other columns stay."""
+    the prediction, a given one and all other columns stay. A text of up to SHORT_CHARS characters with a letter stays
+    whatever its score if its language is given. Null texts and texts without a letter go; long texts are scored whole.
+    """
     model = fit(docs, id_col, text_col, lang_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -221,5 +225,6 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # not deterministic, or the filter and the column would each score every text
     scored = docs.withColumn("__found", language.asNondeterministic()(named(text_col)))
-    sure = scored.where((F.col("__found.lang") != UNDETERMINED) & (F.col("__found.score") >= min_score))
+    short = named(lang_col).isNotNull() & (F.char_length(named(text_col)) <= SHORT_CHARS)
+    sure = scored.where((F.col("__found.lang") != UNDETERMINED) & ((F.col("__found.score") >= min_score) | short))
     return sure.withColumn(lang_col, F.coalesce(named(lang_col), "__found.lang")).drop("__found")

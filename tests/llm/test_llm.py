@@ -393,7 +393,7 @@ def test_quality_counts_distinct_documents(spark):
 
 
 def test_frequent_lines_go(spark):
-    own = [" ".join(f"v{i}{chr(97 + j)}" for j in range(24)) for i in range(15)]
+    own = [" ".join(f"v{chr(97 + i)}{chr(97 + j)}" for j in range(24)) for i in range(15)]  # letters only, as digits are one zero
     docs = docs_of(spark, [f"Menu {i}  Home\n\n{x}" for i, x in enumerate(own)] + ["menu 5 home", None])
     out = line_rules.without_frequent_lines(docs.withColumnRenamed("h", "a.b"))
     assert out.columns == docs.withColumnRenamed("h", "a.b").columns
@@ -596,9 +596,10 @@ def word_sets(text):
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
 
-def plain_pipeline(docs):
-    """The stages after language on {id: text}; near copies are those of five words and similarity 0.8."""
-    docs = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
+def plain_pipeline(docs, scores):
+    """The stages on {id: text} of given languages and the scores of the language model; near copies are those of five words
+    and similarity 0.8."""
+    docs = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t) and (scores[i] >= langid.MIN_SCORE or len(t) <= langid.SHORT_CHARS)}
     cut = kept_lines(docs, lines.MIN_LINES)
     docs = {i: t for i, (t, gone) in cut.items() if not gone or WORDS.search(t)}
     sets = {i: word_sets(t) for i, t in docs.items()}
@@ -617,8 +618,11 @@ def test_pipeline(spark, tmp_path):
     total = Counter()
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         total[r["doc_id"]] += r["n_tokens"]
-    assert dict(total) == plain_pipeline(dict(enumerate(texts)))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in langid.identify(docs).collect()}
+    assert dict(total) == plain_pipeline(dict(enumerate(texts)), scores)
+    one = texts.index("one")
+    assert one in total and scores[one] < langid.MIN_SCORE  # short, with a given language
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docprep.llm import nearcopies
+from docprep.llm import minmax
 from test_llm import WORDS, components_of, corpus, docs_of
 
 
@@ -32,8 +32,8 @@ def changed_copies(seed):
 
 @pytest.mark.parametrize("dense, block", [(64, 512), (2, 5)])
 def test_near_copies_of_the_stage(spark, monkeypatch, dense, block):
-    monkeypatch.setattr(nearcopies, "DENSE_BUCKET", dense)
-    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(minmax, "DENSE_BUCKET", dense)
+    monkeypatch.setattr(minmax, "BLOCK", block)
     texts = [*changed_copies(4), *corpus(5)]
     sets = [shingles(t) for t in texts]
     roots = components_of(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
@@ -47,7 +47,7 @@ def test_near_copies_of_the_stage(spark, monkeypatch, dense, block):
 
 def test_near_copies_of_one_id_and_null_ids(spark):
     docs = docs_of(spark, ["a b c d e", "A b c d e", "z", None, "", "q", "a b c d e"], ids=[2, 1, None, 5, 4, 2, None])
-    assert Counter((r["doc_id"], r["text"]) for r in nearcopies.keep_first(docs).collect()) == {(1, "A b c d e"): 1, (None, "z"): 1, (4, ""): 1, (2, "q"): 1, (None, "a b c d e"): 1}
+    assert Counter((r["doc_id"], r["text"]) for r in minmax.keep_first(docs, shingle=5, percent=80).collect()) == {(1, "A b c d e"): 1, (None, "z"): 1, (4, ""): 1, (2, "q"): 1, (None, "a b c d e"): 1}
 
 
 def test_single_lines_of_the_stage(spark):
@@ -68,3 +68,13 @@ def test_language_stage_decides(spark):
     assert out[-3] == known.first()["lang"]
     clean = [r["doc_id"] for r in docs.where("n_chars > 200").collect()]
     assert set(clean) <= set(out)
+
+
+@pytest.mark.parametrize("texts", [[], [None, None]])
+def test_pipeline_of_empty_and_null_tables(spark, tmp_path, texts):
+    docs = docs_of(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() <= len(texts)
