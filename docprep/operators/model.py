@@ -11,6 +11,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from docprep.sources.attempt_log import AttemptLog
+
 from .attempts import MAX_SHORT, MAX_TRANSLATION
 from .requests import NONE, SUMMARY_LINES, TAIL_CHARS, request_text
 
@@ -65,7 +67,7 @@ class _Short(Exception):
 
 
 def _strings(found) -> list[str]:
-    return [str(x) for x in found] if isinstance(found, list) else []
+    return [str(x) for x in found if x is not None] if isinstance(found, list) else []
 
 
 def _reply(json_text: str | None, draft: str) -> dict:
@@ -95,7 +97,7 @@ def _given(text) -> list[str]:
     return [text] if isinstance(text, str) and text not in ("", NONE) else []
 
 
-def translate_with_context(requests: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, wait: Callable[[float], None] = time.sleep, most: int = MAX_TRANSLATION) -> DataFrame:
+def translate_with_context(requests: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, wait: Callable[[float], None] = time.sleep, most: int = MAX_TRANSLATION, log: AttemptLog | None = None) -> DataFrame:
     """Every attempt at the chunks (`doc_id`, `chunk_no`, `source_text`, `style`, `glossary`, `characters`), in order within
     a document, while documents run in parallel; `attempts.translation_outcome` reads the rows.
 
@@ -103,7 +105,9 @@ def translate_with_context(requests: DataFrame, draft: Callable[[str], str], cor
     chunk before, the glossary and characters grown by the replies so far, and the last lines of their summaries. A short
     draft, a limit of the service and missing content are tried again, `most` times in all; short drafts pass after
     MAX_SHORT retries, missing content at the last attempt. Any other failure, or the last one, ends the document there.
-    Null texts are empty. A group is one document's chunks.
+    Null texts are empty. A group is one document's chunks. With a `log` the attempts at a chunk are committed to it once the
+    chunk has ended, and a chunk that it holds is not asked for: its rows are read, and what the next request carries is
+    built up from them.
     """
 
     def attempt(request: str, source: str, tries: int) -> dict:
@@ -118,30 +122,40 @@ def translate_with_context(requests: DataFrame, draft: Callable[[str], str], cor
             row |= {"http_status": getattr(error, "status", None), "error_message": str(error)}
         return row | {"attempt_no": tries, "ts": pd.Timestamp.now(tz="UTC")}
 
+    def tried(request: str, source: str) -> list[dict]:
+        """The attempts until one ends the chunk."""
+        rows = []
+        for tries in range(1, most + 1):
+            rows.append(row := attempt(request, source, tries))
+            message = row.get("error_message")
+            again = _can_retry(row["http_status"], message) if message is not None else row["missing_content"]
+            if not again:
+                break
+            if message is not None and tries < most:
+                wait(1 if "suspiciously short" in message.lower() else 5 * tries)
+        return rows
+
     def run(doc: pd.DataFrame) -> pd.DataFrame:
         out, before, notes = [], ("", ""), []
         first = doc.iloc[0]
+        known = log.chunks(first["doc_id"]) if log else {}
         terms, people = _given(first["glossary"]), _given(first["characters"])
         for chunk in doc.sort_values("chunk_no").itertuples():
             source = chunk.source_text if isinstance(chunk.source_text, str) else ""
             story = "\n".join("\n".join(notes).split("\n")[-SUMMARY_LINES:])
             style = first["style"] if isinstance(first["style"], str) else ""
             request = request_text({"style": style, "glossary": "\n".join(terms), "characters": "\n".join(people), "plot_summary": story}, *before, source)
-            for tries in range(1, most + 1):
-                row = attempt(request, source, tries)
-                out.append({"doc_id": chunk.doc_id, "chunk_no": chunk.chunk_no} | row)
-                message = row.get("error_message")
-                again = _can_retry(row["http_status"], message) if message is not None else row["missing_content"]
-                if not again or tries == most:
-                    break
-                if message is not None:
-                    wait(1 if "suspiciously short" in message.lower() else 5 * tries)
-            if message is not None:
+            rows = known.get(chunk.chunk_no) or tried(request, source)
+            if log and chunk.chunk_no not in known:
+                log.commit(chunk.doc_id, chunk.chunk_no, [{"doc_id": int(chunk.doc_id), "chunk_no": int(chunk.chunk_no)} | row for row in rows])
+            out += [{"doc_id": chunk.doc_id, "chunk_no": chunk.chunk_no} | row for row in rows]
+            row = rows[-1]
+            if row.get("error_message") is not None:
                 break
             terms, people = terms + row["new_terms"], people + row["new_characters"]
             notes += [f"- {row['summary']}"] if row["summary"] else []
             before = source[-TAIL_CHARS:], row["translated"][-TAIL_CHARS:]
         columns = [c.split()[0] for c in TRANSLATION.split(", ")]
-        return pd.DataFrame([[r.get(c) for c in columns] for r in out], columns=columns, dtype=object).astype({"doc_id": "int64", "chunk_no": "int32", "attempt_no": "int32", "short": "bool", "http_status": "Int32", "missing_content": "boolean", "ts": "datetime64[us, UTC]"})
+        return pd.DataFrame([[pd.Timestamp(r[c]) if c == "ts" else r.get(c) for c in columns] for r in out], columns=columns, dtype=object).astype({"doc_id": "int64", "chunk_no": "int32", "attempt_no": "int32", "short": "bool", "http_status": "Int32", "missing_content": "boolean", "ts": "datetime64[us, UTC]"})
 
     return requests.select("doc_id", "chunk_no", "source_text", "style", "glossary", "characters").groupBy("doc_id").applyInPandas(run, TRANSLATION)

@@ -18,6 +18,9 @@ TAIL_CHARS = 1000
 DEFAULTS = {"style": "general", "glossary": "keep names and headings the same throughout", "characters": "find the characters and keep them the same", "plot_summary": "this is the beginning"}
 BEFORE = "\n\nPrevious source:\n{}\nPrevious translation:\n{}"
 REQUEST = "Style: {}\nGlossary:\n{}\nCharacters:\n{}\nThe story so far:\n{}{}\n\nTranslate:\n{}"
+#: Heads of the two requests that analyse a document, in our own wording; the sections of the reply have the fixed heads.
+TERMS_REQUEST = f"List terms under {TERMS_HEAD} and characters under {CHARACTERS_HEAD}, a line for each.\n\n"
+STYLE_REQUEST = "Describe kind, voice and readers of this text as a style guide.\n\n"
 SUMMARY_LINES = 10
 
 

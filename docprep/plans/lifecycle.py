@@ -1,4 +1,4 @@
-"""The three ways through the engine, each one declarative plan over the operators."""
+"""The ways through the engine, each one plan over the operators."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.operators import attempts, chapters, chunking, cost, model, pages, requests
+from docprep.functions.text import STYLE_CHARS, TERMS_CHARS, analysis_prefix, extraction_route, has_raw_text, trim_ws
+from docprep.operators import attempts, chapters, chunking, cost, history, model, pages, requests
 from docprep.sources import export
-from docprep.sources.folders import written
+from docprep.sources.attempt_log import AttemptLog
+from docprep.sources.folders import shared_folder, written
 
 
 def estimate(page_counts: DataFrame, tokens_per_page: int, models: DataFrame, factor: int = 20) -> DataFrame:
@@ -26,15 +28,80 @@ def convert(page_items: DataFrame, meta: DataFrame) -> DataFrame:
     return export.export_entries(rendered, export.export_metadata(meta))
 
 
-def translate(docs: DataFrame, analysis: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, limit: int = chunking.MAX_CHARS, **options) -> DataFrame:
-    """`status` and, once completed, translated text and final glossary of each document, by `model.translate_with_context`,
-    whose rows are written to the shared folder, so that no chunk is asked for twice. A failed chunk makes it an error, and the chunks after that are pending; no part is given as the whole."""
-    asked = requests.requests(chunking.chunk_documents(docs, limit), analysis)
-    tried = written(model.translate_with_context(asked, draft, correct, **options))
+def extract(page_items: DataFrame, fn: Callable[[str], str], size: int = 5, most: int = attempts.MAX_EXTRACTION) -> DataFrame:
+    """`status` and, once completed, `markdown` of each document from the items on its pages.
+
+    Pages go in batches of `size` to the model function, as `repair` with their text or as `ocr` with their page numbers if
+    they hold hardly any. In each round the batches without an outcome are asked again, `most` times in all; a last batch
+    without text may stay empty. The rows of a round are written before the next one, so no call is made twice for it.
+    """
+    texts = pages.is_last_batch(pages.batch_raw_text(pages.page_text(page_items), size))
+    raw = F.col("raw_text")
+    number = (F.col("batch_no") * size + 1).cast("string")
+    request = F.concat(extraction_route(raw), F.lit("\n"), F.when(has_raw_text(raw), raw).otherwise(F.concat(F.lit("pages from "), number)))
+    asked = written(texts.select("doc_id", "batch_no", "is_last", has_raw_text(raw).alias("has_raw"), request.alias("request")))
+    facts = asked.select("doc_id", "batch_no", "is_last", "has_raw")
+    tried, left = None, asked
+    for attempt_no in range(1, most + 1):
+        replies = model.run_model(left.withColumnRenamed("batch_no", "chunk_no"), fn).withColumnRenamed("chunk_no", "batch_no")
+        rows = written(replies.withColumn("attempt_no", F.lit(attempt_no)).withColumn("ok", F.col("error_message").isNull()))
+        tried = rows if tried is None else tried.unionByName(rows)
+        ended = attempts.extraction_outcome(tried.join(facts, ["doc_id", "batch_no"]), most)
+        left = asked.join(ended.where("outcome <> 'pending'"), ["doc_id", "batch_no"], "left_anti")
+    texts = tried.where("ok").select("doc_id", "batch_no", F.coalesce("reply", F.lit("")).alias("text"))
+    known = ended.join(texts, ["doc_id", "batch_no"], "left").withColumn("text", F.when(F.col("outcome") == "empty", "").otherwise(F.col("text")))
+    whole = pages.assemble_extraction(known)
+    status = attempts.document_status(ended.withColumn("outcome", F.when(F.col("outcome") == "empty", "accepted").otherwise(F.col("outcome"))))
+    return status.join(whole, "doc_id").select("doc_id", "status", F.when(F.col("status") == "completed", F.col("markdown")).alias("markdown"))
+
+
+def analyse(docs: DataFrame, fn: Callable[[str], str], saved: DataFrame | None = None) -> DataFrame:
+    """`style`, `glossary`, `characters` of each document (`markdown`), from two independent requests for its first part.
+
+    Documents with a row in `saved`, of the same columns, are not asked again. A failed request gives the sentinel or the
+    default style. The rows are written, so that no request is made twice for them.
+    """
+    left = docs if saved is None else docs.join(saved.select("doc_id").distinct(), "doc_id", "left_anti")
+    start = lambda head, n: F.concat(F.lit(head), analysis_prefix(F.col("markdown"), n))
+    both = F.array(start(requests.TERMS_REQUEST, TERMS_CHARS), start(requests.STYLE_REQUEST, STYLE_CHARS))
+    asked = left.where("markdown IS NOT NULL").select("doc_id", F.posexplode(both).alias("chunk_no", "request"))
+    replies = written(model.run_model(asked, fn).select("doc_id", "chunk_no", F.when(F.col("error_message").isNull(), F.coalesce("reply", F.lit(""))).alias("reply")))
+    terms = requests.parse_analysis(replies.where("chunk_no = 0").select("doc_id", F.coalesce("reply", F.lit(requests.NONE)).alias("reply")))
+    style = F.coalesce(F.nullif(trim_ws(F.col("reply")), F.lit("")), F.lit(requests.DEFAULTS["style"]))
+    found = terms.join(replies.where("chunk_no = 1").select("doc_id", style.alias("style")), "doc_id").select("doc_id", "style", "glossary", "characters")
+    return found if saved is None else found.unionByName(saved.select(*found.columns).join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
+def prepare(docs: DataFrame, fn: Callable[[str], str], limit: int = chunking.MAX_CHARS, saved: DataFrame | None = None) -> DataFrame:
+    """The chunks of the documents with the style, glossary and characters that an analysis finds."""
+    return requests.requests(chunking.chunk_documents(docs, limit), analyse(docs, fn, saved))
+
+
+def translate(docs: DataFrame, analysis: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, limit: int = chunking.MAX_CHARS, log: str | None = None, again: bool = False, **options) -> DataFrame:
+    """`status` and, once completed, translated text and final glossary of each document, by `model.translate_with_context`.
+
+    Each chunk's attempts are committed to the folder `log` when the chunk ends, and a run with the folder of one that broke
+    off asks for what is pending only: finished documents take no part, the others go on where their log ends. A failed
+    chunk makes its document an error, and the chunks after it are pending; no part is given as the whole. With `again`
+    documents with a failed chunk go on too, from that chunk.
+    """
+    spark = docs.sparkSession
+    held = AttemptLog(log or shared_folder(spark), model.TRANSLATION)
+    asked = written(requests.requests(chunking.chunk_documents(docs, limit), analysis))
+    before = held.table(spark)
+    ended = written(attempts.translation_outcome(before))
+    failed = ended.where("outcome = 'failed'").select("doc_id", "chunk_no")
+    if again:
+        held.reopen(failed)
+    pending = history.pending_chunks(asked.select("doc_id", "chunk_no"), ended.where("outcome = 'accepted'")).select("doc_id").distinct()
+    open_docs = pending if again else pending.join(failed.select("doc_id").distinct(), "doc_id", "left_anti")
+    model.translate_with_context(asked.join(open_docs, "doc_id", "left_semi"), draft, correct, log=held, **options).write.format("noop").mode("overwrite").save()
+    tried = written(held.table(spark).join(asked.select("doc_id", "chunk_no"), ["doc_id", "chunk_no"], "left_semi"))
     ended = attempts.translation_outcome(tried)
     accepted = tried.join(ended.where("outcome = 'accepted'"), ["doc_id", "chunk_no", "attempt_no"]).select("doc_id", "chunk_no", "translated", "new_terms")
     every = asked.select("doc_id", "chunk_no").join(ended.select("doc_id", "chunk_no", "outcome"), ["doc_id", "chunk_no"], "left")
     status = attempts.document_status(every.withColumn("outcome", F.coalesce("outcome", F.lit("pending"))))
+    held.compact(status.where("status = 'completed'"))
     terms = requests.glossary_final(asked.groupBy("doc_id").agg(F.first("glossary").alias("glossary")), accepted)
     known = status.join(requests.assemble_translation(accepted), "doc_id", "left").join(terms, "doc_id", "left")
     done = F.col("status") == "completed"

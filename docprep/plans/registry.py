@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from docprep.functions import text as X
 from docprep.operators import attempts, chapters, chunking, cost, history, model, pages, quality, requests
 from docprep.sources import export
 from docprep.sources import files as sources
+from docprep.sources.attempt_log import AttemptLog
 from docprep.sources.folders import dealt_out, shared_folder
 from docprep.streaming import streams
 
@@ -797,3 +800,72 @@ _TRANSLATED = """
 def _(s, d):
     found = _analysis(s, d).select("doc_id", "style", "glossary", "characters")
     return lifecycle.translate(fx.plain_docs(s, d), found, _count, _term)
+
+
+def _stops(request: str) -> str:
+    """As `_count`, but the worker ends with some chunks."""
+    if len(request.split("\n\nTranslate:\n", 1)[1]) % 37 == 5:
+        raise SystemExit("the worker ends here")
+    return _count(request)
+
+
+@query("lifecycle_translate_resumed", _TRANSLATED, _chunk_sql("plain_docs", 3500))
+def _(s, d):
+    found, log = _analysis(s, d).select("doc_id", "style", "glossary", "characters"), shared_folder(s)
+    try:
+        lifecycle.translate(fx.plain_docs(s, d), found, _stops, _term, log=log)
+    except PySparkException:  # the run ended with its workers; the next one goes on from its log
+        pass
+    return lifecycle.translate(fx.plain_docs(s, d), found, _count, _term, log=log)
+
+
+def _flaky(folder: str):
+    """A model function that fails at the first call for some requests and at every call for others."""
+
+    def fn(request: str) -> str:
+        n = len(request)
+        calls = AttemptLog(folder, model.ATTEMPT)
+        name = hashlib.sha256(request.encode()).hexdigest()
+        if n % 13 == 3 and not calls.chunks(name):
+            calls.commit(name, 1, [{}])
+            raise ValueError("at first")
+        if n % 29 == 5:
+            raise ValueError("at every call")
+        return f" {n}\n{request.split(chr(10), 1)[1]}"
+
+    return fn
+
+
+_RAW_TEXT = f"length(regexp_replace(raw_text, '{WS}', '', 'g')) > 10"
+_EXTRACT = {
+    "e_raw": "SELECT doc_id, ((page_no - 1) // 5)::INT AS batch_no, string_agg(text || chr(10), '' ORDER BY page_no) AS raw_text FROM page_text GROUP BY 1, 2",
+    "e_ask": f"SELECT *, {_RAW_TEXT} AS has_raw, CASE WHEN {_RAW_TEXT} THEN raw_text ELSE 'pages from ' || (batch_no * 5 + 1) END AS body, CASE WHEN {_RAW_TEXT} THEN 'repair' ELSE 'ocr' END || chr(10) AS head, batch_no = max(batch_no) OVER (PARTITION BY doc_id) AS is_last FROM e_raw",
+    "e_end": "SELECT *, length(head || body) % 29 = 5 AS bad, bad AND NOT (is_last AND NOT has_raw) AS failed, CASE WHEN bad THEN '' ELSE ' ' || length(head || body) || chr(10) || body END AS text FROM e_ask",
+}
+
+
+@query("lifecycle_extract", f"SELECT doc_id, CASE WHEN bool_or(failed) THEN 'error' ELSE 'completed' END AS status, CASE WHEN NOT bool_or(failed) THEN {_trim("string_agg(text, chr(10) || chr(10) ORDER BY batch_no)")} END AS markdown FROM e_end GROUP BY doc_id", _EXTRACT)
+def _(s, d):
+    return lifecycle.extract(fx.page_items(s, d), _flaky(shared_folder(s)))
+
+
+def _analyst(request: str) -> str:
+    n = len(request.removeprefix(requests.TERMS_REQUEST).removeprefix(requests.STYLE_REQUEST))
+    if n % 5 == 0:
+        raise ValueError("five")
+    if request.startswith(requests.STYLE_REQUEST):
+        return " " if n % 3 == 0 else f" style {n}\n"
+    return "nothing" if n % 3 == 0 else f"{requests.TERMS_HEAD}\n- a{n}: 甲\n{requests.CHARACTERS_HEAD} C{n}"
+
+
+_PREPARE = {
+    "n_docs": "SELECT doc_id, least(length(markdown), 50000) AS t, least(length(markdown), 30000) AS y FROM plain_docs WHERE markdown IS NOT NULL",
+    "n_found": "SELECT doc_id, CASE WHEN y % 5 = 0 OR y % 3 = 0 THEN 'general' ELSE 'style ' || y END AS style, CASE WHEN t % 5 = 0 OR t % 3 = 0 THEN '無' ELSE '- a' || t || ': 甲' END AS glossary, CASE WHEN t % 5 = 0 OR t % 3 = 0 THEN '無' ELSE 'C' || t END AS characters FROM n_docs WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, 'kept', 'g', 'c' FROM plain_docs WHERE doc_id % 4 = 0",
+}
+
+
+@query("lifecycle_prepare", "SELECT doc_id, chunk_no, source_text, n_chars, style, glossary, characters FROM c_chunk LEFT JOIN n_found USING (doc_id)", _chunk_sql("plain_docs", 3500) | _PREPARE)
+def _(s, d):
+    docs = fx.plain_docs(s, d)
+    saved = docs.where("doc_id % 4 = 0").selectExpr("doc_id", "'kept' AS style", "'g' AS glossary", "'c' AS characters")
+    return lifecycle.prepare(docs, _analyst, saved=saved)
