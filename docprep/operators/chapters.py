@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docprep.functions.text import escape_html, strip_images, trim_ws
+from docprep.functions.text import strip_images, trim_ws
 
+from .blocks import block_lines, heading_text, rendered
 from .ordered import in_order
 
 #: Fixed values.
 PREFACE = "前言"
 EMPTY_TITLE, EMPTY_HTML = "內容", "<p>無內容</p>"
-_ATX = "^ {0,3}#{1,3}[ \t]+\\S"
-_FENCE = "^ {0,3}(```|~~~)"
 
 
 def nonempty_documents(docs: DataFrame) -> DataFrame:
@@ -25,21 +24,17 @@ def nonempty_documents(docs: DataFrame) -> DataFrame:
 def split_chapters(docs: DataFrame) -> DataFrame:
     """`doc_id`, `chapter_no` (from 0), `title`, `raw`: a chapter starts at each heading of depth 1 to 3.
 
-    Headings are lines with # marks, or a line over a line of = or -, outside fenced code. What stands before the first
-    is chapter 0; `raw` holds the heading.
+    Headings are the blocks that rendering shows as such: lines with # marks, or a paragraph over a line of = or -. What
+    stands before the first is chapter 0; `raw` holds the heading.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("markdown", "\n", -1)).alias("n", "line"))
+    lines = block_lines(docs, ["doc_id"], "markdown")
     doc = Window.partitionBy("doc_id").orderBy("n")
-    fenced = F.coalesce(F.sum(F.col("line").rlike(_FENCE).cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    seen = lines.select("doc_id", "n", "line", (fenced | F.col("line").rlike(_FENCE)).alias("code"), F.lead("line").over(doc).alias("below"), F.lag("line").over(doc).alias("above"))
-    blank = lambda c: F.coalesce(~c.rlike("\\S"), F.lit(True))
-    plain = ~F.col("line").rlike("^ {0,3}(#|>|[-*+] )") & ~blank(F.col("line"))
-    under = plain & blank(F.col("above")) & F.coalesce(F.col("below").rlike("^ {0,3}(=+|-+)[ \t]*\\z"), F.lit(False))
-    head = ~F.col("code") & (F.col("line").rlike(_ATX) | under)
-    title = F.when(F.col("line").rlike(_ATX), F.regexp_replace(F.regexp_replace("line", "^ {0,3}#{1,3}[ \t]+", ""), "([ \t]+#+)?[ \t]*\\z", "")).otherwise(trim_ws(F.col("line")))
-    marked = seen.select("doc_id", "n", "line", F.when(head, title).alias("head"), F.sum(head.cast("int")).over(doc).alias("part"))
-    parts = marked.groupBy("doc_id", "part").agg(F.coalesce(F.max("head"), F.lit(PREFACE)).alias("title"), F.array_join(in_order("line", "n"), "\n").alias("raw"))
-    kept = nonempty_chapters(parts)
+    block = Window.partitionBy("doc_id", "block")
+    head = F.coalesce(F.max(F.col("level") <= 3).over(block), F.lit(False))
+    marked = lines.withColumn("head", head).withColumn("part", F.sum((F.col("head") & F.col("begins")).cast("int")).over(doc))
+    title = F.when(F.col("head") & (F.col("kind") == "atx"), heading_text(F.col("line"))).when(F.col("head") & (F.col("kind") == "text"), trim_ws(F.col("line")))
+    parts = marked.groupBy("doc_id", "part").agg(F.max("head").alias("headed"), F.array_join(in_order(title, "n"), "\n").alias("title"), F.array_join(in_order("line", "n"), "\n").alias("raw"))
+    kept = nonempty_chapters(parts.withColumn("title", F.when(F.col("headed"), F.col("title")).otherwise(PREFACE)))
     order = Window.partitionBy("doc_id").orderBy("part")
     return kept.select("doc_id", (F.row_number().over(order) - 1).alias("chapter_no"), "title", "raw")
 
@@ -49,16 +44,9 @@ def nonempty_chapters(chapters: DataFrame) -> DataFrame:
 
 
 def render_blocks(chapters: DataFrame) -> DataFrame:
-    """`html` of headings, rules and paragraphs; images are taken out."""
-    lined = F.regexp_replace("raw", "(?m)^ {0,3}(#{1,6}[ \t]+[^\n]*)$", "\n\n$1\n\n")
-    blocks = F.filter(F.transform(F.split(lined, "\n\n+", -1), trim_ws), lambda b: b != "")
-
-    def block(b: Column) -> Column:
-        depth = F.char_length(F.regexp_extract(b, "^(#{1,6})[ \t]", 1)).cast("string")
-        text = F.regexp_replace(b, "^#{1,6}[ \t]+|[ \t]+#+\\z", "")
-        return F.when(b.rlike("^#{1,6}[ \t]"), F.concat(F.lit("<h"), depth, F.lit(">"), escape_html(text), F.lit("</h"), depth, F.lit(">\n"))).when(b.rlike("^(-{3,}|[*]{3,}|_{3,})\\z"), "<hr>\n").otherwise(F.concat(F.lit("<p>"), escape_html(b), F.lit("</p>\n")))
-
-    return chapters.select("doc_id", "chapter_no", "title", strip_images(F.array_join(F.transform(blocks, block), "")).alias("html"))
+    """`html` of a chapter's blocks; images are taken out."""
+    html = rendered(chapters, ["doc_id", "chapter_no"], "raw")
+    return chapters.select("doc_id", "chapter_no", "title").join(html, ["doc_id", "chapter_no"]).select("doc_id", "chapter_no", "title", strip_images(F.col("html")).alias("html"))
 
 
 def chapter_fallback(docs: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -29,6 +29,18 @@ IMAGES = "html || '<img src=\"a\"><IMG src=\"b\"><picture>x' || chr(10) || '</pi
 ANALYSIS = "CASE doc_id % 4 WHEN 0 THEN '【術語表】：' || chr(10) || '- alpha: 甲' || chr(10) || '- beta ray: 乙' || chr(10) || '【角色圖譜】：' || chr(10) || '- Ann: x' WHEN 1 THEN '【角色圖譜】： Bob ' WHEN 2 THEN '【術語表】：【角色圖譜】：' ELSE 'nothing' END"
 
 
+#: A block of Markdown of the `k`-th kind from words `w` and a `tag`, and the HTML that it stands for.
+BLOCK_MD = f"""CASE k WHEN 0 THEN '# ' || w || ' #' WHEN 1 THEN w || {NL} || '----' WHEN 2 THEN w || {NL} || 'x **' || tag || '** `a<b*` [l](http://e/?a=1&b=2) *i* & ![p](q.png)done'
+    WHEN 3 THEN '```py' || {NL} || '# ' || w || {NL} || '~~~' || {NL} || '```' WHEN 4 THEN '- ' || w || {NL} || '  - in' || {NL} || '- **b**' WHEN 5 THEN '> ' || w || {NL} || '> q'
+    WHEN 6 THEN '***' || {NL} || w WHEN 7 THEN '1. ' || w || {NL} || '2. z' ELSE '#### ' || w END"""
+BLOCK_HTML = f"""CASE k WHEN 0 THEN '<h1>' || w || '</h1>' || {NL} WHEN 1 THEN '<h2>' || w || '</h2>' || {NL}
+    WHEN 2 THEN '<p>' || w || {NL} || 'x <strong>' || tag || '</strong> <code>a&lt;b*</code> <a href="http://e/?a=1&amp;b=2">l</a> <em>i</em> &amp; done</p>' || {NL}
+    WHEN 3 THEN '<pre><code class="language-py"># ' || w || {NL} || '~~~' || {NL} || '</code></pre>' || {NL}
+    WHEN 4 THEN '<ul>' || {NL} || '<li>' || w || '<ul>' || {NL} || '<li>in</li>' || {NL} || '</ul>' || {NL} || '</li>' || {NL} || '<li><strong>b</strong></li>' || {NL} || '</ul>' || {NL}
+    WHEN 5 THEN '<blockquote>' || {NL} || '<p>' || w || {NL} || 'q</p>' || {NL} || '</blockquote>' || {NL} WHEN 6 THEN '<hr>' || {NL} || '<p>' || w || '</p>' || {NL}
+    WHEN 7 THEN '<ol>' || {NL} || '<li>' || w || '</li>' || {NL} || '<li>z</li>' || {NL} || '</ol>' || {NL} ELSE '<h4>' || w || '</h4>' || {NL} END"""
+
+
 def _table(s: SparkSession, d: str, name: str) -> DataFrame:
     return dealt_out(s.read.parquet(f"{d}/{name}.parquet"))
 
@@ -47,6 +59,30 @@ def md_docs(s, d):
     return joined.selectExpr("doc_id", f"'# Conversation ' || doc_id || {NL} || {NL} || array_join(p.part, {NL} || {NL}) AS markdown")
 
 
+def _line_blocks(s, d):
+    lines = _table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "text"))
+    return lines.selectExpr("doc_id", "p + 1 AS n", "'doc' AS tag", "text")
+
+
+def _blocks(rows):
+    worded = rows.selectExpr("doc_id", "n", "tag", "trim(regexp_replace(text, '[^A-Za-z]+', ' ')) AS w").where("w <> ''")
+    kinds = worded.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).withColumn("k", (F.col("i") + F.col("doc_id")) % 9)
+    return kinds.selectExpr("doc_id", "i", f"{BLOCK_MD} AS md")
+
+
+def block_docs(s, d):
+    """Documents of known blocks: the turns of conversations and the lines of documents."""
+    said = _table(s, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS n", "role AS tag", "text")
+    rows = _blocks(said.unionByName(_line_blocks(s, d).withColumn("doc_id", F.col("doc_id") + 1000000)))
+    joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "md"))).alias("p"))
+    return joined.selectExpr("doc_id", f"array_join(p.md, {NL} || {NL}) AS markdown")
+
+
+def block_pages(s, d):
+    """The same of documents as page items."""
+    return _blocks(_line_blocks(s, d)).select("doc_id", F.col("i").alias("page_no"), F.split("md", " ", -1).alias("items"))
+
+
 def page_items(s, d):
     lines = _table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
     return lines.select("doc_id", (F.col("p") + 1).alias("page_no"), F.split("line", " ", -1).alias("items"))
@@ -143,6 +179,10 @@ SQL = {
     "plain_docs": "SELECT doc_id, text AS markdown FROM documents",
     "para_docs": f"SELECT doc_id, replace(text, {NL}, {NL} || {NL}) AS markdown FROM documents",
     "md_docs": f"SELECT conv_id AS doc_id, '# Conversation ' || conv_id || {NL} || {NL} || string_agg('## ' || role || {NL} || {NL} || text, {NL} || {NL} ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id",
+    "b_lines": "SELECT doc_id, p AS n, 'doc' AS tag, lines[p] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) AS l, unnest(range(1, len(lines) + 1)) AS t(p)",
+    "b_source": "SELECT conv_id AS doc_id, turn AS n, role AS tag, text FROM conversations UNION ALL SELECT doc_id + 1000000, n, tag, text FROM b_lines",
+    "b_kind": "SELECT *, (i + doc_id) % 9 AS k FROM (SELECT doc_id, tag, w, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM (SELECT *, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS w FROM b_source) WHERE w <> '')",
+    "b_block": f"SELECT doc_id, i, k, w, {BLOCK_MD} AS md, {BLOCK_HTML} AS html FROM b_kind",
     "page_items": "SELECT doc_id, p::INT AS page_no, string_split(lines[p], ' ') AS items FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) AS l, unnest(range(1, len(lines) + 1)) AS t(p)",
     "page_text": "SELECT doc_id, page_no, array_to_string(items, ' ') AS text FROM page_items",
     "page_counts": "SELECT p_partkey::BIGINT AS doc_id, p_size::INT AS pages FROM part UNION ALL SELECT p_partkey + 1000000, (p_size * 40)::INT FROM part",

@@ -257,15 +257,20 @@ def _(s, d):
 
 # chapters and export ---------------------------------------------------------------------------------------------
 
+_ODD_MD = "'Head' || chr(10) || '====' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '# A & B #' || chr(10) || 'x' || chr(10) || chr(10) || '---' || chr(10) || '#### deep'"
+#: Chapters and HTML by what the blocks were made from, not by reading the Markdown.
 _CHAPTERS = {
-    "md_some": "SELECT doc_id, markdown FROM md_docs UNION ALL SELECT doc_id + 1000000, markdown FROM plain_docs UNION ALL SELECT 2000000 + doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN ' ' ELSE 'Head' || chr(10) || '====' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '# A & B #' || chr(10) || 'x' || chr(10) || chr(10) || '---' || chr(10) || '#### deep' END FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations)",
+    "h_odd": "SELECT DISTINCT 2000000 + conv_id AS doc_id, conv_id % 3 AS r FROM conversations",
+    "md_some": f"SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY i) AS markdown FROM b_block GROUP BY doc_id UNION ALL SELECT doc_id, CASE r WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE {_ODD_MD} END FROM h_odd",
     "h_line": "SELECT doc_id, n, ls[n] AS line FROM (SELECT doc_id, string_split(markdown, chr(10)) AS ls FROM md_some) AS a, unnest(range(1, len(ls) + 1)) AS t(n)",
-    "h_seen": "SELECT *, regexp_matches(line, '^ {0,3}(```|~~~)') AS fence, coalesce(sum(regexp_matches(line, '^ {0,3}(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS below, lag(line) OVER (PARTITION BY doc_id ORDER BY n) AS above FROM h_line",
-    "h_head": f"SELECT doc_id, n, line, regexp_matches(line, '^ {{0,3}}#{{1,3}}[ \\t]+\\S') AS atx, NOT (fence OR fenced) AND (atx OR (NOT regexp_matches(line, '^ {{0,3}}(#|>|[-*+] )') AND regexp_matches(line, '\\S') AND NOT regexp_matches(coalesce(above, ''), '\\S') AND regexp_matches(coalesce(below, ''), '^ {{0,3}}(=+|-+)[ \\t]*$'))) AS head, CASE WHEN atx THEN regexp_replace(regexp_replace(line, '^ {{0,3}}#{{1,3}}[ \\t]+', ''), '([ \\t]+#+)?[ \\t]*$', '') ELSE {_trim('line')} END AS title FROM h_seen",
-    "h_part": "SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM h_head",
-    "h_chap": f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INT AS chapter_no, title, raw FROM (SELECT doc_id, part, coalesce(max(title) FILTER (head), '前言') AS title, string_agg(line, chr(10) ORDER BY n) AS raw FROM h_part GROUP BY doc_id, part) WHERE {_trim('raw')} <> ''",
-    "h_block": f"SELECT doc_id, chapter_no, title, b, {_trim('bs[b]')} AS t FROM (SELECT doc_id, chapter_no, title, string_split_regex(regexp_replace(raw, '(?m)^ {{0,3}}(#{{1,6}}[ \\t]+[^\\n]*)$', chr(10) || chr(10) || '\\1' || chr(10) || chr(10), 'g'), '\\n\\n+') AS bs FROM h_chap) AS a, unnest(range(1, len(bs) + 1)) AS t(b)",
-    "h_html": f"SELECT doc_id, chapter_no, title, string_agg(CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '^#{{1,6}}[ \\t]') THEN '<h' || length(regexp_extract(t, '^(#{{1,6}})[ \\t]', 1)) || '>' || {_escape("regexp_replace(t, '^#{1,6}[ \\t]+|[ \\t]+#+$', '', 'g')")} || '</h' || length(regexp_extract(t, '^(#{{1,6}})[ \\t]', 1)) || '>' || chr(10) WHEN regexp_matches(t, '^(-{{3,}}|[*]{{3,}}|_{{3,}})$') THEN '<hr>' || chr(10) ELSE '<p>' || {_escape('t')} || '</p>' || chr(10) END, '' ORDER BY b) AS html FROM h_block GROUP BY 1, 2, 3",
+    "h_part": "SELECT *, sum((k < 2)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM b_block",
+    "h_joined": "SELECT doc_id, part, coalesce(max(w) FILTER (k < 2), '前言') AS title, string_agg(md, chr(10) || chr(10) ORDER BY i) AS raw, string_agg(html, '' ORDER BY i) AS html FROM h_part GROUP BY doc_id, part",
+    "h_whole": """
+        SELECT doc_id, (row_number() OVER d - 1)::INT AS chapter_no, title, raw || CASE WHEN lead(part) OVER d IS NULL THEN '' ELSE chr(10) END AS raw, html FROM h_joined WINDOW d AS (PARTITION BY doc_id ORDER BY part)
+        UNION ALL SELECT doc_id, 0, 'Head', 'Head' || chr(10) || '====' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```', '<h1>Head</h1>' || chr(10) || '<pre><code># code' || chr(10) || '</code></pre>' || chr(10) FROM h_odd WHERE r = 2
+        UNION ALL SELECT doc_id, 1, 'A & B', '# A & B #' || chr(10) || 'x' || chr(10) || chr(10) || '---' || chr(10) || '#### deep', '<h1>A &amp; B</h1>' || chr(10) || '<p>x</p>' || chr(10) || '<hr>' || chr(10) || '<h4>deep</h4>' || chr(10) FROM h_odd WHERE r = 2""",
+    "h_chap": "SELECT doc_id, chapter_no, title, raw FROM h_whole",
+    "h_html": "SELECT doc_id, chapter_no, title, html FROM h_whole",
     "h_all": "SELECT doc_id, chapter_no, title, html FROM h_html UNION ALL SELECT doc_id, 0, '內容', '<p>無內容</p>' FROM md_some WHERE markdown <> '' AND doc_id NOT IN (SELECT doc_id FROM h_html)",
     "h_meta": "SELECT user_id AS doc_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE 'T' || event_id END, ''), 'Translated Document') AS title, coalesce(nullif(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END, ''), 'AI Translator') AS author, 'zh-TW' AS lang, '目錄' AS toc_title, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date, nullif(CASE WHEN event_id % 2 = 0 THEN '' ELSE 'c' END, '') AS cover FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1",
     "h_file": "SELECT doc_id, chapter_no, title, 'OEBPS/' || chapter_no || '_' || regexp_replace(title, '[^0-9A-Za-z一-鿿]+', '-', 'g') || '.xhtml' AS path, html FROM h_all",
@@ -274,9 +279,9 @@ _CHAPTERS = {
 
 
 def _md_some(s, d):
-    odd = "CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN ' ' ELSE concat_ws(chr(10), 'Head', '====', '```', '# code', '```', '# A & B #', 'x', '', '---', '#### deep') END AS markdown"
+    odd = f"CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN ' ' ELSE {_ODD_MD} END AS markdown"
     ids = s.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id")).distinct()
-    return fx.md_docs(s, d).unionByName(fx.plain_docs(s, d).selectExpr("doc_id + 1000000 AS doc_id", "markdown")).unionByName(ids.selectExpr("2000000 + doc_id AS doc_id", odd))
+    return fx.block_docs(s, d).unionByName(ids.selectExpr("2000000 + doc_id AS doc_id", odd))
 
 
 def _meta(s, d):
@@ -770,9 +775,9 @@ def _(s, d):
     return lifecycle.estimate(fx.page_counts(s, d), 600, cost.price_list(s)).select("doc_id", "model_id", "tokens", "output_tokens", F.round("usd", 9).alias("usd"))
 
 
-@query("lifecycle_convert", _ENTRIES, _CHAPTERS | {"md_some": "SELECT doc_id, string_agg(text || chr(10) || chr(10), '' ORDER BY page_no) AS markdown FROM page_text GROUP BY doc_id"})
+@query("lifecycle_convert", _ENTRIES, _CHAPTERS | {"b_source": "SELECT * FROM b_lines", "h_odd": "SELECT doc_id, 2 AS r FROM b_block WHERE false", "md_some": "SELECT doc_id, 'x' AS markdown FROM b_block"})
 def _(s, d):
-    return lifecycle.convert(fx.page_items(s, d), _meta(s, d))
+    return lifecycle.convert(fx.block_pages(s, d), _meta(s, d))
 
 
 def _count(request: str) -> str:
