@@ -55,11 +55,35 @@ def split_sentences(c: Column, mode: str = "reference") -> Column:
     return let(F.split(marked, MARK, -1), lambda x: F.when(F.size(x) > 1, F.slice(x, 1, F.size(x) - 1)).otherwise(F.array(c)))
 
 
+def _without_blocks(c: Column, name: str) -> Column:
+    """Without `<name ..> .. </name>` in any case, in time linear in the text.
+
+    A search from an opening that nothing closes runs to the end, so it is not begun: openings count up to the last closing
+    tag only, and of those after the last `>` before it none is whole. A stand-in closes what is open there.
+    """
+    opening, closing = f"(?is)<{name}[^>]*>.*?</{name}>", f"</{name}>"
+
+    def cut(x: Column) -> Column:
+        after = F.char_length(F.substring_index(F.translate(x, name.upper(), name), closing, -1))
+        body = F.left(x, F.greatest(F.char_length(x) - after - len(closing), F.lit(0)))
+        return F.struct((after < F.char_length(x)).alias("some"), body.alias("body"), F.substring_index(body, ">", -1).alias("loose"), F.right(x, after).alias("tail"), x.alias("x"))
+
+    def joined(p: Column) -> Column:
+        whole = F.left(p["body"], F.char_length(p["body"]) - F.char_length(p["loose"]))
+        kept = F.regexp_replace(F.concat(whole, F.lit(MARK + closing)), opening, "")
+        last = F.substring(p["x"], F.char_length(p["body"]) + 1, F.lit(len(closing)))
+        open_end = let(kept, lambda k: F.when(k.endswith(MARK + closing), F.concat(F.left(k, F.char_length(k) - len(MARK + closing)), p["loose"], last)).otherwise(k))
+        return F.when(p["some"], F.concat(open_end, p["tail"])).otherwise(p["x"])
+
+    return let(let(c, cut), joined)
+
+
 def strip_images(c: Column) -> Column:
     """Without <img> tags (lower case only) and <picture> and <svg> blocks (any case)."""
-    for pattern in ("<img[^>]*>", "(?is)<picture[^>]*>.*?</picture>", "(?is)<svg[^>]*>.*?</svg>"):
-        c = F.regexp_replace(c, pattern, "")
-    return c
+    # behind the last > no tag ends, so no search goes there
+    loose = lambda x: F.char_length(F.substring_index(x, ">", -1))
+    bare = let(c, lambda x: F.concat(F.regexp_replace(F.left(x, F.char_length(x) - loose(x)), "<img[^>]*>", ""), F.right(x, loose(x))))
+    return _without_blocks(_without_blocks(bare, "picture"), "svg")
 
 
 def escape_html(c: Column) -> Column:

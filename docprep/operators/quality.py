@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.functions.text import HAN, citation_marks
+from docprep.functions.text import HAN, citation_marks, let
+
+#: Characters of a term by which it is looked up.
+GRAM = 3
 
 
 def _count(c: str, pattern: str):
@@ -47,7 +50,21 @@ def citation_markers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(citation_marks(F.col("markdown"))).alias("position", "marker"))
 
 
+def _grams(text, n: int):
+    """The distinct runs of n characters of a text."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    runs = let(chars, lambda x: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat(*[F.get(x, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(runs)
+
+
 def glossary_compliance(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """For each glossary term that a source holds: whether the translation holds its target term."""
-    met = pairs.join(terms, "doc_id").where(F.contains("source", "source_term"))
+    """For each glossary term that a source holds: whether the translation holds its target term.
+
+    A term is found through its first characters, GRAM at most: a source is read once into its distinct runs of characters,
+    whatever the number of terms, and meets only the terms that begin with one of them. An empty term is in every source.
+    """
+    head = F.left("source_term", F.lit(GRAM))
+    sized = terms.where("source_term IS NOT NULL").select("doc_id", head.alias("gram"), "source_term", "target_term")
+    runs = pairs.select("doc_id", "chunk_no", "source", "target", F.explode(F.concat(F.array(F.lit("")), *[_grams(F.col("source"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    met = runs.join(sized, ["doc_id", "gram"]).where(F.contains("source", "source_term"))
     return met.select("doc_id", "chunk_no", "source_term", "target_term", F.coalesce(F.contains("target", "target_term"), F.lit(False)).alias("complies"))
