@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch of texts that a Python worker gets at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts go to Python in batches of BATCH_ROWS rows from now on, in place of Spark's 10,000, which bounds what the
+    workers of a session of many stages hold. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share. A local session without one gets a temporary
     folder; on a cluster, where executors could not read it, that is an error."""
