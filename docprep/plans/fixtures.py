@@ -132,16 +132,22 @@ def analysis(s, d):
     return ids.selectExpr("doc_id", f"{ANALYSIS} AS reply")
 
 
-def fragments(s, d):
-    return fragments_of(turns(s, d))
+def minute(number: str):
+    """A time for what is sent in the order of a number."""
+    return F.expr(f"TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {number})")
 
 
-def fragments_of(turns):
-    """Row by row, so it holds for streams too."""
-    cut = turns.selectExpr("doc_id", "chunk_no", "source_text", "explode(sequence(0, CAST(floor((length(source_text) - 1) / 200) AS INT))) AS seq")
+def fragments(s, d):
+    cut = turns(s, d).selectExpr("doc_id", "chunk_no", "source_text", "explode(sequence(0, CAST(floor((length(source_text) - 1) / 200) AS INT))) AS seq")
     return cut.selectExpr("doc_id", "chunk_no", "seq", "CASE WHEN seq % 9 = 8 THEN NULL ELSE substr(source_text, seq * 200 + 1, 200) END AS text")
 
 
+def sent_fragments(s, d):
+    """Fragments with their time and whether one is its chunk's last."""
+    chunk = Window.partitionBy("doc_id", "chunk_no")
+    return fragments(s, d).withColumn("last", F.col("seq") == F.max("seq").over(chunk)).withColumn("event_time", minute("chunk_no"))
+
+
 def batch_texts(s, d):
     rows = turns(s, d).selectExpr("doc_id", "chunk_no AS batch_no", "CASE WHEN (doc_id + chunk_no) % 9 = 4 THEN NULL ELSE ' ' || source_text || '　' END AS text")
     return rows.withColumn("total", F.count("*").over(Window.partitionBy("doc_id")))

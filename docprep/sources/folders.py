@@ -30,3 +30,9 @@ def dealt_out(df: DataFrame) -> DataFrame:
     """A table of fewer partitions than there are cores, such as one small file, is dealt to all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def session_files(spark: SparkSession, folder: str):
+    """The session's file system for a folder, and what makes a path of a name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path

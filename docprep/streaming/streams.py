@@ -1,46 +1,105 @@
 """The same aggregates on streams; each equals its batch form once the stream has ended.
 
-A group's state holds each fragment or batch once, so replays do not count twice.
+What a stream keeps is bounded by its watermark: fragments of open chunks, and marks by which replays are known. What has
+been found so far is a table of current rows (`sources/current_table.py`), of which a batch rewrites the buckets it touches.
+Rows and their replays carry the same `event_time`; rows older than the watermark are left out, so a row counts once or, if
+it comes later than `delay` after younger ones, not at all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docprep.operators.history import history_current
+from docprep.sources.current_table import BUCKETS, CurrentTable
 
+#: How much later than the youngest row a row may come.
+DELAY = "10 minutes"
 
-def stream_drafts(fragments: DataFrame) -> DataFrame:
-    """Running draft of each chunk from fragments that come in any order."""
-    seen = F.array_sort(F.collect_set(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))))
-    return fragments.groupBy("doc_id", "chunk_no").agg(F.array_join(F.transform(seen, lambda x: x["text"]), "").alias("draft_text"))
 
+def _draft(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, delay_ms: int) -> Iterator[pd.DataFrame]:
+    """Fragments that are new to a chunk, and its draft. A chunk that is whole keeps a mark without text, so that replays
+    change nothing; marks and chunks that stay open go at their time limit."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    seqs, texts, end, latest = state.get if state.exists else ([], [], -1, 0)
+    seqs, texts, now = list(seqs), list(texts), state.getCurrentWatermarkMs()
+    before, whole = len(seqs), end >= 0 and not seqs
+    known = set(seqs)
+    for part in parts:
+        when = part["event_time"].astype("datetime64[ms]").astype("int64")
+        for seq, text, last, ms in zip(part["seq"], part["text"], part["last"], when, strict=True):
+            if ms < now or whole:
+                continue
+            latest = max(latest, ms)
+            end = seq if last else end
+            if seq not in known:
+                known.add(seq)
+                seqs.append(int(seq))
+                texts.append(text if isinstance(text, str) else "")
+    if not seqs and not whole:
+        return
+    final = not whole and end >= 0 and len(seqs) == end + 1
+    if len(seqs) > before:
+        draft = "".join(t for _, t in sorted(zip(seqs, texts, strict=True)))
+        yield pd.DataFrame({"doc_id": [key[0]], "chunk_no": [key[1]], "fragments": [len(seqs)], "draft_text": [draft], "final": [final]})
+    state.update(([], [], int(end), int(latest)) if final or whole else (seqs, texts, int(end), int(latest)))
+    state.setTimeoutTimestamp(max(latest + delay_ms, now + 1))
 
-def stream_progress(replies: DataFrame) -> DataFrame:
-    """Batches done, all batches and percent of each document."""
-    done = replies.groupBy("doc_id").agg(F.size(F.collect_set(F.when(F.col("text").isNotNull(), F.col("batch_no")))).cast("long").alias("done"), F.max("total").cast("long").alias("total"))
-    return done.select("doc_id", "done", "total", F.floor(F.lit(100) * F.col("done") / F.col("total") + 0.5).cast("long").alias("percent"))
 
+def stream_drafts(fragments: DataFrame, delay: str = DELAY) -> DataFrame:
+    """`doc_id`, `chunk_no`, `fragments`, `draft_text`, `final`: the draft of each chunk that a batch adds to.
 
-def stream_history(log: DataFrame) -> DataFrame:
-    """Latest record of each id: a maximum, so the batch operator serves."""
-    return history_current(log)
+    Fragments `seq` from 0, in any order, null ones empty; `last` marks a chunk's last one. The state is the fragments of
+    open chunks, which go once the chunk is whole, or no fragment of it has come for `delay`.
+    """
+    delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
 
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _draft(key, parts, state, delay_ms)
 
-def run_to_end(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """Run a stream over what has arrived and return the last row of each key.
+    given = fragments.select(F.col("doc_id").cast("long"), F.col("chunk_no").cast("int"), F.col("seq").cast("int"), "text", F.coalesce("last", F.lit(False)).alias("last"), "event_time")
+    return given.withWatermark("event_time", delay).groupBy("doc_id", "chunk_no").applyInPandasWithState(
+        run, "doc_id long, chunk_no int, fragments long, draft_text string, final boolean", "seqs array<int>, texts array<string>, end int, latest long", "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def longest_draft(drafts: DataFrame) -> DataFrame:
+    """A draft only grows, so the one of the most fragments is current."""
+    return drafts.groupBy("doc_id", "chunk_no").agg(F.max_by(F.struct("fragments", "draft_text", "final"), "fragments").alias("r")).select("doc_id", "chunk_no", "r.*")
+
+
+def stream_progress(replies: DataFrame, delay: str = DELAY) -> DataFrame:
+    """`doc_id`, `done` (0 or 1), `total` of each reply that is not a replay. A batch without a text may get one later."""
+    marked = replies.withColumn("done", F.col("text").isNotNull().cast("long")).withWatermark("event_time", delay)
+    return marked.dropDuplicatesWithinWatermark(["doc_id", "batch_no", "done"]).select("doc_id", "done", F.col("total").cast("long").alias("total"))
 
-    A batch writes only the groups that it changed, to a folder of its own; a batch that is run again writes it anew.
-    """
 
-    def keep(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+def added_progress(rows: DataFrame) -> DataFrame:
+    """Batches done and all batches of each document."""
+    return rows.groupBy("doc_id").agg(F.sum("done").alias("done"), F.max("total").alias("total"))
 
-    spark, fields = stream.sparkSession, [c for c in stream.columns if c not in keys]
-    keep(spark.createDataFrame([], stream.schema), -1)  # there may be no batch at all
-    run = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+
+def with_percent(progress: DataFrame) -> DataFrame:
+    return progress.select("doc_id", "done", "total", F.floor(F.lit(100) * F.col("done") / F.col("total") + 0.5).cast("long").alias("percent"))
+
+
+def stream_history(log: DataFrame) -> DataFrame:
+    """Latest record of each id: the stream keeps nothing; `history.history_current` merges the records into the table."""
+    return log
+
+
+def run_to_end(stream: DataFrame, folder: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> DataFrame:
+    """Run a stream over what has arrived and return the current row of each key.
+
+    With the same folder a later run goes on where this one ended. A batch that is run again changes nothing.
+    """
+    table = CurrentTable(stream.sparkSession, f"{folder}/table", stream.schema, keys, merge, buckets)
+    run = stream.writeStream.outputMode("update").foreachBatch(table.apply).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    changes = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/changes").parquet(f"{folder}/changes/batch=*")
-    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r"))
-    return latest.select(*keys, *[F.col(f"r.{c}") for c in fields])
+    return table.read()

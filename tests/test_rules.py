@@ -6,7 +6,6 @@ from docprep.functions import text as X
 from docprep.operators import attempts, history, model, quality, requests
 from docprep.plans import lifecycle
 from docprep.sources import export, files
-from docprep.streaming import streams
 
 
 def one(spark, column, **values):
@@ -156,18 +155,6 @@ def test_attempts_at_a_chunk(spark):
     assert {r["request_sha256"] for r in rows if (r["doc_id"], r["chunk_no"]) == (3, 0)} == {known}
 
 
-def test_stream_over_several_batches(spark, tmp_path):
-    """Two batches and a replay equal the batch form; the second batch writes only what it changed."""
-    parts = [(1, 0, 1, "b"), (1, 0, 0, "a"), (2, 0, 0, "x")], [(1, 0, 2, "c"), (1, 0, 0, "a")]
-    schema, folder = "doc_id long, chunk_no int, seq int, text string", str(tmp_path / "run")
-    for part in parts:
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        drafts = streams.stream_drafts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-        found = streams.run_to_end(drafts, folder, ["doc_id", "chunk_no"])
-    assert {(r["doc_id"], r["draft_text"]) for r in found.collect()} == {(1, "abc"), (2, "x")}
-    assert spark.read.parquet(f"{folder}/changes/batch=1").count() == 1
-
-
 def test_markdown_by_mode(spark, tmp_path):
     docs = spark.createDataFrame([("a.md", "x", "y"), ("b.md", "z", None)], "file_name string, extracted_text string, translated_text string")
     export.write_markdown(docs, str(tmp_path / "t"), "translate")
