@@ -74,6 +74,17 @@ def block_lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return numbered.select(*keys, "n", "line", "kind", "block", "level", begins(F.col("kind")).alias("begins"))
 
 
+def block_kinds(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The keys and `kinds`, a letter for each block in order: 1 to 6 a heading, p paragraph, c code, q quote, r rule, u and o an
+    item of a list without and with numbers. Texts without a block have no row."""
+    first = F.min_by(F.struct("kind", F.col("line").rlike("^ *[0-9]").alias("numbered")), "n").alias("b")
+    blocks = block_lines(docs, keys, text).where("block > 0").groupBy(*keys, "block").agg(first, F.max("level").alias("level"))
+    kind = F.col("b.kind")
+    letter = F.when(F.col("level").isNotNull(), F.col("level").cast("string")).when(kind == "item", F.when(F.col("b.numbered"), "o").otherwise("u"))
+    letter = letter.when(kind == "open", "c").when(kind == "quote", "q").when(kind == "rule", "r").otherwise("p")
+    return blocks.select(*keys, "block", letter.alias("letter")).groupBy(*keys).agg(F.array_join(in_order("letter", "block"), "").alias("kinds"))
+
+
 def heading_text(line: Column) -> Column:
     """A heading line without its marks."""
     return trim_ws(F.regexp_replace(F.regexp_replace(line, "^ {0,3}#{1,6}", ""), "(?:^|[ \t]+)#+[ \t]*\\z", ""))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docprep.functions.text import HAN, citation_marks, let
 
+from .blocks import block_kinds
+
 #: Characters of a term by which it is looked up.
 GRAM = 3
 
@@ -16,12 +18,25 @@ def _count(c: str, pattern: str):
 
 
 def markdown_parity(pairs: DataFrame) -> DataFrame:
-    """Headings, list items and paragraphs of source and translation, and whether all are as many."""
-    kinds = {"headings": "(?m)^#{1,6} ", "items": "(?m)^ *([-*+]|[0-9]+[.]) ", "paragraphs": "\n\n+"}
-    counts = [_count(side, p).alias(f"{side}_{name}") for name, p in kinds.items() for side in ("source", "target")]
-    every = pairs.select("doc_id", "chunk_no", *counts)
-    same = (F.col("source_headings") == F.col("target_headings")) & (F.col("source_items") == F.col("target_items")) & (F.col("source_paragraphs") == F.col("target_paragraphs"))
-    return every.withColumn("parity", same)
+    """Whether a translation has the blocks of its source, in their order.
+
+    Both sides are read as sequences of block kinds (`blocks.block_kinds`) and aligned: `edits` is the least number of blocks
+    to add, drop or change, `first_edit` the number, from 0, of the first block where they differ (null if none does), and
+    `parity` is true without edits. Headings, list items and paragraphs of both sides are counted too. A null text has no
+    blocks. What both begin with is not aligned, the rest in time of the product of their numbers of blocks.
+    """
+    sides = pairs.select("doc_id", "chunk_no", F.explode(F.create_map(F.lit("source"), F.col("source"), F.lit("target"), F.col("target"))).alias("side", "text"))
+    kinds = block_kinds(sides, ["doc_id", "chunk_no", "side"], "text")
+    both = kinds.groupBy("doc_id", "chunk_no").agg(*[F.max(F.when(F.col("side") == side, F.col("kinds"))).alias(f"{side}_kinds") for side in ("source", "target")])
+    known = pairs.select("doc_id", "chunk_no").join(both, ["doc_id", "chunk_no"], "left")
+    s, t = (F.coalesce(f"{side}_kinds", F.lit("")) for side in ("source", "target"))
+    here = F.filter(F.sequence(F.lit(0), F.greatest(F.length(s), F.length(t))), lambda i: F.substr(s, i + 1, F.lit(1)) != F.substr(t, i + 1, F.lit(1)))
+    aligned = known.withColumn("first_edit", F.get(here, F.lit(0)))
+    rest = [F.substr(x, F.col("first_edit") + 1) for x in (s, t)]
+    edits = F.coalesce(F.levenshtein(*rest), F.lit(0)).cast("long")
+    letters = {"headings": "[1-6]", "items": "[uo]", "paragraphs": "p"}
+    counts = [F.regexp_count(x, F.lit(p)).cast("long").alias(f"{side}_{name}") for name, p in letters.items() for side, x in (("source", s), ("target", t))]
+    return aligned.select("doc_id", "chunk_no", *counts, edits.alias("edits"), "first_edit", F.col("first_edit").isNull().alias("parity"))
 
 
 def untranslated_residue(pairs: DataFrame) -> DataFrame:

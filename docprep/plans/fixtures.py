@@ -70,14 +70,30 @@ def _blocks(rows):
     return kinds.selectExpr("doc_id", "i", f"{BLOCK_MD} AS md")
 
 
-def block_docs(s, d):
-    """Documents of known blocks: the turns of conversations and the lines of documents."""
+def _known_blocks(s, d):
+    """The turns of conversations and the lines of documents as blocks."""
     said = _table(s, d, "conversations").selectExpr("conv_id AS doc_id", "turn AS n", "role AS tag", "text")
-    rows = _blocks(said.unionByName(_line_blocks(s, d).withColumn("doc_id", F.col("doc_id") + 1000000)))
-    joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "md"))).alias("p"))
+    return _blocks(said.unionByName(_line_blocks(s, d).withColumn("doc_id", F.col("doc_id") + 1000000)))
+
+
+def block_docs(s, d):
+    """Documents of known blocks."""
+    joined = _known_blocks(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "md"))).alias("p"))
     return joined.selectExpr("doc_id", f"array_join(p.md, {NL} || {NL}) AS markdown")
 
 
+#: The place of a block in a translation: some have the first two swapped, some lack the second.
+BLOCK_PLACE = "CASE WHEN doc_id % 4 = 1 AND i <= 2 THEN 3 - i WHEN doc_id % 4 = 2 AND i = 2 THEN NULL ELSE i END"
+
+
+def block_pairs(s, d):
+    """Those documents and translations of the same blocks, some in other order, with one less or with a paragraph more."""
+    rows = _known_blocks(s, d).withColumn("j", F.expr(BLOCK_PLACE))
+    joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "md"))).alias("p"), F.array_sort(F.collect_list(F.when(F.col("j").isNotNull(), F.struct("j", "md")))).alias("q"))
+    target = f"array_join(q.md, {NL} || {NL}) || CASE WHEN doc_id % 4 = 3 THEN {NL} || {NL} || '好' ELSE '' END"
+    return joined.selectExpr("doc_id", "0 AS chunk_no", f"array_join(p.md, {NL} || {NL}) AS source", f"{target} AS target")
+
+
 def block_pages(s, d):
     """The same of documents as page items."""
     return _blocks(_line_blocks(s, d)).select("doc_id", F.col("i").alias("page_no"), F.split("md", " ", -1).alias("items"))

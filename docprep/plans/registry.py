@@ -587,13 +587,18 @@ def _n(c: str, pattern: str) -> str:
     return f"coalesce(len(regexp_extract_all({c}, '{pattern}')), 0)::BIGINT"
 
 
-_KINDS = {"headings": "(?m)^#{1,6} ", "items": "(?m)^ *([-*+]|[0-9]+[.]) ", "paragraphs": "\\n\\n+"}
-_PARITY = ", ".join(f"{_n(side, p)} AS {side}_{name}" for name, p in _KINDS.items() for side in ("source", "target"))
+#: The kinds of a block's blocks by what it was made from, and counts of kinds.
+_BLOCK_KINDS = "CASE k WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'p' WHEN 3 THEN 'c' WHEN 4 THEN 'uuu' WHEN 5 THEN 'q' WHEN 6 THEN 'rp' WHEN 7 THEN 'oo' ELSE '4' END"
+_PARITY = ", ".join(f"length({side}) - length(translate({side}, '{letters}', '')) AS {side}_{name}" for name, letters in (("headings", "124"), ("items", "uo"), ("paragraphs", "p")) for side in ("source", "target"))
 
 
-@query("t21_markdown_parity", f"SELECT *, source_headings = target_headings AND source_items = target_items AND source_paragraphs = target_paragraphs AS parity FROM (SELECT doc_id, chunk_no, {_PARITY} FROM pairs)")
+@query(
+    "t21_markdown_parity", f"SELECT doc_id, 0 AS chunk_no, {_PARITY}, levenshtein(source, target) AS edits, (list_filter(range(1, greatest(length(source), length(target)) + 1), lambda x: substr(source, x, 1) <> substr(target, x, 1))[1] - 1)::INT AS first_edit, source = target AS parity FROM k_pair",
+    {"k_block": f"SELECT doc_id, i, {fx.BLOCK_PLACE} AS j, {_BLOCK_KINDS} AS kinds FROM b_block",
+     "k_pair": "SELECT doc_id, string_agg(kinds, '' ORDER BY i) AS source, coalesce(string_agg(kinds, '' ORDER BY j) FILTER (j IS NOT NULL), '') || CASE WHEN doc_id % 4 = 3 THEN 'p' ELSE '' END AS target FROM k_block GROUP BY doc_id"},
+)
 def _(s, d):
-    return quality.markdown_parity(fx.pairs(s, d))
+    return quality.markdown_parity(fx.block_pairs(s, d))
 
 
 @query("t22_untranslated_residue", f"SELECT doc_id, chunk_no, {_n("regexp_replace(target, '[(（][^()（）]*[)）]', '', 'g')", '[A-Za-z]+([ ,;]+[A-Za-z]+){3,}[.!?]')} AS latin_sentences FROM pairs")

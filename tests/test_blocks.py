@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from docprep.operators import blocks, chapters
+from docprep.operators import blocks, chapters, quality
 
 CASES = {
     "# Hello": "<h1>Hello</h1>\n",
@@ -68,3 +68,22 @@ def test_long_documents(spark):
 def test_kinds(spark):
     found = blocks.block_lines(spark.createDataFrame([(1, "a\n\n# b\n- c\n> d\n```\ne\n```")], "doc_id long, t string"), ["doc_id"], "t").orderBy("n").collect()
     assert [(r["kind"], r["block"]) for r in found] == [("text", 1), ("blank", 1), ("atx", 2), ("item", 3), ("quote", 4), ("open", 5), ("code", 5), ("close", 5)]
+
+
+@pytest.mark.parametrize(
+    ("source", "target", "edits", "first"),
+    [
+        ("# a\n\n- b\n- c\n\nd", "# A\n\n- B\n- C\n\nD\nE", 0, None),
+        ("- b\n\nd", "D\n\n- B", 2, 0),  # equal counts, other order
+        ("```\n# a\n- b\n```\n\nx", "```\nA\n```\n\nX", 0, None),  # what is in a fence is no block
+        ("# a\n\nb\n\nc", "# A\n\nB", 1, 2),
+        ("# a\n\nb", "## A\n\nB", 1, 0),
+        ("1. a\n2. b", "- A\n- B", 2, 0),
+        ("a\n===\n\n> b\n\n***", "# A\n\n> B\n\n---", 0, None),
+        ("", "", 0, None), (None, None, 0, None), (None, "a", 1, 0), ("a\n\nb", None, 2, 0), (" \n", "", 0, None),
+    ],
+)
+def test_parity(spark, source, target, edits, first):
+    pairs = spark.createDataFrame([(1, 2, source, target)], "doc_id long, chunk_no int, source string, target string")
+    [found] = quality.markdown_parity(pairs).collect()
+    assert (found["doc_id"], found["chunk_no"], found["edits"], found["first_edit"], found["parity"]) == (1, 2, edits, first, edits == 0)
