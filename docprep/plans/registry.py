@@ -724,20 +724,22 @@ def _(s, d):
     return model.translate_with_context(asked, _draft, _correction).select("doc_id", "chunk_no", "attempt_no", "request_sha256", "translated")
 
 
-@query("a2_scan_markdown")
+@query("a2_scan_markdown", "SELECT 'doc ' || doc_id || '.md' AS file_name, markdown FROM md_docs")
 def _(s, d):
-    return sources.scan_markdown(s, _markdown_folder(s, d))
+    folder = f"{shared_folder(s)}/markdown"
+    export.write_markdown(_named_docs(s, d), folder)
+    return sources.scan_markdown(s, folder)
 
 
-@query("a6_write_markdown")
+@query("a6_write_markdown", "SELECT 'doc ' || doc_id || '.md' AS file_name, strlen(markdown) AS bytes, sha256(markdown) AS sha256, 'text/markdown' AS mime FROM md_docs")
 def _(s, d):
-    return sources.scan_files(s, _markdown_folder(s, d)).select("path", "length", "mime")
+    folder = f"{shared_folder(s)}/markdown"
+    export.write_markdown(_named_docs(s, d), folder)
+    return sources.scan_files(s, folder).select(sources.own_name().alias("file_name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "mime")
 
 
-def _markdown_folder(s, d):
-    folder = f"{shared_folder(s)}/markdown"
-    export.write_markdown(fx.md_docs(s, d).selectExpr("'doc ' || doc_id || '.md' AS file_name", "markdown AS text"), folder)
-    return folder
+def _named_docs(s, d):
+    return fx.md_docs(s, d).selectExpr("'doc ' || doc_id || '.md' AS file_name", "markdown AS text")
 
 
 @query("a9_history_append", f"SELECT {_NOW} FROM history_now")

@@ -16,13 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return pyarrow.fs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+
+
 class AttemptLog:
     def __init__(self, folder: str, schema: str):
         self.folder, self.schema = folder.rstrip("/"), schema
 
     def _files(self, path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-        full = f"{self.folder}/{path}"
-        return pyarrow.fs.FileSystem.from_uri("file:///" + full[5:].lstrip("/") if full.startswith("file:") else full)
+        return opened(f"{self.folder}/{path}")
 
     def chunks(self, doc_id) -> dict[int, list[dict]]:
         """Chunk number -> committed rows of a document."""

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions.text import escape_html
 
+from .attempt_log import opened
+
 #: Fixed values.
 TITLE, AUTHOR, LANG, TOC_TITLE = "Translated Document", "AI Translator", "zh-TW", "目錄"
 PAGE_HEAD = '<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<title>'
@@ -50,11 +56,48 @@ def html_export(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit(PAGE_HEAD), escape_html(F.col("title")), F.lit(PAGE_STYLE), F.col("html"), F.lit(PAGE_TAIL)).alias("page"))
 
 
-def write_markdown(docs: DataFrame, path: str, mode: str | None = None) -> None:
-    """One folder with one Markdown file for each `file_name`; documents whose text is null or empty are skipped.
+def file_names(docs: DataFrame) -> DataFrame:
+    """`file_name` and `text` of the documents with a text, under names that a folder can hold once each.
+
+    Slashes, backslashes and control characters become `_`; a name that readers would take for hidden (`_` or `.` in front)
+    gets a `-` in front, and so does a null or empty one. Of a name that several different texts have, each gets
+    `-` and twelve digits of its text's hash before the extension; equal texts of one name are one file.
+    """
+    name = F.regexp_replace(F.coalesce("file_name", F.lit("")), "[/\\\\\\x00-\\x1F\\x7F]", "_")
+    name = F.when((name == "") | name.startswith("_") | name.startswith("."), F.concat(F.lit("-"), name)).otherwise(name)
+    some = docs.where(F.coalesce("text", F.lit("")) != "").select(name.alias("file_name"), "text", F.left(F.sha2("text", 256), F.lit(12)).alias("mark"))
+    own = some.groupBy("file_name").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("file_name", F.lit(True).alias("shared"))
+    stem, ending = F.regexp_replace("file_name", "(?s)(?<=.)[.][^.]*\\z", ""), F.regexp_extract("file_name", "(?s)(?<=.)([.][^.]*)\\z", 1)
+    apart = F.when(F.col("shared"), F.concat(stem, F.lit("-"), F.col("mark"), ending)).otherwise(F.col("file_name"))
+    return some.join(own, "file_name", "left").select(apart.alias("file_name"), "text")
+
+
+def write_markdown(docs: DataFrame, path: str, mode: str | None = None) -> DataFrame:
+    """One Markdown file for each document, under its own `file_name` (see `file_names`) in the folder; documents whose text is
+    null or empty are skipped. Returns `file_name`, `bytes` and `sha256` of the files, which also stay in `_index`.
 
-    The text is the column `text`, or with a `mode` `translated_text` (translate) or `extracted_text` (any other).
+    The text is the column `text`, or with a `mode` `translated_text` (translate) or `extracted_text` (any other). Tasks write
+    the files, each under another name first and then renamed, so a file is whole or absent and a task that is run again
+    writes the same. Files of other names that are in the folder stay. The folder is one that pyarrow's file systems can
+    open (a path, file, s3, gs, hdfs).
     """
     if mode is not None:
         docs = docs.withColumn("text", F.col("translated_text" if mode == "translate" else "extracted_text"))
-    docs.where(F.coalesce(F.col("text"), F.lit("")) != "").select("file_name", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file_name").option("lineSep", "\n").text(path)
+    folder, schema = path.rstrip("/"), "file_name string, bytes long, sha256 string"
+
+    def write(parts):
+        files, base = opened(folder)
+        files.create_dir(f"{base}/_writing", recursive=True)
+        for part in parts:
+            out = []
+            for name, text in zip(part["file_name"], part["text"], strict=True):
+                data, early = text.encode("utf-8", "surrogatepass"), f"{base}/_writing/{uuid.uuid4().hex}"
+                with files.open_output_stream(early) as file:
+                    file.write(data)
+                files.move(early, f"{base}/{name}")
+                out.append((name, len(data), hashlib.sha256(data).hexdigest()))
+            yield pd.DataFrame(out, columns=["file_name", "bytes", "sha256"])
+
+    written = file_names(docs).mapInPandas(write, schema)
+    written.distinct().write.mode("overwrite").parquet(f"{folder}/_index")
+    return docs.sparkSession.read.schema(schema).parquet(f"{folder}/_index")

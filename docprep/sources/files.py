@@ -23,9 +23,14 @@ def accept_filter(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where(ok), files.where(~ok).withColumn("message", F.lit("only PDF and Markdown files are read"))
 
 
+def own_name() -> Column:
+    """The name of the file that a row was read from; Spark gives it with blanks and other characters encoded."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def scan_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """`file_name`, `markdown`: a whole file is one string."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("markdown"))
+    """`file_name`, `markdown`: a whole file is one string. Files under names with `_` or `.` in front are not read."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(own_name().alias("file_name"), F.col("value").alias("markdown"))
 
 
 def file_facts(files: DataFrame, page_items: DataFrame) -> DataFrame:

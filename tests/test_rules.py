@@ -1,5 +1,7 @@
 """Hand-made cases of the rules that the tables do not reach."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from docprep.functions import text as X
@@ -72,7 +74,22 @@ def test_files(spark, tmp_path):
     export.write_markdown(docs, str(tmp_path / "out"))
     kept, rejected = files.accept_filter(spark.createDataFrame([("application/pdf", "x"), (None, "y.MD"), ("text/html", None)], "mime string, path string"))
     assert (kept.count(), rejected.count()) == (2, 1)
-    assert [r["markdown"].rstrip("\n") for r in files.scan_markdown(spark, str(tmp_path / "out")).collect()] == ["# x\n\ny"]
+    assert [tuple(r) for r in files.scan_markdown(spark, str(tmp_path / "out")).collect()] == [("a.md", "# x\n\ny")]
+
+
+def test_names_of_files(spark, tmp_path):
+    """Names that a folder can't hold, hidden ones, and one name of several texts; a second run writes the same."""
+    given = [("a b+%20.md", "1"), ("é/ü\\.md", "2\n"), ("_x.md", "3"), (".md", "4"), (None, "5"), ("", "5"), ("s.md", "6"), ("s.md", "7"), ("s.md", "7"), ("s", "8"), ("s", "9"), ("t.tar.md", "日本"), ("none.md", None)]
+    docs = spark.createDataFrame(given, "file_name string, text string")
+    mark = lambda text: hashlib.sha256(text.encode()).hexdigest()[:12]
+    want = {"a b+%20.md": "1", "é_ü_.md": "2\n", "-_x.md": "3", "-.md": "4", "-": "5", f"s-{mark('6')}.md": "6", f"s-{mark('7')}.md": "7", f"s-{mark('8')}": "8", f"s-{mark('9')}": "9", "t.tar.md": "日本"}
+    for _ in range(2):
+        index = export.write_markdown(docs.repartition(3), str(tmp_path))
+        assert {r["file_name"]: r["markdown"] for r in files.scan_markdown(spark, str(tmp_path)).collect()} == want
+        rows = {tuple(r) for r in index.collect()}
+        assert index.count() == len(want) and rows == {(k, len(v.encode()), hashlib.sha256(v.encode()).hexdigest()) for k, v in want.items()}
+    assert (tmp_path / "é_ü_.md").read_bytes() == b"2\n" and not list((tmp_path / "_writing").iterdir())
+    assert export.write_markdown(docs.where("false"), str(tmp_path / "none")).count() == 0
 
 
 def test_model_failures_end_a_document(spark):
