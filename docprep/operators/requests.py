@@ -64,18 +64,52 @@ def _given(start: str) -> Column:
     return F.filter(F.array(F.nullif(F.nullif(start, F.lit(NONE)), F.lit(""))), lambda x: x.isNotNull())
 
 
-def _grown(start: str, added: str) -> Column:
-    lines = F.flatten(F.collect_list(F.coalesce(added, F.array().cast("array<string>"))).over(_before()))
-    return F.array_join(F.concat(_given(start), lines), "\n")
+def _lines(added: str) -> Column:
+    """The lines that a reply adds, as one text; null if there are none."""
+    kept = F.filter(F.coalesce(added, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    return F.when(F.size(kept) > 0, F.array_join(kept, "\n"))
 
 
-def _summary_lines(c: str) -> Column:
-    noted = F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("- "), c))
-    return F.split(F.array_join(F.collect_list(noted).over(_before()), "\n"), "\n", -1)
+def _noted() -> Column:
+    """The line of a reply's summary; null if it has none."""
+    return F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("- "), "summary"))
 
 
-def _last_lines(lines: str, n: int) -> Column:
-    return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n)), "\n")
+#: What grows from chunk to chunk.
+GROWING = {"terms": lambda: _lines("new_terms"), "characters": lambda: _lines("new_characters"), "summary": _noted}
+
+
+def _upto(name: str) -> Column:
+    """How many characters of the document's lines, each with its line end, come from the chunks before this one."""
+    return F.coalesce(F.sum(F.char_length(GROWING[name]()) + 1).over(_before()), F.lit(0)).cast("int").alias(f"{name}_upto")
+
+
+def document_lines(replies: DataFrame, *names: str) -> DataFrame:
+    """`doc_id` and `<name>_lines`: the lines of all chunks of a document, in order, as one text."""
+    return replies.groupBy("doc_id").agg(*[F.array_join(in_order(GROWING[n](), "chunk_no"), "\n").alias(f"{n}_lines") for n in names])
+
+
+def _seen(name: str) -> Column:
+    """The lines that a chunk sees, which begin its document's; null if there are none."""
+    return F.when(F.col(f"{name}_upto") > 0, F.left(f"{name}_lines", F.col(f"{name}_upto") - 1))
+
+
+def _grown(start: str, name: str) -> Column:
+    return F.array_join(F.concat(_given(start), F.array(_seen(name))), "\n")
+
+
+def _last_lines(name: str, n: int) -> Column:
+    return F.substring_index(F.coalesce(_seen(name), F.lit("")), "\n", -n)
+
+
+def _places(rows: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    return rows if wanted is None else rows.join(wanted.select("doc_id", "chunk_no"), ["doc_id", "chunk_no"], "left_semi")
+
+
+def _running(replies: DataFrame, initial: DataFrame, name: str, column: str, wanted: DataFrame | None) -> DataFrame:
+    places = _places(replies.select("doc_id", "chunk_no", _upto(name)), wanted)
+    known = places.join(document_lines(replies, name), "doc_id").join(initial.select("doc_id", F.col(column).alias("start")), "doc_id", "left")
+    return known.select("doc_id", "chunk_no", _grown("start", name).alias(column))
 
 
 def prev_source_tail(chunks: DataFrame, n: int = TAIL_CHARS) -> DataFrame:
@@ -86,37 +120,42 @@ def prev_translation_tail(chunks: DataFrame, n: int = TAIL_CHARS) -> DataFrame:
     return chunks.select("doc_id", "chunk_no", _tail("translated", n).alias("prev_translation"))
 
 
-def running_glossary(replies: DataFrame, initial: DataFrame) -> DataFrame:
-    """The glossary that chunk i sees: the initial one and the new terms of all chunks before; the sentinel is empty."""
-    known = replies.join(initial.select("doc_id", F.col("glossary").alias("start")), "doc_id", "left")
-    return known.select("doc_id", "chunk_no", _grown("start", "new_terms").alias("glossary"))
+def running_glossary(replies: DataFrame, initial: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The glossary that chunk i sees: the initial one and the new terms of all chunks before; the sentinel is empty.
+
+    A document's terms are written once; a chunk has a length, and its text is made from both. What is made is as long as
+    its parts, so for all chunks of a document it grows with their square: with `wanted` (`doc_id`, `chunk_no`), the
+    pending chunks say, it is made for those only.
+    """
+    return _running(replies, initial, "terms", "glossary", wanted)
 
 
-def running_characters(replies: DataFrame, initial: DataFrame) -> DataFrame:
-    known = replies.join(initial.select("doc_id", F.col("characters").alias("start")), "doc_id", "left")
-    return known.select("doc_id", "chunk_no", _grown("start", "new_characters").alias("characters"))
+def running_characters(replies: DataFrame, initial: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The same for the characters."""
+    return _running(replies, initial, "characters", "characters", wanted)
 
 
-def rolling_summary(replies: DataFrame, lines: int = SUMMARY_LINES) -> DataFrame:
+def rolling_summary(replies: DataFrame, lines: int = SUMMARY_LINES, wanted: DataFrame | None = None) -> DataFrame:
     """The last `lines` lines of the summaries before chunk i, each led by `- `; empty summaries are skipped."""
-    before = replies.select("doc_id", "chunk_no", _summary_lines("summary").alias("l"))
-    return before.select("doc_id", "chunk_no", _last_lines("l", lines).alias("plot_summary"))
+    places = _places(replies.select("doc_id", "chunk_no", _upto("summary")), wanted)
+    return places.join(document_lines(replies, "summary"), "doc_id").select("doc_id", "chunk_no", _last_lines("summary", lines).alias("plot_summary"))
 
 
-def request_context(chunks: DataFrame, replies: DataFrame, initial: DataFrame, n: int = TAIL_CHARS, lines: int = SUMMARY_LINES) -> DataFrame:
-    """All that a chunk's request carries, in one pass: both tails, the running glossary and characters, the summary.
+def request_context(chunks: DataFrame, replies: DataFrame, initial: DataFrame, n: int = TAIL_CHARS, lines: int = SUMMARY_LINES, wanted: DataFrame | None = None) -> DataFrame:
+    """All that a chunk's request carries: both tails, the running glossary and characters, the summary.
 
-    One window serves every column, so the chunks are shuffled and sorted by document once after the two joins.
+    One window serves the tails and the lengths, so the chunks are sorted by document once; the lines of a document are
+    joined to its chunks where they already are. With `wanted` only those chunks get texts.
     """
     start = initial.select("doc_id", "style", F.col("glossary").alias("start_terms"), F.col("characters").alias("start_characters"))
-    known = chunks.join(replies, ["doc_id", "chunk_no"], "left").join(start, "doc_id", "left")
-    seen = known.select(
-        "doc_id", "chunk_no", "source_text", "style",
-        _tail("source_text", n).alias("prev_source"), _tail("translated", n).alias("prev_translation"),
-        _grown("start_terms", "new_terms").alias("glossary"), _grown("start_characters", "new_characters").alias("characters"),
-        _summary_lines("summary").alias("l"),
+    known = chunks.join(replies, ["doc_id", "chunk_no"], "left")
+    seen = known.select("doc_id", "chunk_no", "source_text", _tail("source_text", n).alias("prev_source"), _tail("translated", n).alias("prev_translation"), *map(_upto, GROWING))
+    seen = _places(seen, wanted).join(document_lines(replies, *GROWING), "doc_id", "left").join(start, "doc_id", "left")
+    return seen.select(
+        "doc_id", "chunk_no", "source_text", "style", "prev_source", "prev_translation",
+        _grown("start_terms", "terms").alias("glossary"), _grown("start_characters", "characters").alias("characters"),
+        _last_lines("summary", lines).alias("plot_summary"),
     )
-    return seen.withColumn("plot_summary", _last_lines("l", lines)).drop("l")
 
 
 def glossary_final(analysis: DataFrame, replies: DataFrame) -> DataFrame:
@@ -129,10 +168,11 @@ def assemble_translation(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(in_order("translated", "chunk_no"), lambda x: F.concat(x, F.lit("\n\n"))), "").alias("translated_text"))
 
 
-def running_translated_text(chunks: DataFrame) -> DataFrame:
-    """The text that is saved after each chunk."""
-    parts = F.collect_list(F.concat("translated", F.lit("\n\n"))).over(_doc().rowsBetween(Window.unboundedPreceding, 0))
-    return chunks.select("doc_id", "chunk_no", F.array_join(parts, "").alias("saved_text"))
+def running_translated_text(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The text that is saved after each chunk, which begins the document's; with `wanted` for those chunks only."""
+    upto = F.coalesce(F.sum(F.char_length("translated") + 2).over(_doc().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    places = _places(chunks.select("doc_id", "chunk_no", upto.cast("int").alias("upto")), wanted)
+    return places.join(assemble_translation(chunks), "doc_id").select("doc_id", "chunk_no", F.left("translated_text", F.col("upto")).alias("saved_text"))
 
 
 def requests(chunks: DataFrame, analysis: DataFrame) -> DataFrame:

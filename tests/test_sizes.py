@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docprep.functions import text as X
-from docprep.operators import quality
+from docprep.operators import quality, requests
 
 
 def plain_strip(text):
@@ -51,3 +51,42 @@ def test_terms_of_a_large_glossary(spark):
     assert len(rows) == len(want) and set(rows) == want
     met = [p for p in str(found._jdf.queryExecution().executedPlan()).splitlines() if "Join" in p]
     assert met and all("gram" in p for p in met)
+
+
+def test_what_chunks_carry(spark):
+    rng = random.Random(3)
+    some = lambda: rng.choice([None, [], [None], [""], ["a: b"], ["x", None, "é\n日"], ["\U0001f600", "z"]])
+    rows = [(d, i, f"s{i}" * rng.randrange(3), rng.choice([None, "", f"t{i}"]), some(), some(), rng.choice([None, "", "so", "two\nlines"])) for d in range(40) for i in range(d % 16)]
+    start = [(d, *rng.choices([None, "", "無", "first: one", "a\nb"], k=2)) for d in range(30)]
+    names = "doc_id long, chunk_no int, source_text string, translated string, new_terms array<string>, new_characters array<string>, summary string"
+    chunks, initial = spark.createDataFrame(rows, names), spark.createDataFrame([(d, None, g, c) for d, g, c in start], "doc_id long, style string, glossary string, characters string")
+    replies = chunks.drop("source_text").where("chunk_no <> 7")
+    begin, want, saved = {d: (g, c) for d, g, c in start}, {}, {}
+    for d, i, *_ in rows:
+        before = [r for r in rows if r[0] == d and r[1] < i and r[1] != 7]
+        lines = [[x for x in [begin.get(d, (None, None))[j]] if x and x != "無"] + [t for r in before for t in r[4 + j] or [] if t is not None] for j in (0, 1)]
+        told = "\n".join(f"- {r[6]}" for r in before if r[6]).split("\n")[-10:]
+        want[d, i] = ("\n".join(lines[0]), "\n".join(lines[1]), "\n".join(told))
+        saved[d, i] = "".join(f"{r[3]}\n\n" for r in rows if r[0] == d and r[1] <= i and r[3] is not None)
+    sources = chunks.select("doc_id", "chunk_no", "source_text")
+    found = requests.request_context(sources, replies, initial)
+    assert {(r["doc_id"], r["chunk_no"]): (r["glossary"], r["characters"], r["plot_summary"]) for r in found.collect()} == want
+    assert {(r["doc_id"], r["chunk_no"]): r["saved_text"] for r in requests.running_translated_text(chunks).collect()} == saved
+    few = chunks.where("chunk_no IN (3, 8)")
+    for f, j in ((requests.running_glossary, 0), (requests.running_characters, 1)):
+        assert {tuple(r)[:2]: r[2] for r in f(replies, initial, wanted=few).collect()} == {k: v[j] for k, v in want.items() if k[1] in (3, 8)}
+    assert {tuple(r)[:2]: r[2] for r in requests.rolling_summary(replies).collect()} == {k: v[2] for k, v in want.items() if k[1] != 7}
+    assert requests.request_context(sources, replies, initial, wanted=few).count() == sum(k[1] in (3, 8) for k in want)
+
+
+def test_terms_of_a_document_of_many_chunks(spark):
+    """20,000 chunks of four terms each: what all of them see together would be 16 GB; the last ones' is 16 MB."""
+    replies = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("chunk_no"), F.array(*[F.concat(F.lit(f"term number {j} of "), "id") for j in range(4)]).alias("new_terms"))
+    initial = spark.createDataFrame([(1, "first: one")], "doc_id int, glossary string")
+    wanted = replies.where("chunk_no >= 19990")
+    seen = requests.running_glossary(replies, initial, wanted)
+    assert "collect_list" not in "".join(x for x in str(seen._jdf.queryExecution().executedPlan()).splitlines() if "Window" in x)
+    began = time.time()
+    found = {r["chunk_no"]: r["n"] for r in seen.select("chunk_no", F.size(F.split("glossary", "\n")).alias("n")).collect()}
+    assert time.time() - began < 20
+    assert found == {i: 4 * i + 1 for i in range(19_990, 20_000)}
