@@ -8,8 +8,8 @@ and verifies them on the original vectors until F(r^2 / d^2) reaches `confidence
 Two levels of kd-tree hold every row. The upper one deals the rows into cells; its splits come from a bounded sample of
 projected points, and there are as many cells as the number of rows asks for. A cell's box is that of all its rows. A
 cell's rows, in blocks of bounded size if there are too many, have a tree of their own. A query visits cells in waves by
-increasing gap: its own cell, then the nearest few, then all others that the test does not rule out, each wave with the
-k-th best distance of the one before. Equal vectors are one entry that carries its k + 1 least ids: no further copy can
+increasing gap: its own cell, then the nearest few, then `GROWTH` times as many in each wave, without those that the test
+rules out with the k-th best distance of the wave before, until a wave has no cell left for any query. Equal vectors are one entry that carries its k + 1 least ids: no further copy can
 be among k neighbours when ties go to smaller ids.
 """
 
@@ -32,6 +32,8 @@ SAMPLE = 100_000
 CELL_ROWS = 2048
 #: Cells of the second wave.
 NEAR_CELLS = 4
+#: How many times as many cells, by increasing gap, have been looked at after each further wave.
+GROWTH = 4
 LEAF = 64
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 4096
@@ -251,7 +253,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id
     def visits(known: DataFrame, first: int, last: int) -> DataFrame:
         """A row for each query and cell of the ranks first to last by gap, its own cell apart, that is not ruled out."""
         found = known.groupBy("query_class").agg(F.when(F.count("*") > k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))).otherwise(4.0).alias("reach"))
-        wide = queries.join(found, "query_class", "left").withColumn("reach", F.coalesce("reach", F.lit(4.0))).select("query_class", "vector", "point", "home", "reach")
+        wide = queries.join(found, "query_class", "left").select("query_class", "point", "home", F.coalesce("reach", F.lit(4.0)).alias("reach"))
 
         def visit(parts):
             step = max(1, (1 << 16) // max(1, len(names)))
@@ -260,15 +262,20 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, id_col: str = "vec_id
                 gap[part.home.to_numpy()[:, None] == names] = np.inf
                 order = np.argsort(gap, axis=1, kind="stable")[:, first:last]
                 row, rank = np.nonzero(np.take_along_axis(gap, order, axis=1) <= radius * part.reach.to_numpy()[:, None])
-                yield part.drop(columns="home").iloc[row].assign(cell=names[order[row, rank]])
+                yield part[["query_class", "reach"]].iloc[row].assign(cell=names[order[row, rank]])
 
-        return wide.mapInPandas(visit, "query_class long, vector array<double>, point array<double>, reach double, cell int")
+        return wide.mapInPandas(visit, "query_class long, reach double, cell int")
 
     own_cell = queries.withColumn("cell", F.col("home")).withColumn("reach", F.lit(4.0))
     every = durable(_best(_searched(own_cell, blocks, k, radius), k + 1).drop("r"))
-    for first, last in ((0, NEAR_CELLS), (NEAR_CELLS, None)):
-        if len(names) > first + 1:
-            every = durable(_best(every.unionByName(_searched(visits(every, first, last), blocks, k, radius)), k + 1).drop("r"))
+    first, last = 0, NEAR_CELLS
+    while len(names) > first + 1:
+        wave = durable(visits(every, first, last))
+        if wave.isEmpty():  # gaps only grow from wave to wave
+            break
+        asking = wave.join(queries.drop("home"), "query_class")
+        every = durable(_best(every.unionByName(_searched(asking, blocks, k, radius)), k + 1).drop("r"))
+        first, last = last, GROWTH * last
     packed = every.groupBy("query_class").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
     own = split_join(members, packed, ["query_class"]).select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     ranked = own.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("p", "x"))

@@ -7,8 +7,9 @@ edges have one, so the work is split, all of it in rows that Spark groups and jo
    neighbouring edges share them, so there are some four times fewer anchors than edges; those of one document go.
 2. the remaining edges are grouped by their hash and joined with their first source coordinate.
 3. first coordinates that follow one another are nonbranching paths of the graph; each path's words are read once, at its
-   source. Edges that follow one another both in a document and at their source are compacted to spans, joined with the
-   words of their path and compared with the document's own words. Only what is equal word for word is removed.
+   source, in pieces of `PIECE` edges. Edges that follow one another both in a document and at their source are compacted to
+   spans, joined with the pieces that they overlap and compared with the document's own words, so that the work is that of
+   the spans, however long the source. Only what is equal word for word is removed.
 
 Keys that many rows share (a passage in a third of all documents) are combined before the exchange, and the joins put the
 aggregate on the side that lets Spark split the others.
@@ -31,6 +32,8 @@ WINDOW = 13
 ANCHOR_WORDS = 6
 #: Passes, by hash, in which edges are grouped; the shuffle files of one are on disk at a time.
 PASSES = 4
+#: Edges of a piece of a path; a piece's words are those of its edges, so pieces share k - 1 words with the next.
+PIECE = 512
 #: Stands for a null id: before all others, and never smaller than itself.
 _NO_ID = -(1 << 63)
 
@@ -166,7 +169,8 @@ def _one_a_key(rows: DataFrame) -> DataFrame:
 
 
 def sourced_spans(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """`id`, `th`, `at`, `n` (words), `sid`, `sth`, `sat`, `words` (at the source): the compacted spans, not yet compared."""
+    """`id`, `th`, `span`, `at`, `n` (words), `sid`, `sth`, `sat`, `words` (at the source): the compacted spans, not yet
+    compared, a row for each piece of their path that they overlap; `span` is the first word of the whole span."""
     scratch, rows = Scratch(docs.sparkSession), docs.select(*_keys(docs, id_col, text_col))
     runs = scratch.write("runs", anchor_runs(rows, k))
     shared = scratch.write("shared", runs.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a"))
@@ -196,12 +200,23 @@ def sourced_spans(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
     spans = scratch.write("spans", split_join(spans.withColumnRenamed("span", "at"), first, ["sid", "sth", "sat"]))
     scratch.drop("hits")
 
-    paths = first.groupBy("sid", "sth", "path").agg((F.max("sat") - F.col("path") + k).cast("int").alias("n")).groupBy(F.col("sid").alias("id"), F.col("sth").alias("th")).agg(F.collect_list(F.struct("path", "n")).alias("p"))
-    read = _one_a_key(rows).join(paths, ["id", "th"]).select("id", "th", "p", _path_words(F.col("text"), F.col("p.path"), F.col("p.n")).alias("words"))
-    read = read.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.explode(F.arrays_zip("p.path", "words")).alias("z")).select("sid", "sth", F.col("z.path").alias("path"), F.col("z.words").alias("words"))
-    # a word holds no space, so the path's words split at spaces
-    taken = F.array_join(F.slice(F.split("words", " "), F.col("sat") - F.col("path") + 1, F.col("n")), " ")
-    return scratch.write("sourced", split_join(spans, read, ["sid", "sth", "path"]).select("id", "th", "at", "n", "sid", "sth", "sat", taken.alias("words")))
+    paths = first.groupBy("sid", "sth", "path").agg((F.max("sat") - F.col("path") + 1).alias("edges"))
+    piece = F.explode(F.sequence(F.lit(0).cast("int"), F.floor((F.col("edges") - 1) / PIECE).cast("int"))).alias("piece")
+    pieces = paths.select("sid", "sth", "path", "edges", piece).withColumn("n", (F.least(F.lit(PIECE), F.col("edges") - F.col("piece") * PIECE) + k - 1).cast("int"))
+    pieces = pieces.withColumn("begin", F.col("path") + F.col("piece") * PIECE)
+    wanted = pieces.groupBy(F.col("sid").alias("id"), F.col("sth").alias("th")).agg(F.collect_list(F.struct("path", "piece", "begin", "n")).alias("p"))
+    read = _one_a_key(rows).join(wanted, ["id", "th"]).select("id", "th", "p", _path_words(F.col("text"), F.col("p.begin"), F.col("p.n")).alias("words"))
+    read = read.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.explode(F.arrays_zip("p.path", "p.piece", "words")).alias("z"))
+    read = read.select("sid", "sth", F.col("z.path").alias("path"), F.col("z.piece").alias("piece"), F.col("z.words").alias("words"))
+
+    # edges of the span, counted from the start of the path, and those of them in each piece
+    lo, hi = F.col("sat") - F.col("path"), F.col("sat") - F.col("path") + F.col("n") - k
+    mine = spans.withColumn("piece", F.explode(F.sequence(F.floor(lo / PIECE).cast("int"), F.floor(hi / PIECE).cast("int"))))
+    from_, upto = F.greatest(lo, F.col("piece") * PIECE), F.least(hi, F.col("piece") * PIECE + PIECE - 1)
+    mine = mine.select("id", "th", F.col("at").alias("span"), (F.col("at") + from_ - lo).alias("at"), (upto - from_ + k).cast("int").alias("n"), "sid", "sth", (F.col("sat") + from_ - lo).alias("sat"), "path", "piece")
+    # a word holds no space, so a piece's words split at spaces
+    taken = F.array_join(F.slice(F.split("words", " "), (F.col("sat") - F.col("path") - F.col("piece") * PIECE + 1).cast("int"), F.col("n")), " ")
+    return scratch.write("sourced", split_join(mine, read, ["sid", "sth", "path", "piece"]).select("id", "th", "span", "at", "n", "sid", "sth", "sat", taken.alias("words")))
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, carry: bool) -> DataFrame:
@@ -243,11 +258,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append([_equal_words(words, line, begin, int(a), s, k) == [(a, a + s.count(" ") + 1)] for a, s in zip(starts, source, strict=True)])
         return pd.Series(out)
 
-    spans = sourced_spans(docs, id_col, text_col, k).groupBy("id", "th").agg(F.collect_list(F.struct("at", "n", "sid", "sat", "words")).alias("s"))
+    spans = sourced_spans(docs, id_col, text_col, k).groupBy("id", "th").agg(F.collect_list(F.struct("span", "at", "n", "sid", "sth", "sat", "words")).alias("s"))
     rows = _one_a_key(docs.select(*_keys(docs, id_col, text_col))).join(spans, ["id", "th"])
-    each = rows.select("id", F.explode(F.arrays_zip("s", equal(F.col("text"), F.col("s.at"), F.col("s.words")).alias("equal"))).alias("z")).where("z.equal")
+    each = rows.select("id", "th", F.explode(F.arrays_zip("s", equal(F.col("text"), F.col("s.at"), F.col("s.words")).alias("equal"))).alias("z")).select("id", "th", "z.s.*", "z.equal")
+    whole = each.groupBy("id", "th", "span", "sid", "sth").agg(F.min("sat").alias("sat"), (F.sum(F.col("n") - k + 1) + k - 1).cast("int").alias("n"), F.bool_and("equal").alias("equal")).where("equal")
     ids = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
-    return each.select(ids("id").alias(id_col), F.col("z.s.at").alias("first_word"), F.col("z.s.n").alias("n_words"), ids("z.s.sid").alias("source_id"), F.col("z.s.sat").alias("source_word"))
+    return whole.select(ids("id").alias(id_col), F.col("span").alias("first_word"), F.col("n").alias("n_words"), ids("sid").alias("source_id"), F.col("sat").alias("source_word"))
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:

@@ -139,6 +139,22 @@ def test_substrings(spark):
     assert {i: len(s) for i, s in spans.items()} == {r["doc_id"]: r["n_removed"] for r in found if r["n_removed"]}
 
 
+def test_substring_pieces_of_paths(spark, monkeypatch):
+    """A long source that many documents quote, over the edges of pieces and within one; pieces of all sizes give the same."""
+    rng = random.Random(11)
+    source = [f"s{i}" for i in range(1400)]
+    quotes = [(lo, lo + rng.choice([13, 14, 40, 600])) for lo in rng.sample(range(1300), 40)] + [(0, 1400), (500, 525), (511, 524), (512, 525), (1387, 1400)]
+    texts = [" ".join(source), *(" ".join([f"a{i}", *source[lo:hi], f"b{i}"]) for i, (lo, hi) in enumerate(quotes)), " ".join(source[:600] + ["x"] + source[601:])]
+    want, spans = kept_words(dict(enumerate(texts)), 13), []
+    for piece in (512, 5, 1):
+        monkeypatch.setattr(substring, "PIECE", piece)
+        found = substring.deduplicate(docs_of(spark, texts)).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found} == want
+        spans.append(sorted(map(tuple, substring.repeated_spans(docs_of(spark, texts)).collect())))
+    assert spans[0] == spans[1] == spans[2]
+    assert [s for s in spans[0] if s[3] == 0 and s[0] <= len(quotes)] == sorted((i + 1, 1, min(hi, 1400) - lo, 0, lo) for i, (lo, hi) in enumerate(quotes))
+
+
 def test_substring_rows_of_one_id_and_columns(spark):
     long = " ".join(map(str, range(20)))
     docs = docs_of(spark, [long, long, long, long + " tail", None, ""], ids=[1, 1, 2, 3, None, 4])
@@ -326,6 +342,33 @@ def test_packing(spark):
 # nearest neighbours ------------------------------------------------------------------------------------------------
 
 
+def test_nearest_visits_few_cells_of_clustered_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "NEAR_CELLS", 2)
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((25, 16))
+    vectors = centers[rng.integers(0, 25, 2000)] + 0.02 * rng.standard_normal((2000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    visited, waves, plain = 0, 0, ann._searched
+
+    def counted(pairs, *rest):
+        nonlocal visited, waves
+        visited, waves = visited + pairs.count(), waves + 1
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(ann, "_searched", counted)
+    found = defaultdict(set)
+    for r in ann.nearest(frame, "vec_id % 50 = 0", cells=48).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 50):
+        score = unit @ unit[q]
+        score[q] = -9
+        hits += len(found[q] & set(np.argsort(-score)[:5].tolist()))
+    assert hits >= 0.9 * 200 and waves > 2
+    assert visited < 0.5 * 40 * 48
+
+
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 5)
