@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprep.functions.text import est_cost_twd, est_cost_usd, est_output_tokens
@@ -19,9 +19,14 @@ def find_model(models: DataFrame, model_id: str) -> DataFrame:
     return models.where(F.col("model_id") == model_id)
 
 
+def scaled_tokens(total: Column, factor: int = 20) -> Column:
+    """An exact sum of batches times `factor`, rounded half up."""
+    return F.floor(total * factor + 0.5).cast("long")
+
+
 def token_total(batches: DataFrame, factor: int = 20) -> DataFrame:
     """Exact sum of a document's batches times `factor`, rounded half up."""
-    return batches.groupBy("doc_id").agg(F.floor(F.sum("tokens") * factor + 0.5).cast("long").alias("tokens"))
+    return batches.groupBy("doc_id").agg(scaled_tokens(F.sum("tokens"), factor).alias("tokens"))
 
 
 def cost_by_model(tokens: DataFrame, models: DataFrame) -> DataFrame:

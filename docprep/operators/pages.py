@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,11 +28,16 @@ def page_batches(counts: DataFrame, size: int = 5) -> DataFrame:
     return cut.select("doc_id", F.floor(F.col("s") / size).cast("int").alias("batch_no"), (F.col("s") + 1).cast("int").alias("start_page"), F.least(F.col("s") + size, F.col("pages")).cast("int").alias("end_page"))
 
 
+def token_ranges(pages: Column, threshold: int = 1000, size: int = 500) -> Column:
+    """Array of (start_page, end_page): one range up to `threshold` pages, else ranges of `size`."""
+    step = F.when(pages <= threshold, pages).otherwise(size)
+    return F.transform(F.sequence(F.lit(0), pages - 1, step), lambda s: F.struct((s + 1).cast("int").alias("start_page"), F.least(s + step, pages).cast("int").alias("end_page")))
+
+
 def token_batches(counts: DataFrame, threshold: int = 1000, size: int = 500) -> DataFrame:
     """One range up to `threshold` pages, else ranges of `size`."""
-    step = F.when(F.col("pages") <= threshold, F.col("pages")).otherwise(size)
-    cut = counts.where("pages > 0").select("doc_id", "pages", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("pages") - 1, step)).alias("s"))
-    return cut.select("doc_id", F.floor(F.col("s") / F.col("step")).cast("int").alias("batch_no"), (F.col("s") + 1).cast("int").alias("start_page"), F.least(F.col("s") + F.col("step"), F.col("pages")).cast("int").alias("end_page"))
+    cut = counts.where("pages > 0").select("doc_id", F.posexplode(token_ranges(F.col("pages"), threshold, size)).alias("batch_no", "r"))
+    return cut.select("doc_id", "batch_no", "r.start_page", "r.end_page")
 
 
 def batch_raw_text(pages: DataFrame, size: int = 5) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from docprep.operators import chunking, model, requests
+from docprep.operators import chunking, cost, model, requests
 from docprep.plans import lifecycle
 from docprep.sources.attempt_log import AttemptLog
 
@@ -138,3 +138,10 @@ def test_log_rows_once(spark, tmp_path):
     log.commit(5, 1, before[1])  # as if the run had ended before the files went
     assert log.table(spark).groupBy("doc_id").count().orderBy("doc_id").collect() == [(5, 2), (6, 1)]
     assert log.table(spark).where(F.col("ts") == F.expr("TIMESTAMP '2024-01-02 03:04:05.000006'")).count() == 3
+
+
+def test_estimate_of_rows_that_share_an_id(spark):
+    """Each row is an estimate of its own, as in the SQL, where numbers of two sources meet."""
+    counts = spark.createDataFrame([(1, 3), (1, 1001), (2, 1000)], "doc_id long, pages int")
+    found = lifecycle.estimate(counts, 600, cost.price_list(spark)).where("model_id = 'pro'").select("doc_id", "tokens")
+    assert rows(found) == [(1, 3 * 12_000), (1, 1001 * 12_000), (2, 1000 * 12_000)]
