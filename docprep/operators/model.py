@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from docprep.sources.attempt_log import AttemptLog
+from docprep.sources.attempt_log import AttemptLog, Segment, place
 
 from .attempts import MAX_SHORT, MAX_TRANSLATION
 from .requests import NONE, SUMMARY_LINES, TAIL_CHARS, request_text
@@ -19,6 +24,12 @@ from .requests import NONE, SUMMARY_LINES, TAIL_CHARS, request_text
 ATTEMPT = "doc_id long, chunk_no int, attempt_no int, reply string, http_status int, error_message string, ts timestamp"
 #: What an attempt of the whole loop leaves: the call, and the fields of the reply that it came to.
 TRANSLATION = "doc_id long, chunk_no int, attempt_no int, request_sha256 string, translated string, new_terms array<string>, new_characters array<string>, summary string, missing_content boolean, short boolean, http_status int, error_message string, ts timestamp"
+#: The same for Arrow, and rows of a batch of attempts.
+_ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("attempt_no", pa.int32()), ("request_sha256", pa.string()), ("translated", pa.string()), ("new_terms", pa.list_(pa.string())),
+    ("new_characters", pa.list_(pa.string())), ("summary", pa.string()), ("missing_content", pa.bool_()), ("short", pa.bool_()), ("http_status", pa.int32()), ("error_message", pa.string()), ("ts", pa.timestamp("us", "UTC")),
+])
+BATCH_ROWS = 500
 _COLUMNS = ["doc_id", "chunk_no", "attempt_no", "reply", "http_status", "error_message", "ts"]
 
 
@@ -97,7 +108,7 @@ def _given(text) -> list[str]:
     return [text] if isinstance(text, str) and text not in ("", NONE) else []
 
 
-def translate_with_context(requests: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, wait: Callable[[float], None] = time.sleep, most: int = MAX_TRANSLATION, log: AttemptLog | None = None) -> DataFrame:
+def translate_with_context(requests: DataFrame, draft: Callable[[str], str], correct: Callable[[str, str], str] | None = None, wait: Callable[[float], None] = time.sleep, most: int = MAX_TRANSLATION, log: AttemptLog | None = None, known: DataFrame | None = None) -> DataFrame:
     """Every attempt at the chunks (`doc_id`, `chunk_no`, `source_text`, `style`, `glossary`, `characters`), in order within
     a document, while documents run in parallel; `attempts.translation_outcome` reads the rows.
 
@@ -105,10 +116,12 @@ def translate_with_context(requests: DataFrame, draft: Callable[[str], str], cor
     chunk before, the glossary and characters grown by the replies so far, and the last lines of their summaries. A short
     draft, a limit of the service and missing content are tried again, `most` times in all; short drafts pass after
     MAX_SHORT retries, missing content at the last attempt. Any other failure, or the last one, ends the document there.
-    Null texts are empty. A group is one document's chunks. With a `log` the attempts at a chunk are committed to it once the
-    chunk has ended, and a chunk that it holds is not asked for: its rows are read, and what the next request carries is
-    built up from them.
+    Null texts are empty. A task goes through its documents one after the other and holds one chunk at a time. With a `log`
+    the attempts at a chunk are committed to it once the chunk has ended, and a retried task reads what the try before it has
+    committed. A chunk in `known` (`doc_id`, `chunk_no`, `rows`) is not asked for: what the next request carries is built up
+    from its rows.
     """
+    run_name = uuid.uuid4().hex
 
     def attempt(request: str, source: str, tries: int) -> dict:
         row = {"request_sha256": hashlib.sha256(request.encode("utf-8", "surrogatepass")).hexdigest(), "short": False}
@@ -135,27 +148,51 @@ def translate_with_context(requests: DataFrame, draft: Callable[[str], str], cor
                 wait(1 if "suspiciously short" in message.lower() else 5 * tries)
         return rows
 
-    def run(doc: pd.DataFrame) -> pd.DataFrame:
-        out, before, notes = [], ("", ""), []
-        first = doc.iloc[0]
-        known = log.chunks(first["doc_id"]) if log else {}
-        terms, people = _given(first["glossary"]), _given(first["characters"])
-        for chunk in doc.sort_values("chunk_no").itertuples():
-            source = chunk.source_text if isinstance(chunk.source_text, str) else ""
+    def document(chunks: Iterable[dict], known_rows: Callable[[dict], list[dict] | None], segment: Segment | None) -> Iterator[dict]:
+        """The attempts at a document's chunks, in order."""
+        before, notes, first = ("", ""), [], None
+        for chunk in chunks:
+            if first is None:
+                first = chunk
+                terms, people = _given(first["glossary"]), _given(first["characters"])
+            source, ids = chunk["source_text"] or "", {c: chunk[c] for c in ("doc_id", "chunk_no")}
             story = "\n".join("\n".join(notes).split("\n")[-SUMMARY_LINES:])
-            style = first["style"] if isinstance(first["style"], str) else ""
-            request = request_text({"style": style, "glossary": "\n".join(terms), "characters": "\n".join(people), "plot_summary": story}, *before, source)
-            rows = known.get(chunk.chunk_no) or tried(request, source)
-            if log and chunk.chunk_no not in known:
-                log.commit(chunk.doc_id, chunk.chunk_no, [{"doc_id": int(chunk.doc_id), "chunk_no": int(chunk.chunk_no)} | row for row in rows])
-            out += [{"doc_id": chunk.doc_id, "chunk_no": chunk.chunk_no} | row for row in rows]
+            context = {"style": first["style"] or "", "glossary": "\n".join(terms), "characters": "\n".join(people), "plot_summary": story}
+            rows = known_rows(chunk)
+            if not rows:
+                rows = [ids | row for row in tried(request_text(context, *before, source), source)]
+                if segment:
+                    segment.add(**ids, rows=rows)
+            yield from rows
             row = rows[-1]
             if row.get("error_message") is not None:
                 break
             terms, people = terms + row["new_terms"], people + row["new_characters"]
             notes += [f"- {row['summary']}"] if row["summary"] else []
             before = source[-TAIL_CHARS:], row["translated"][-TAIL_CHARS:]
-        columns = [c.split()[0] for c in TRANSLATION.split(", ")]
-        return pd.DataFrame([[pd.Timestamp(r[c]) if c == "ts" else r.get(c) for c in columns] for r in out], columns=columns, dtype=object).astype({"doc_id": "int64", "chunk_no": "int32", "attempt_no": "int32", "short": "bool", "http_status": "Int32", "missing_content": "boolean", "ts": "datetime64[us, UTC]"})
 
-    return requests.select("doc_id", "chunk_no", "source_text", "style", "glossary", "characters").groupBy("doc_id").applyInPandas(run, TRANSLATION)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = f"{run_name}-{TaskContext.get().partitionId()}"
+        segment, earlier = (log.segment(part), log.earlier(part)) if log else (None, iter(()))
+        ahead = next(earlier, None)
+
+        def known_rows(chunk: dict) -> list[dict] | None:
+            nonlocal ahead
+            here = place(chunk["doc_id"], chunk["chunk_no"])
+            while ahead and ahead[0] < here:
+                ahead = next(earlier, None)
+            return chunk["known"] or (ahead[1] if ahead and ahead[0] == here else None)
+
+        chunks = (row for batch in batches for row in batch.to_pylist())
+        found = (row for _, doc in itertools.groupby(chunks, key=lambda c: c["doc_id"]) for row in document(doc, known_rows, segment))
+        while rows := list(itertools.islice(found, BATCH_ROWS)):
+            yield pa.RecordBatch.from_pylist([row | {"ts": pd.Timestamp(row["ts"])} for row in rows], _ARROW)
+        if segment:
+            segment.close()
+
+    asked = requests.select("doc_id", "chunk_no", "source_text", "style", "glossary", "characters")
+    if known is None:
+        asked = asked.withColumn("known", F.lit(None).cast("string"))
+    else:
+        asked = asked.join(known.select("doc_id", "chunk_no", F.col("rows").alias("known")), ["doc_id", "chunk_no"], "left")
+    return asked.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no").mapInArrow(run, TRANSLATION)

@@ -1,15 +1,18 @@
 """A log of model calls that survives lost executors and ended runs.
 
-A task commits the attempts at a chunk as one file, `chunks/<document>/<chunk>.json`, as soon as the chunk has ended: written
-under another name first and then renamed, so that a file is whole or absent. Whoever comes to the same chunk later, a retried
-task or a new run, reads the file and calls nothing. `table` gives all rows as a DataFrame, and `compact` moves those of
-given documents into Parquet, so that open files are those of unfinished documents only.
+The rows of a chunk are one line of JSON, committed as soon as the chunk has ended. A task appends the lines of all its
+documents to one file, `chunks/<part>/<name>.json`, so that files are as many as tasks and not as chunks; a line without its
+end is not read, so that a chunk is whole or absent. On stores whose objects can't grow each line is a file. Whoever comes to
+the same chunk later, a retried task or a new run, takes the rows from there and calls nothing. `table` gives all rows as a
+DataFrame, and `compact` moves those of given documents into Parquet.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import uuid
+from collections.abc import Iterator
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,33 @@ def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
 
 
+def place(doc_id: int | None, chunk_no: int) -> tuple:
+    """A chunk's place in the order of documents, those without an id first."""
+    return doc_id is not None, doc_id or 0, chunk_no
+
+
+class Segment:
+    """The file to which a task appends; it is made with the first line."""
+
+    def __init__(self, files: pyarrow.fs.FileSystem, folder: str):
+        self.files, self.folder, self.out = files, folder, None
+
+    def add(self, doc_id, chunk_no: int, rows: list[dict]) -> None:
+        line = json.dumps({"doc_id": doc_id, "chunk_no": chunk_no, "rows": rows}, ensure_ascii=False, default=lambda t: t.isoformat())
+        if self.out is None:
+            self.files.create_dir(self.folder, recursive=True)
+            self.out = self.files.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}.json")
+        self.out.write((line + "\n").encode("utf-8", "surrogatepass"))
+        self.out.flush()
+        if self.files.type_name not in ("local", "hdfs"):
+            self.close()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+        self.out = None
+
+
 class AttemptLog:
     def __init__(self, folder: str, schema: str):
         self.folder, self.schema = folder.rstrip("/"), schema
@@ -28,60 +58,69 @@ class AttemptLog:
     def _files(self, path: str) -> tuple[pyarrow.fs.FileSystem, str]:
         return opened(f"{self.folder}/{path}")
 
-    def chunks(self, doc_id) -> dict[int, list[dict]]:
-        """Chunk number -> committed rows of a document."""
-        files, path = self._files(f"chunks/{doc_id}")
-        found = files.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
-        out = {}
-        for file in found:
-            if not file.base_name.startswith("_"):
-                rows = files.open_input_stream(file.path).read().decode("utf-8").splitlines()
-                out[int(file.base_name.removesuffix(".json"))] = [json.loads(row) for row in rows]
-        return out
+    def segment(self, part: str) -> Segment:
+        return Segment(*self._files(f"chunks/{part}"))
 
-    def commit(self, doc_id, chunk_no: int, rows: list[dict]) -> None:
-        files, folder = self._files(f"chunks/{doc_id}")
-        files.create_dir(folder, recursive=True)
-        part = f"{folder}/_{uuid.uuid4().hex}"
-        with files.open_output_stream(part) as out:
-            out.write("\n".join(json.dumps(row, ensure_ascii=False, default=lambda t: t.isoformat()) for row in rows).encode("utf-8", "surrogatepass"))
-        files.move(part, f"{folder}/{chunk_no}.json")
+    def earlier(self, part: str) -> Iterator[tuple[tuple, list[dict]]]:
+        """The place and the rows of each chunk that earlier tries of a part have committed, in order: a try goes through its
+        chunks in order, so its lines are merged and never held."""
+        files, path = self._files(f"chunks/{part}")
 
-    def reopen(self, chunks: DataFrame) -> None:
-        """Forget the rows of these chunks (`doc_id`, `chunk_no`), so that they are asked for again."""
+        def lines(file):
+            rest = b""
+            with files.open_input_stream(file.path) as stream:
+                while block := stream.read(1 << 20):
+                    *whole, rest = (rest + block).split(b"\n")
+                    for line in whole:
+                        found = json.loads(line.decode("utf-8", "surrogatepass"))
+                        yield place(found["doc_id"], found["chunk_no"]), found["rows"]
 
-        def forget(parts):
-            for part in parts:
-                for doc_id, chunk_no in zip(part["doc_id"], part["chunk_no"], strict=True):
-                    files, path = self._files(f"chunks/{doc_id}/{chunk_no}.json")
-                    if files.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
-                        files.delete_file(path)
-                yield part
+        found = files.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
+        return heapq.merge(*map(lines, found), key=lambda x: x[0])
 
-        chunks.select("doc_id", "chunk_no").mapInPandas(forget, "doc_id long, chunk_no int").agg(F.count("*")).collect()
+    def chunks(self, doc_id) -> dict[int, list[dict]]:
+        """Chunk number -> rows of a document that was committed by itself."""
+        return {key[2]: rows for key, rows in self.earlier(str(doc_id))}
+
+    def commit(self, doc_id, chunk_no: int, rows: list[dict]) -> None:
+        """Commit a chunk by itself, to a part of its document's name."""
+        segment = self.segment(str(doc_id))
+        segment.add(doc_id, chunk_no, rows)
+        segment.close()
+
+    def _read(self, spark: SparkSession, name: str) -> DataFrame:
+        files, path = self._files(name)
+        files.create_dir(path, recursive=True)
+        row = spark.createDataFrame([], self.schema).schema.simpleString()
+        reader = spark.read.schema(f"doc_id long, chunk_no int, rows array<{row}>")
+        if name == "done":
+            return reader.parquet(f"{self.folder}/done")
+        return reader.option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").json(f"{self.folder}/chunks")
+
+    def records(self, spark: SparkSession) -> DataFrame:
+        """`doc_id`, `chunk_no` and `rows` of each chunk once, the latest if it was committed again."""
+        every = self._read(spark, "chunks").unionByName(self._read(spark, "done"))
+        return every.groupBy("doc_id", "chunk_no").agg(F.max_by("rows", F.element_at("rows", -1)["ts"]).alias("rows"))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """All rows, each (document, chunk, attempt) once: a chunk may be in both places if a run ended while it was moved."""
-        for name in ("chunks", "done"):
-            files, path = self._files(name)
-            files.create_dir(path, recursive=True)
-        wanted = spark.createDataFrame([], self.schema).schema
-        rows = spark.read.schema(wanted).option("recursiveFileLookup", "true").json(f"{self.folder}/chunks")
-        return rows.unionByName(spark.read.schema(wanted).parquet(f"{self.folder}/done")).dropDuplicates(["doc_id", "chunk_no", "attempt_no"])
+        """All rows, each (document, chunk, attempt) once."""
+        return self.records(spark).select(F.explode("rows").alias("r")).select("r.*")
 
     def compact(self, documents: DataFrame) -> None:
-        """Move the rows of these documents (`doc_id`) from their files into Parquet. No run may use them meanwhile."""
-        spark = documents.sparkSession
-        wanted = spark.createDataFrame([], self.schema).schema
-        rows = spark.read.schema(wanted).option("recursiveFileLookup", "true").json(f"{self.folder}/chunks")
-        rows.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").write.mode("append").parquet(f"{self.folder}/done")
+        """Put the rows of these documents (`doc_id`) into Parquet and remove the parts that hold rows of no other document.
+        Rows in both places count once. No run may use the log meanwhile."""
+        spark, documents = documents.sparkSession, documents.select("doc_id").distinct()
+        rows = self._read(spark, "chunks").join(documents, "doc_id", "left_semi")
+        rows.join(self._read(spark, "done").select("doc_id", "chunk_no"), ["doc_id", "chunk_no"], "left_anti").write.mode("append").parquet(f"{self.folder}/done")
+        part = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        seen = self._read(spark, "chunks").select("doc_id", part.alias("part")).distinct().join(documents.withColumn("ended", F.lit(True)), "doc_id", "left")
+        spent = seen.groupBy("part").agg(F.count("*").alias("n"), F.count("ended").alias("ended")).where("n = ended").select("part")
 
         def forget(parts):
-            for part in parts:
-                for doc_id in part["doc_id"]:
-                    files, path = self._files(f"chunks/{doc_id}")
-                    if files.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
-                        files.delete_dir(path)
-                yield part
-
-        documents.select("doc_id").distinct().mapInPandas(forget, "doc_id long").agg(F.count("*")).collect()
+            for frame in parts:
+                for name in frame["part"]:
+                    files, path = self._files(f"chunks/{name}")
+                    files.delete_dir(path)
+                yield frame
+
+        spent.mapInPandas(forget, "part string").agg(F.count("*")).collect()

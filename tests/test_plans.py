@@ -145,3 +145,18 @@ def test_estimate_of_rows_that_share_an_id(spark):
     counts = spark.createDataFrame([(1, 3), (1, 1001), (2, 1000)], "doc_id long, pages int")
     found = lifecycle.estimate(counts, 600, cost.price_list(spark)).where("model_id = 'pro'").select("doc_id", "tokens")
     assert rows(found) == [(1, 3 * 12_000), (1, 1001 * 12_000), (2, 1000 * 12_000)]
+
+
+def test_log_has_a_file_for_each_task(spark, tmp_path):
+    """Documents that are not finished leave no file each, and a line without its end is not read."""
+    docs, analysis = docs_and_analysis(spark, 30)
+    calls, log = tmp_path / "calls", f"{tmp_path}/log"
+    calls.mkdir()
+    lifecycle.translate(docs, analysis, model_function(calls, fails=(".4 ",)), correct, limit=60, log=log)
+    held, files = AttemptLog(log, model.TRANSLATION), [f"{where}/{name}" for where, _, names in os.walk(f"{log}/chunks") for name in names if name.endswith(".json")]
+    assert 0 < len(files) <= 4 and held.table(spark).count() == 150
+    with open(files[0], "rb+") as last:
+        last.truncate(last.seek(-3, 2))
+    assert held.table(spark).count() == 149
+    part = files[0].split("/")[-2]
+    assert len(dict(held.earlier(part))) == sum(1 for _ in open(files[0])) - 1
