@@ -80,6 +80,10 @@ def _without_blocks(c: Column, name: str) -> Column:
 
 def strip_images(c: Column) -> Column:
     """Without <img> tags (lower case only) and <picture> and <svg> blocks (any case)."""
+    return F.when(c.rlike("(?i)<(?:img|picture|svg)"), _without_images(c)).otherwise(c)
+
+
+def _without_images(c: Column) -> Column:
     # behind the last > no tag ends, so no search goes there
     loose = lambda x: F.char_length(F.substring_index(x, ">", -1))
     bare = let(c, lambda x: F.concat(F.regexp_replace(F.left(x, F.char_length(x) - loose(x)), "<img[^>]*>", ""), F.right(x, loose(x))))

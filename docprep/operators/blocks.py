@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docprep.functions.text import escape_html, trim_ws
+from docprep.functions.text import escape_html, let, trim_ws
 
 from .ordered import in_order
 
@@ -42,6 +42,23 @@ def _fence_edges(lines: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: s["edges"])
 
 
+def _fenced(lines: Column) -> Column:
+    """For each line `open`, `code` or `close` if it is part of fenced code, else null; the lines from each edge to the next
+    are made at once, so that this is linear in the lines."""
+    none = F.lit(None).cast("string")
+
+    def upto(edges: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(edges, i - 1)["n"], F.lit(-1))
+            return F.concat(F.array_repeat(F.when(e["edge"] == -1, "code"), e["n"] - before - 1), F.array(F.when(e["edge"] == 1, "open").otherwise("close")))
+
+        last = F.get(edges, F.size(edges) - 1)
+        rest = F.array_repeat(F.when(last["edge"] == 1, "code"), F.size(lines) - 1 - last["n"])
+        return F.when(F.size(edges) == 0, F.array_repeat(none, F.size(lines))).otherwise(F.concat(F.flatten(F.transform(edges, one)), rest))
+
+    return let(_fence_edges(lines), upto)
+
+
 def begins(kind: Column) -> Column:
     """Whether a line of this kind, under one of the kind `above`, begins a block; text goes on with a paragraph, an item or
     a quote."""
@@ -53,15 +70,13 @@ def begins(kind: Column) -> Column:
 def block_lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """The keys, `n`, `line`, `kind`, `block`, `level` for each line: kind is one of blank, atx, under, rule, quote, item,
     text, open, code, close; a block begins at its first line and blank lines go with the block before."""
-    split = docs.select(*keys, F.split(text, "\n", -1).alias("lines"))
-    rows = split.select(*keys, F.posexplode("lines").alias("n", "line"), F.lit(None).cast("int").alias("edge"))
-    edges = split.select(*keys, F.explode(_fence_edges(F.col("lines"))).alias("e")).select(*keys, "e.n", F.lit(None).cast("string").alias("line"), "e.edge")
-    doc = Window.partitionBy(*keys).orderBy("n", F.col("line").isNull())
-    met = rows.unionByName(edges).withColumn("edge", F.when(F.lead("n").over(doc) == F.col("n"), F.lead("edge").over(doc))).where("line IS NOT NULL")
+    # an outer generator, so that Spark does not split the text once more for a filter on the array
+    split = docs.select(*keys, F.explode_outer(F.array(F.split(text, "\n", -1))).alias("lines"))
+    rows = split.select(*keys, F.posexplode_outer(F.arrays_zip("lines", _fenced(F.col("lines")).alias("fenced"))).alias("n", "x"))
+    met = rows.select(*keys, "n", F.col("x.lines").alias("line"), F.col("x.fenced").alias("fenced")).where("line IS NOT NULL")
     doc = Window.partitionBy(*keys).orderBy("n")
-    inside = F.coalesce(F.sum("edge").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
     line = F.col("line")
-    shape = F.when(F.col("edge") == 1, "open").when(F.col("edge") == -1, "close").when(inside, "code").when(~line.rlike("\\S"), "blank")
+    shape = F.when(F.col("fenced").isNotNull(), F.col("fenced")).when(~line.rlike("\\S"), "blank")
     shape = shape.when(line.rlike(_ATX), "atx").when(line.rlike(_RULE), "rule").when(line.rlike(_QUOTE), "quote").when(line.rlike(_ITEM), "item").otherwise("text")
     seen = met.withColumn("shape", shape).withColumn("above", F.lag("shape").over(doc))
     own = F.when(begins(F.col("shape")), F.col("shape"))  # of the block that a line belongs to
@@ -96,15 +111,22 @@ def _paired(text: Column, mark: str, tag: str) -> Column:
     return F.regexp_replace(text, f"(?<![{one}]){mark}(?![\\s{one}])([^{one}]+)(?<![\\s]){mark}(?![{one}])", f"<{tag}>$1</{tag}>")
 
 
+#: What a text must hold for `inline` to change it.
+_READ = "[&<>\"'\\\\`!*~_\\[" + _HELD + "]|  \n"
+
+
 def inline(text: Column) -> Column:
     """HTML of a text's code spans, links, emphasis and hard breaks; images go."""
+    return F.when(text.rlike(_READ), _marked(text)).otherwise(text)
+
+
+def _marked(text: Column) -> Column:
     safe = escape_html(text)
     for mark, held in zip(_MARKS, _HELD, strict=True):
         safe = F.replace(safe, F.lit("\\" + mark), F.lit(held))
-    parts = F.split(safe, "`", -1)
     span = lambda x: F.concat(F.lit("<code>"), F.translate(x, _MARKS, _HELD), F.lit("</code>"))
-    last = F.size(parts) - 1
-    out = F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < last), span(x)).when(i % 2 == 1, F.concat(F.lit("`"), x)).otherwise(x)), "")
+    part = lambda last: lambda x, i: F.when((i % 2 == 1) & (i < last), span(x)).when(i % 2 == 1, F.concat(F.lit("`"), x)).otherwise(x)
+    out = let(F.split(safe, "`", -1), lambda parts: let(F.size(parts) - 1, lambda last: F.array_join(F.transform(parts, part(last)), "")))
     title = "(?:[ \t]+&quot;[^\n\\]]*&quot;)?"
     out = F.regexp_replace(out, f"!\\[[^\\[\\]]*\\]\\([^()\\s]*{title}\\)", "")
     out = F.regexp_replace(out, f"\\[([^\\[\\]]*)\\]\\(([^()\\s]*){title}\\)", '<a href="$2">$1</a>')
@@ -112,7 +134,8 @@ def inline(text: Column) -> Column:
     out = _paired(_paired(_paired(out, "[*]", "em"), "[*][*]", "strong"), "~~", "del")
     for mark, tag in (("__", "strong"), ("_", "em")):
         out = F.regexp_replace(out, f"(?<![\\w]){mark}(?![\\s_])([^_]+)(?<!\\s){mark}(?![\\w])", f"<{tag}>$1</{tag}>")
-    return F.translate(F.regexp_replace(out, "(?: {2,}|\\\\)\n *", "<br>\n"), _HELD, _MARKS)
+    broken = F.regexp_replace(out, "(?: {2,}|\\\\)\n *", "<br>\n")
+    return let(broken, lambda x: F.when(x.rlike(f"[{_HELD}]"), F.translate(x, _HELD, _MARKS)).otherwise(x))
 
 
 def _closed(stack: Column) -> Column:
@@ -137,8 +160,8 @@ def list_html(items: Column) -> Column:
     return F.aggregate(items, start, step, lambda s: F.concat(F.array_join(s["out"], ""), _closed(s["stack"])))
 
 
-def rendered(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The keys and `html` of a text's blocks."""
+def rendered(docs: DataFrame, keys: list[str], text: str, *others: str) -> DataFrame:
+    """The keys, the named other columns and `html` of a text's blocks."""
     lines = block_lines(docs, keys, text)
     kind, line = F.col("kind"), F.col("line")
     bare = F.when(kind == "atx", heading_text(line)).when(kind == "quote", F.regexp_replace(line, _QUOTE, "")).when(kind == "item", F.regexp_replace(line, _ITEM, "")).when(kind == "text", F.ltrim(line)).when(kind == "code", line)
@@ -159,7 +182,7 @@ def rendered(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     marker = F.regexp_extract("first", "^( *)([-*+]|[0-9]+)", 1)
     known = blocks.select(*keys, "block", is_item.alias("item"), html.alias("html"), F.char_length(marker).alias("indent"), F.when(F.col("first").rlike("^ *[0-9]"), "ol").otherwise("ul").alias("tag"))
     run = F.sum((~F.col("item") | ~F.coalesce(F.lag("item").over(order), F.lit(False))).cast("int")).over(order)
-    runs = known.withColumn("run", run).groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("block", "item", "indent", "tag", "html"))).alias("x"))
+    runs = known.withColumn("run", run).groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct("block", "item", "indent", "tag", "html"))).alias("x"))
     one = F.when(F.get("x", F.lit(0))["item"], list_html(F.col("x"))).otherwise(F.get("x", F.lit(0))["html"])
     whole = runs.select(*keys, "run", one.alias("part")).groupBy(*keys).agg(F.array_join(in_order("part", "run"), "").alias("html"))
-    return docs.select(*keys).join(whole, keys, "left").select(*keys, F.coalesce("html", F.lit("")).alias("html"))
+    return docs.select(*keys, *others).join(whole, keys, "left").select(*keys, *others, F.coalesce("html", F.lit("")).alias("html"))

@@ -45,8 +45,8 @@ def nonempty_chapters(chapters: DataFrame) -> DataFrame:
 
 def render_blocks(chapters: DataFrame) -> DataFrame:
     """`html` of a chapter's blocks; images are taken out."""
-    html = rendered(chapters, ["doc_id", "chapter_no"], "raw")
-    return chapters.select("doc_id", "chapter_no", "title").join(html, ["doc_id", "chapter_no"]).select("doc_id", "chapter_no", "title", strip_images(F.col("html")).alias("html"))
+    html = rendered(chapters, ["doc_id", "chapter_no"], "raw", "title")
+    return html.select("doc_id", "chapter_no", "title", strip_images(F.col("html")).alias("html"))
 
 
 def chapter_fallback(docs: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def in_order(value: Column | str, *keys: str) -> Column:
     """Aggregate: the group's values as an array in the order of `keys`; nulls stay out."""
     value = F.col(value) if isinstance(value, str) else value
-    kept = F.filter(F.array_sort(F.collect_list(F.struct(*keys, value.alias("v")))), lambda x: x["v"].isNotNull())
+    kept = F.filter(F.sort_array(F.collect_list(F.struct(*keys, value.alias("v")))), lambda x: x["v"].isNotNull())
     return F.transform(kept, lambda x: x["v"])
 
 

@@ -87,3 +87,21 @@ def test_parity(spark, source, target, edits, first):
     pairs = spark.createDataFrame([(1, 2, source, target)], "doc_id long, chunk_no int, source string, target string")
     [found] = quality.markdown_parity(pairs).collect()
     assert (found["doc_id"], found["chunk_no"], found["edits"], found["first_edit"], found["parity"]) == (1, 2, edits, first, edits == 0)
+
+
+def test_lines_are_read_once(spark):
+    """No second reading of the texts for their fences, and no second one of the chapters for their titles."""
+    docs = spark.createDataFrame([(1, "# a\nx"), (2, "b")], "doc_id long, markdown string").repartition("doc_id")
+    made = chapters.split_chapters(docs)
+    plan = chapters.render_blocks(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Join") == 1
+
+
+def test_code_of_fences_by_lines(spark):
+    text = "a\n```\n\n~~~\n````\nb\n~~~ x\nc\n```\n~~~\nd"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "```"), (4, None), (5, "x")], "doc_id long, markdown string")
+    found = {}
+    for r in sorted(blocks.block_lines(docs, ["doc_id"], "markdown").collect(), key=lambda r: (r["doc_id"], r["n"])):
+        found.setdefault(r["doc_id"], []).append(r["kind"])
+    assert found[1] == ["text", "open", "code", "code", "close", "text", "open", "code", "code", "close", "text"]
+    assert (found[2], found[3], found[5], 4 in found) == (["blank"], ["open"], ["text"], False)
