@@ -76,10 +76,15 @@ def glossary_compliance(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """For each glossary term that a source holds: whether the translation holds its target term.
 
     A term is found through its first characters, GRAM at most: a source is read once into its distinct runs of characters,
-    whatever the number of terms, and meets only the terms that begin with one of them. An empty term is in every source.
+    whatever the number of terms, and only the runs that begin a term of its document become rows, so what is shuffled
+    grows with the terms that are found and not with the characters of a source. An empty term is in every source.
     """
     head = F.left("source_term", F.lit(GRAM))
     sized = terms.where("source_term IS NOT NULL").select("doc_id", head.alias("gram"), "source_term", "target_term")
-    runs = pairs.select("doc_id", "chunk_no", "source", "target", F.explode(F.concat(F.array(F.lit("")), *[_grams(F.col("source"), n) for n in range(1, GRAM + 1)])).alias("gram"))
-    met = runs.join(sized, ["doc_id", "gram"]).where(F.contains("source", "source_term"))
+    heads = sized.groupBy("doc_id").agg(F.collect_set("gram").alias("heads"))
+    runs = F.concat(F.array(F.lit("")), *[_grams(F.col("source"), n) for n in range(1, GRAM + 1)])
+    # an outer generator: for the others Spark infers a filter on the array, which would build it twice
+    known = pairs.select("doc_id", "chunk_no", "source", "target").join(heads, "doc_id")
+    begun = known.select("doc_id", "chunk_no", "source", "target", F.explode_outer(F.array_intersect("heads", runs)).alias("gram"))
+    met = begun.where("gram IS NOT NULL").join(sized, ["doc_id", "gram"]).where(F.contains("source", "source_term"))
     return met.select("doc_id", "chunk_no", "source_term", "target_term", F.coalesce(F.contains("target", "target_term"), F.lit(False)).alias("complies"))

@@ -90,3 +90,25 @@ def test_terms_of_a_document_of_many_chunks(spark):
     found = {r["chunk_no"]: r["n"] for r in seen.select("chunk_no", F.size(F.split("glossary", "\n")).alias("n")).collect()}
     assert time.time() - began < 20
     assert found == {i: 4 * i + 1 for i in range(19_990, 20_000)}
+
+
+def test_only_runs_that_begin_a_term_are_rows(spark):
+    """The rows that meet the terms are those of their first characters, not those of all characters of a source."""
+    pairs = spark.createDataFrame([(1, 0, "abcdefgh xyz", "T")], "doc_id long, chunk_no int, source string, target string")
+    terms = spark.createDataFrame([(1, "cde", "T"), (1, "", "U"), (1, "zzz", "T"), (2, "abc", "T")], "doc_id long, source_term string, target_term string")
+    found = quality.glossary_compliance(pairs, terms)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "", "U", False), (1, 0, "cde", "T", True)]
+    generated = []
+
+    def visit(node):
+        if node.nodeName() == "Generate":
+            generated.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            visit(node.children().apply(k))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            visit(node.plan())
+
+    visit(found._jdf.queryExecution().executedPlan())
+    assert generated == [2]
