@@ -62,6 +62,7 @@ class Scratch:
     """
 
     _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_base(spark)}/docprep-{uuid.uuid4().hex}"
@@ -69,14 +70,18 @@ class Scratch:
         self._files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         self._files.deleteOnExit(folder)
 
-    def write(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
-        """Add the rows to a table, in folders by a column if `by` is given, and return the table."""
-        before = self.spark.conf.get(self._CLEANUP, "false")
-        self.spark.conf.set(self._CLEANUP, "true")
+    def write(self, name: str, df: DataFrame, by: str | None = None, parts: int = 0) -> DataFrame:
+        """Add the rows to a table, in folders by a column if `by` is given, and return the table. If `by` has up to `parts`
+        values, a task writes to all their files at once and does not sort its rows first."""
+        wanted = {self._CLEANUP: "true", self._WRITERS: str(parts)}
+        before = {key: self.spark.conf.get(key, None) for key in wanted}
         try:
+            for key, value in wanted.items():
+                self.spark.conf.set(key, value)
             df.write.mode("append").partitionBy(*[by] if by else []).parquet(f"{self.base}/{name}")
         finally:
-            self.spark.conf.set(self._CLEANUP, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -11,6 +11,9 @@ edges have one, so the work is split, all of it in rows that Spark groups and jo
    spans, joined with the pieces that they overlap and compared with the document's own words, so that the work is that of
    the spans, however long the source. Only what is equal word for word is removed.
 
+Rows get numbers in the order of their ids, so that a place (row and word) is one long: the first of a group is a minimum that
+is hashed, not sorted for, and hits, paths and spans are pairs of longs.
+
 Keys that many rows share (a passage in a third of all documents) are combined before the exchange, and the joins put the
 aggregate on the side that lets Spark split the others.
 """
@@ -34,6 +37,9 @@ ANCHOR_WORDS = 6
 PASSES = 4
 #: Edges of a piece of a path; a piece's words are those of its edges, so pieces share k - 1 words with the next.
 PIECE = 512
+#: Bits of a word's number in a place, which is row << WORD_BITS | word; rows are under 2 ** 32.
+WORD_BITS = 31
+_WORD = (1 << WORD_BITS) - 1
 #: Stands for a null id: before all others, and never smaller than itself.
 _NO_ID = -(1 << 63)
 
@@ -59,37 +65,50 @@ def _integers(part: pa.RecordBatch, name: str) -> np.ndarray:
     return part.column(name).to_numpy(zero_copy_only=False)
 
 
-def _places(part: pa.RecordBatch, b: Batch, at: np.ndarray) -> dict:
-    """id, th and word (within its text) of the words numbered `at` of a batch."""
-    doc = b.doc[at]
-    row = np.asarray(b.rows)[doc]
-    return {"id": _integers(part, "id")[row], "th": _integers(part, "th")[row], "at": (at - b.first_word[doc]).astype(np.int32)}
+def _word(b: Batch, at: np.ndarray) -> np.ndarray:
+    """Within its text, the number of each word numbered `at` in a batch."""
+    return (at - b.first_word[b.doc[at]]).astype(np.int64)
 
 
 def anchor_runs(rows: DataFrame, k: int) -> DataFrame:
-    """`id`, `th`, `at`, `n`, `a`: each run of n windows, from word `at` on, under one anchor."""
+    """`id`, `th`, `run` (at << WORD_BITS | n), `a`: each run of n windows, from word `at` on, under one anchor."""
 
     def run(parts):
         for part in parts:
+            ids, ths = _integers(part, "id"), _integers(part, "th")
             for b in batches(part.column("text").to_pylist()):
                 at, anchor = _anchors(b, k, min(ANCHOR_WORDS, k))
                 if len(at):
                     head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(at) != 1)]))
-                    n = np.diff(np.append(head, len(at))).astype(np.int32)
-                    yield _batch(_places(part, b, at[head]) | {"n": n, "a": anchor[head].view(np.int64)})
+                    n = np.diff(np.append(head, len(at))).astype(np.int64)
+                    row = np.asarray(b.rows)[b.doc[at[head]]]
+                    yield _batch({"id": ids[row], "th": ths[row], "run": _word(b, at[head]) << WORD_BITS | n, "a": anchor[head].view(np.int64)})
+
+    return rows.mapInArrow(run, "id long, th long, run long, a long")
 
-    return rows.mapInArrow(run, "id long, th long, at int, n int, a long")
+
+def numbered(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """`id`, `th`, `row`, `low`: the keys' numbers from 0, ordered by id and th, and the least number of the same id."""
+    dealt = keys.repartitionByRange("id", "th").sortWithinPartitions("id", "th").withColumn("m", F.monotonically_increasing_id())
+    ordered = scratch.write("ordered", dealt).withColumn("block", F.shiftright("m", 33))
+    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # of a row a partition
+    before = ordered.groupBy("block").count().select("block", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
+    rows = ordered.join(F.broadcast(before), "block").select("id", "th", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("row"))
+    rows = scratch.write("rows", split_join(rows, rows.groupBy("id").agg(F.min("row").alias("low")), ["id"]))
+    scratch.drop("ordered")
+    return rows
 
 
 def edges(rows: DataFrame, k: int) -> DataFrame:
-    """`id`, `th`, `at`, `h1`, `h2`: the windows in the `runs` (`at`, `n`) of each row."""
+    """`p`, `b`, `h1`, `h2`: the windows in the `runs` of each row, their places and the least place of a row of the same id."""
 
     def run(parts):
         for part in parts:
+            base, low = (_integers(part, c) << WORD_BITS for c in ("row", "low"))
             runs = part.column("runs")
             upto = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(runs).to_numpy(zero_copy_only=False))])
-            flat = runs.flatten()
-            at, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            flat = runs.flatten().to_numpy(zero_copy_only=False)
+            at, n = flat >> WORD_BITS, flat & _WORD
             for b in batches(part.column("text").to_pylist()):
                 first, last = b.rows[0], b.rows[-1] + 1
                 mine = slice(upto[first], upto[last])
@@ -100,9 +119,10 @@ def edges(rows: DataFrame, k: int) -> DataFrame:
                 pick = wanted[word]
                 if pick.any():
                     h2 = b.windows(k, second=True)[1][pick] >> np.uint64(32)
-                    yield _batch(_places(part, b, word[pick]) | {"h1": h1[pick].view(np.int64), "h2": h2.astype(np.uint32).view(np.int32)})
+                    row = np.asarray(b.rows)[b.doc[word[pick]]]
+                    yield _batch({"p": base[row] + _word(b, word[pick]), "b": low[row], "h1": h1[pick].view(np.int64), "h2": h2.astype(np.uint32).view(np.int32)})
 
-    return rows.mapInArrow(run, "id long, th long, at int, h1 long, h2 int")
+    return rows.mapInArrow(run, "p long, b long, h1 long, h2 int")
 
 
 def _joined(text: str | None) -> tuple[list[bytes], bytes, np.ndarray]:
@@ -168,60 +188,70 @@ def _one_a_key(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id", "th").agg(F.first("text").alias("text"))
 
 
-def sourced_spans(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """`id`, `th`, `span`, `at`, `n` (words), `sid`, `sth`, `sat`, `words` (at the source): the compacted spans, not yet
-    compared, a row for each piece of their path that they overlap; `span` is the first word of the whole span."""
+def _row(place: str) -> Column:
+    return F.shiftright(place, WORD_BITS)
+
+
+def _at(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit(_WORD)).cast("int")
+
+
+def sourced_spans(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """`row`, `span`, `at`, `n` (words), `s` (the source's place), `words` (at the source): the compacted spans, not yet
+    compared, a row for each piece of their path that they overlap; `span` is the first word of the whole span. And the
+    numbers of rows, `id`, `th`, `row`."""
     scratch, rows = Scratch(docs.sparkSession), docs.select(*_keys(docs, id_col, text_col))
     runs = scratch.write("runs", anchor_runs(rows, k))
     shared = scratch.write("shared", runs.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("a"))
-    found = scratch.write("found", split_join(runs, shared, ["a"]).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("runs")))
+    found = scratch.write("found", split_join(runs, shared, ["a"]).groupBy("id", "th").agg(F.collect_set("run").alias("runs")))
     scratch.drop("runs", "shared")
+    keys = numbered(found.select("id", "th"), scratch)
     part = F.pmod("h1", F.lit(PASSES)).cast("int").alias("part")
-    every = scratch.write("edges", edges(_one_a_key(rows).join(found, ["id", "th"]), k).select("*", part), by="part")
+    every = scratch.write("edges", edges(_one_a_key(rows).join(found.join(keys, ["id", "th"]), ["id", "th"]), k).select("*", part), by="part", parts=PASSES)
     scratch.drop("found")
-    place = F.struct("id", "th", "at")
     for p in range(PASSES):
         mine = every.where(F.col("part") == p).drop("part")
-        seen = mine.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max("id").alias("hi")).where("f.id < hi")
-        seen = scratch.write(f"first{p}", seen.select("h1", "h2", F.col("f.id").alias("sid"), F.col("f.th").alias("sth"), F.col("f.at").alias("sat")))
-        hits = scratch.write("hits", split_join(mine, seen, ["h1", "h2"]).where("sid < id").drop("h1", "h2"))
-        places = scratch.write("places", seen.drop("h1", "h2"))
+        first_of = mine.groupBy("h1", "h2").agg(F.min("p").alias("s"), F.max("b").alias("hi")).where("s < hi").drop("hi")
+        seen = scratch.write(f"first{p}", first_of)
+        hits = scratch.write("hits", split_join(mine, seen, ["h1", "h2"]).where("s < b").select("p", "s"))
+        places = scratch.write("places", seen.select("s"))
         scratch.drop(f"first{p}")
     scratch.drop("edges")
 
-    source = Window.partitionBy("sid", "sth").orderBy("sat")
-    starts = F.when(F.coalesce(F.col("sat") - F.lag("sat").over(source), F.lit(0)) != 1, F.col("sat"))
-    first = scratch.write("first", places.withColumn("head", starts).select("sid", "sth", "sat", F.last("head", ignorenulls=True).over(source).alias("path")))
+    source = Window.partitionBy("row").orderBy("s")
+    starts = F.when(F.coalesce(F.col("s") - F.lag("s").over(source), F.lit(0)) != 1, F.col("s"))
+    first = places.withColumn("row", _row("s")).withColumn("head", starts)
+    first = scratch.write("first", first.select("s", F.last("head", ignorenulls=True).over(source).alias("path")))
     scratch.drop("places")
-    here = Window.partitionBy("id", "th").orderBy("at")
-    follows = F.coalesce((F.col("at") - F.lag("at").over(here) == 1) & (F.col("sat") - F.lag("sat").over(here) == 1) & (F.lag("sid").over(here) == F.col("sid")) & (F.lag("sth").over(here) == F.col("sth")), F.lit(False))
-    marked = hits.withColumn("head", F.when(~follows, F.col("at"))).withColumn("span", F.last("head", ignorenulls=True).over(here))
-    spans = marked.groupBy("id", "th", "span", "sid", "sth").agg(F.min("sat").alias("sat"), (F.count("*") + k - 1).cast("int").alias("n"))
-    spans = scratch.write("spans", split_join(spans.withColumnRenamed("span", "at"), first, ["sid", "sth", "sat"]))
+    here = Window.partitionBy("row").orderBy("p")
+    follows = F.coalesce((F.col("p") - F.lag("p").over(here) == 1) & (F.col("s") - F.lag("s").over(here) == 1), F.lit(False))
+    marked = hits.withColumn("row", _row("p")).withColumn("head", F.when(~follows, F.col("p"))).withColumn("span", F.last("head", ignorenulls=True).over(here))
+    spans = marked.groupBy("row", "span").agg(F.min("s").alias("s"), (F.count("*") + k - 1).cast("int").alias("n"))
+    spans = scratch.write("spans", split_join(spans, first, ["s"]))
     scratch.drop("hits")
 
-    paths = first.groupBy("sid", "sth", "path").agg((F.max("sat") - F.col("path") + 1).alias("edges"))
+    paths = first.groupBy("path").agg((F.max("s") - F.col("path") + 1).alias("edges"))
     piece = F.explode(F.sequence(F.lit(0).cast("int"), F.floor((F.col("edges") - 1) / PIECE).cast("int"))).alias("piece")
-    pieces = paths.select("sid", "sth", "path", "edges", piece).withColumn("n", (F.least(F.lit(PIECE), F.col("edges") - F.col("piece") * PIECE) + k - 1).cast("int"))
-    pieces = pieces.withColumn("begin", F.col("path") + F.col("piece") * PIECE)
-    wanted = pieces.groupBy(F.col("sid").alias("id"), F.col("sth").alias("th")).agg(F.collect_list(F.struct("path", "piece", "begin", "n")).alias("p"))
-    read = _one_a_key(rows).join(wanted, ["id", "th"]).select("id", "th", "p", _path_words(F.col("text"), F.col("p.begin"), F.col("p.n")).alias("words"))
-    read = read.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.explode(F.arrays_zip("p.path", "p.piece", "words")).alias("z"))
-    read = read.select("sid", "sth", F.col("z.path").alias("path"), F.col("z.piece").alias("piece"), F.col("z.words").alias("words"))
+    pieces = paths.select("path", "edges", piece).withColumn("n", (F.least(F.lit(PIECE), F.col("edges") - F.col("piece") * PIECE) + k - 1).cast("int"))
+    pieces = pieces.withColumn("begin", _at("path") + F.col("piece") * PIECE)
+    wanted = pieces.groupBy(_row("path").alias("row")).agg(F.collect_list(F.struct("path", "piece", "begin", "n")).alias("p"))
+    read = _one_a_key(rows).join(wanted.join(keys, "row"), ["id", "th"]).select("p", _path_words(F.col("text"), F.col("p.begin"), F.col("p.n")).alias("words"))
+    read = read.select(F.explode(F.arrays_zip("p.path", "p.piece", "words")).alias("z")).select("z.path", "z.piece", "z.words")
 
     # edges of the span, counted from the start of the path, and those of them in each piece
-    lo, hi = F.col("sat") - F.col("path"), F.col("sat") - F.col("path") + F.col("n") - k
+    lo, hi = F.col("s") - F.col("path"), F.col("s") - F.col("path") + F.col("n") - k
     mine = spans.withColumn("piece", F.explode(F.sequence(F.floor(lo / PIECE).cast("int"), F.floor(hi / PIECE).cast("int"))))
     from_, upto = F.greatest(lo, F.col("piece") * PIECE), F.least(hi, F.col("piece") * PIECE + PIECE - 1)
-    mine = mine.select("id", "th", F.col("at").alias("span"), (F.col("at") + from_ - lo).alias("at"), (upto - from_ + k).cast("int").alias("n"), "sid", "sth", (F.col("sat") + from_ - lo).alias("sat"), "path", "piece")
+    mine = mine.select("row", _at("span").alias("span"), (_at("span") + from_ - lo).cast("int").alias("at"), (upto - from_ + k).cast("int").alias("n"), (F.col("s") + from_ - lo).alias("s"), "path", "piece")
     # a word holds no space, so a piece's words split at spaces
-    taken = F.array_join(F.slice(F.split("words", " "), (F.col("sat") - F.col("path") - F.col("piece") * PIECE + 1).cast("int"), F.col("n")), " ")
-    return scratch.write("sourced", split_join(mine, read, ["sid", "sth", "path", "piece"]).select("id", "th", "span", "at", "n", "sid", "sth", "sat", taken.alias("words")))
+    taken = F.array_join(F.slice(F.split("words", " "), (F.col("s") - F.col("path") - F.col("piece") * PIECE + 1).cast("int"), F.col("n")), " ")
+    return scratch.write("sourced", split_join(mine, read, ["path", "piece"]).select("row", "span", "at", "n", "s", taken.alias("words"))), keys.select("id", "th", "row")
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, carry: bool) -> DataFrame:
     """`id`, `cut` (n_words, n_removed, kept) and, if `carry`, the columns of docs as c0, c1, .. of every row."""
-    spans = sourced_spans(docs, id_col, text_col, k).groupBy("id", "th").agg(F.collect_list(F.struct("at", "words")).alias("s"))
+    found, keys = sourced_spans(docs, id_col, text_col, k)
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("at", "words")).alias("s")).join(keys, "row").drop("row")
     rows = docs.select(*_keys(docs, id_col, text_col), *[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if carry])
     return split_join(rows, spans, ["id", "th"], "left").withColumn("cut", _cut(k)(F.col("text"), F.col("s.at"), F.col("s.words")))
 
@@ -258,12 +288,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append([_equal_words(words, line, begin, int(a), s, k) == [(a, a + s.count(" ") + 1)] for a, s in zip(starts, source, strict=True)])
         return pd.Series(out)
 
-    spans = sourced_spans(docs, id_col, text_col, k).groupBy("id", "th").agg(F.collect_list(F.struct("span", "at", "n", "sid", "sth", "sat", "words")).alias("s"))
+    found, keys = sourced_spans(docs, id_col, text_col, k)
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("span", "at", "n", "s", "words")).alias("spans")).join(keys, "row").drop("row")
     rows = _one_a_key(docs.select(*_keys(docs, id_col, text_col))).join(spans, ["id", "th"])
-    each = rows.select("id", "th", F.explode(F.arrays_zip("s", equal(F.col("text"), F.col("s.at"), F.col("s.words")).alias("equal"))).alias("z")).select("id", "th", "z.s.*", "z.equal")
-    whole = each.groupBy("id", "th", "span", "sid", "sth").agg(F.min("sat").alias("sat"), (F.sum(F.col("n") - k + 1) + k - 1).cast("int").alias("n"), F.bool_and("equal").alias("equal")).where("equal")
+    each = rows.select("id", "th", F.explode(F.arrays_zip("spans", equal(F.col("text"), F.col("spans.at"), F.col("spans.words")).alias("equal"))).alias("z")).select("id", "th", "z.spans.*", "z.equal")
+    whole = each.groupBy("id", "th", "span", _row("s").alias("row")).agg(F.min("s").alias("s"), (F.sum(F.col("n") - k + 1) + k - 1).cast("int").alias("n"), F.bool_and("equal").alias("equal")).where("equal")
+    whole = whole.join(keys.select("row", F.col("id").alias("sid")), "row")
     ids = lambda c: F.nullif(F.col(c), F.lit(_NO_ID))
-    return whole.select(ids("id").alias(id_col), F.col("span").alias("first_word"), F.col("n").alias("n_words"), ids("sid").alias("source_id"), F.col("sat").alias("source_word"))
+    return whole.select(ids("id").alias(id_col), F.col("span").alias("first_word"), F.col("n").alias("n_words"), ids("sid").alias("source_id"), _at("s").alias("source_word"))
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docprep.llm import divergence, lexical, minmax
+from docprep.llm import divergence, lexical, minmax, substring
 from test_llm import WORDS, components_of, corpus, docs_of
 
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -213,3 +213,28 @@ def test_gallop_and_large_counts():
         assert a[here].tolist() == b[there].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
     count = np.array([0, 1, 10**13], dtype=np.int64)
     assert divergence.share(count, 10**13 + 7).tolist() == [1 + 10**9 * (int(c) + 2) // (10**13 + 7) for c in count]
+
+
+def test_substring_rows_are_numbered(spark):
+    """Numbers without gaps by id and th over several partitions; rows of one id know the least of theirs."""
+    keys = [(i // 3 if i < 60 else i, th) for i in range(200) for th in (i * 7919 % 101,)]
+    scratch = substring.Scratch(spark)
+    found = substring.numbered(spark.createDataFrame(keys, "id long, th long").repartition(7), scratch).collect()
+    assert [(r["id"], r["th"]) for r in sorted(found, key=lambda r: r["row"])] == sorted(keys)
+    assert sorted(r["row"] for r in found) == list(range(len(keys)))
+    assert all(r["low"] == min(x["row"] for x in found if x["id"] == r["id"]) for r in found)
+
+
+def test_substring_edges_are_hashed_not_sorted(spark, monkeypatch):
+    """The first place of an edge is found by a hashed minimum, without sorting the edges."""
+    plans, write = {}, substring.Scratch.write
+
+    def watched(self, name, df, by=None, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, name, df, by, **options)
+
+    monkeypatch.setattr(substring.Scratch, "write", watched)
+    text = " ".join(map(str, range(40)))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.deduplicate(docs).collect()} == {1: 0, 2: 40}
+    assert "SortAggregate" not in plans["first0"] and "HashAggregate" in plans["first0"]
