@@ -1,19 +1,18 @@
 """The same aggregates on streams; each equals its batch form once the stream has ended.
 
-What a stream keeps is bounded by its watermark: fragments of open chunks, and marks by which replays are known. What has
-been found so far is a table of current rows (`sources/current_table.py`), of which a batch rewrites the buckets it touches.
+What a stream keeps is bounded by its watermark: marks by which replays are known. What has been found so far, with the
+fragments of open chunks, is a table of current rows (`sources/current_table.py`), of which a batch rewrites the buckets it
+touches.
 Rows and their replays carry the same `event_time`; rows older than the watermark are left out, so a row counts once or, if
 it comes later than `delay` after younger ones, not at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docprep.sources.current_table import BUCKETS, CurrentTable
 
@@ -21,57 +20,39 @@ from docprep.sources.current_table import BUCKETS, CurrentTable
 DELAY = "10 minutes"
 
 
-def _draft(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, delay_ms: int) -> Iterator[pd.DataFrame]:
-    """Fragments that are new to a chunk, and its draft. A chunk that is whole keeps a mark without text, so that replays
-    change nothing; marks and chunks that stay open go at their time limit."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    seqs, texts, end, latest = state.get if state.exists else ([], [], -1, 0)
-    seqs, texts, now = list(seqs), list(texts), state.getCurrentWatermarkMs()
-    before, whole = len(seqs), end >= 0 and not seqs
-    known = set(seqs)
-    for part in parts:
-        when = part["event_time"].astype("datetime64[ms]").astype("int64")
-        for seq, text, last, ms in zip(part["seq"], part["text"], part["last"], when, strict=True):
-            if ms < now or whole:
-                continue
-            latest = max(latest, ms)
-            end = seq if last else end
-            if seq not in known:
-                known.add(seq)
-                seqs.append(int(seq))
-                texts.append(text if isinstance(text, str) else "")
-    if not seqs and not whole:
-        return
-    final = not whole and end >= 0 and len(seqs) == end + 1
-    if len(seqs) > before:
-        draft = "".join(t for _, t in sorted(zip(seqs, texts, strict=True)))
-        yield pd.DataFrame({"doc_id": [key[0]], "chunk_no": [key[1]], "fragments": [len(seqs)], "draft_text": [draft], "final": [final]})
-    state.update(([], [], int(end), int(latest)) if final or whole else (seqs, texts, int(end), int(latest)))
-    state.setTimeoutTimestamp(max(latest + delay_ms, now + 1))
-
-
 def stream_drafts(fragments: DataFrame, delay: str = DELAY) -> DataFrame:
-    """`doc_id`, `chunk_no`, `fragments`, `draft_text`, `final`: the draft of each chunk that a batch adds to.
+    """`doc_id`, `chunk_no`, `fragments`, `draft_text`, `final`, `parts`, `until` of each fragment that is not a replay;
+    `longest_draft` puts them together.
 
-    Fragments `seq` from 0, in any order, null ones empty; `last` marks a chunk's last one. The state is the fragments of
-    open chunks, which go once the chunk is whole, or no fragment of it has come for `delay`.
+    Fragments `seq` from 0, in any order, null ones empty; `last` marks a chunk's last one. The state is the numbers of the
+    fragments that came within `delay`, without texts.
     """
-    delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+    given = fragments.select(F.col("doc_id").cast("long"), F.col("chunk_no").cast("int"), F.col("seq").cast("int"), "text", F.coalesce("last", F.lit(False)).alias("last"), "event_time")
+    return fragment_drafts(given.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["doc_id", "chunk_no", "seq", "last"]))
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from _draft(key, parts, state, delay_ms)
 
-    given = fragments.select(F.col("doc_id").cast("long"), F.col("chunk_no").cast("int"), F.col("seq").cast("int"), "text", F.coalesce("last", F.lit(False)).alias("last"), "event_time")
-    return given.withWatermark("event_time", delay).groupBy("doc_id", "chunk_no").applyInPandasWithState(
-        run, "doc_id long, chunk_no int, fragments long, draft_text string, final boolean", "seqs array<int>, texts array<string>, end int, latest long", "update", GroupStateTimeout.EventTimeTimeout
-    )
+def fragment_drafts(fragments: DataFrame) -> DataFrame:
+    """Each fragment as a draft of one, which `longest_draft` adds to the others of its chunk."""
+    part = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
+    whole = F.col("last") & (F.col("seq") == 0)
+    return fragments.select("doc_id", "chunk_no", F.lit(1).cast("long").alias("fragments"), part["text"].alias("draft_text"), whole.alias("final"), F.array(part).alias("parts"), F.when(F.col("last"), F.col("seq")).alias("until"))
 
 
 def longest_draft(drafts: DataFrame) -> DataFrame:
-    """A draft only grows, so the one of the most fragments is current."""
-    return drafts.groupBy("doc_id", "chunk_no").agg(F.max_by(F.struct("fragments", "draft_text", "final"), "fragments").alias("r")).select("doc_id", "chunk_no", "r.*")
+    """The draft of each chunk: of all fragments that are there or, once all up to the last one are, of those, which nothing
+    changes any more. `parts` are the fragments (`seq`, `text`) of an open chunk, none of a whole one; `until` is the last."""
+    each = drafts.groupBy("doc_id", "chunk_no").agg(
+        F.max(F.when(F.col("final"), F.struct("fragments", "draft_text"))).alias("done"), F.array_sort(F.flatten(F.collect_list("parts"))).alias("sorted"), F.min("until").alias("until")
+    )
+    each = each.withColumn("parts", F.filter("sorted", lambda x, i: (i == 0) | (F.get("sorted", i - 1)["seq"] != x["seq"])))
+    upto = F.filter("parts", lambda x: x["seq"] <= F.col("until"))
+    each = each.withColumn("full", F.col("done").isNotNull() | F.coalesce(F.size(upto) == F.col("until") + 1, F.lit(False)))
+    used = F.when(F.col("full"), upto).otherwise(F.col("parts"))
+    text = F.array_join(F.transform(used, lambda x: x["text"]), "")
+    return each.select(
+        "doc_id", "chunk_no", F.coalesce("done.fragments", F.size(used).cast("long")).alias("fragments"), F.coalesce("done.draft_text", text).alias("draft_text"),
+        F.col("full").alias("final"), F.when(F.col("full"), F.slice("parts", 1, 0)).otherwise(F.col("parts")).alias("parts"), "until",
+    )
 
 
 def stream_progress(replies: DataFrame, delay: str = DELAY) -> DataFrame:

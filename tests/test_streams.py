@@ -52,6 +52,32 @@ def test_drafts(spark, tmp_path):
     assert max(counts) >= len(chunks) and counts[-1] <= 2
 
 
+def test_drafts_merge(spark):
+    """Drafts put together at once, or step by step in any order, are the same; what follows a whole chunk's last one is left out."""
+    rng, chunks = random.Random(3), {0: ["a", None, "c"], 1: ["x", "y"], 2: ["z"], 3: ["o", "p", "q"]}
+    sent = [(5, c, seq, text, c != 3 and seq == len(parts) - 1, START) for c, parts in chunks.items() for seq, text in enumerate(parts)]
+    sent.append((5, 1, 7, "beyond", False, START))
+    schema = "doc_id long, chunk_no int, seq int, text string, last boolean, event_time timestamp"
+    want = {0: ("ac", True), 1: ("xy", True), 2: ("z", True), 3: ("opq", False)}
+    rows = lambda part: streams.fragment_drafts(spark.createDataFrame(part, schema))
+    for _ in range(2):
+        rng.shuffle(sent)
+        found = streams.longest_draft(rows(sent))
+        steps = streams.longest_draft(streams.longest_draft(rows(sent[:4])).unionByName(rows(sent[4:])))
+        for df in (found, steps):
+            got = df.collect()
+            assert {r["chunk_no"]: (r["draft_text"], r["final"]) for r in got} == want
+            assert all(bool(r["parts"]) != r["final"] for r in got)
+
+
+def test_drafts_have_no_python_state(spark, tmp_path):
+    """The state is kept by Spark's own deduplication, a row a fragment, not by a Python call for each chunk."""
+    schema = "doc_id long, chunk_no int, seq int, text string, last boolean, event_time timestamp"
+    stream = streams.stream_drafts(arrive(spark, [(1, 0, 0, "a", True, START)], schema, tmp_path))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "PandasWithState" not in plan and "DeduplicateWithinWatermark" in plan
+
+
 def test_progress(spark, tmp_path):
     schema = "doc_id long, batch_no int, text string, total long, event_time timestamp"
     rows = [(d, b, None if (d + b) % 4 == 0 else f"t{b}", 5 + d % 2, START + datetime.timedelta(minutes=b)) for d in range(20) for b in range(5)]
