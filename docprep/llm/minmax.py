@@ -10,9 +10,10 @@ Work grows with the members of a group, not with their pairs:
 1. Equal sets are one entry, a class. Candidates carry names and one byte of each signature value, which rules out pairs
    whose agreement lies more than five standard deviations under the limit. What is left of a band's bucket is not listed
    as pairs, only connected: all members with the least one, then, where members stay apart, within pairs of blocks.
-2. The components of that are clusters; a pair that is similar enough lies in one cluster. Each text is sent to its
-   cluster once, or in a cluster of more than BLOCK_BYTES once for each block. There members that are not connected yet are
-   compared on their whole sets, and a spanning forest of the true links comes out.
+2. The components of that are clusters, the second part being searched among the roots of the first; a pair that is
+   similar enough lies in one cluster. Each text is sent to its cluster once, or in a cluster of more than BLOCK_BYTES once
+   for each block. There members that are not connected yet are compared on their whole sets, and what true links connect
+   comes out as stars around the least name, which are the components already unless a cluster has several blocks.
 3. The components of the true links are the result.
 """
 
@@ -111,32 +112,32 @@ def _likely(percent: int):
 
 
 def _with_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs `a`, `b` that sizes and sketches do not rule out."""
+    """The pairs `a`, `b`, with their further columns, that sizes and sketches do not rule out."""
     left, right = (sketches.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("bytes").alias(f"bytes{c}")) for c in "ab")
     both = split_join(split_join(pairs, right, ["b"]), left, ["a"]).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.where(_likely(percent)(F.col("bytesa"), F.col("bytesb"))).select("a", "b")
+    return both.where(_likely(percent)(F.col("bytesa"), F.col("bytesb"))).select(*pairs.columns)
 
 
 def _joined_in_blocks(many: DataFrame, percent: int) -> DataFrame:
-    """`a`, `b`: for the members (`slot`, `m`, `name`, `root`, `n`, `bytes`) of large buckets a forest over the pairs that
-    are not ruled out, by pairs of blocks."""
+    """`a`, `b`: for the members (`slot`, `m`, `name`, `root`, `n`, `bytes`) of large buckets the roots of a forest over the
+    pairs that are not ruled out, by pairs of blocks."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = many.withColumn("mine", F.pmod(F.xxhash64("name"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    own = ("name", "root", "n", "bytes")
+    own = ("root", "n", "bytes")
     low = dealt.where("mine <= other").select("slot", "mine", "other", *own)
     high = dealt.where("other <= mine").select(F.col("slot").alias("s"), F.col("other").alias("o"), F.col("mine").alias("i"), *[F.col(c).alias(c) for c in own])
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(x) and len(y):
-            names, roots = np.concatenate([x.name, y.name]), np.concatenate([x.root, y.root])
+            roots = np.concatenate([x.root, y.root])
             label = np.unique(roots, return_inverse=True)[1]
             bytes_y, n_y, right = _rows(y.bytes), y.n.to_numpy(), len(x)
             for i, (row, n) in enumerate(zip(_rows(x.bytes), x.n, strict=True)):
                 near = np.flatnonzero((label[right:] != label[i]) & (np.minimum(n_y, n) * 100 >= np.maximum(n_y, n) * percent))
                 near = near[(bytes_y[near] == row).sum(axis=1) >= least_agreement(percent)]
                 groups, first = np.unique(label[right + near], return_index=True)
-                out += [(int(names[i]), int(names[right + j])) for j in near[first]]
+                out += [(int(roots[i]), int(roots[right + j])) for j in near[first]]
                 label[np.isin(label, groups)] = label[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -168,9 +169,18 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def forest(left: _Side, right: _Side, percent: int) -> list[tuple[int, int]]:
-    """True links between two sides, or within one if both are the same, that connect all that their true links connect."""
-    same, out = left is right, []
+def _stars(names, label: np.ndarray) -> list[tuple[int, int]]:
+    """The least name of each group of one label with each other name of it."""
+    names = np.array(names, dtype=np.int64)
+    order = np.lexsort((names, label))
+    first = np.flatnonzero(np.append(True, np.diff(label[order]) != 0)[: len(order)])
+    least = np.repeat(names[order][first], np.diff(np.append(first, len(order))))
+    return [(int(a), int(b)) for a, b in zip(least, names[order], strict=True) if a != b]
+
+
+def linked(left: _Side, right: _Side, percent: int) -> list[tuple[int, int]]:
+    """Stars of what the true links between two sides connect, or those within one if both are the same."""
+    same = left is right
     label = np.arange(len(left.names)) if same else np.arange(len(left.names) + len(right.names))
     there = label if same else label[len(left.names) :]  # a view, so that it changes with the labels
     for i, mine in enumerate(left.sets):
@@ -188,16 +198,15 @@ def forest(left: _Side, right: _Side, percent: int) -> list[tuple[int, int]]:
             both = int(counts[j]) if counts is not None else _overlap(mine, right.sets[j])
             tried += 1
             if both * 100 >= (int(n) + int(right.sizes[j]) - both) * percent:
-                out.append((left.names[i], right.names[j]))
                 label[label == there[j]] = label[i]
                 near = near[there[near] != label[i]]
             else:
                 near = near[1:]
-    return out
+    return _stars(left.names if same else left.names + right.names, label)
 
 
 def _verified(members: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
-    """`a`, `b`: a forest of the true links in each `cluster` of members (`name`, `size`, `bytes`, `text`)."""
+    """`a`, `b`: stars of what true links connect in each `cluster` of members (`name`, `size`, `bytes`, `text`)."""
     total = members.groupBy("cluster").agg(F.sum("size").alias("total"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int")
     sized = scratch.write("members", split_join(members, total, ["cluster"]).withColumn("blocks", blocks).select("cluster", "blocks", "name", "bytes", "text"))
@@ -207,7 +216,7 @@ def _verified(members: DataFrame, shingle: int, percent: int, scratch: Scratch)
         for _, group in itertools.groupby(rows, key=lambda row: row[0]):
             _, names, sketches, texts = zip(*group, strict=True)
             side = _Side(names, sketches, texts, shingle)
-            yield pd.DataFrame(forest(side, side, percent), columns=["a", "b"]).astype("int64")
+            yield pd.DataFrame(linked(side, side, percent), columns=["a", "b"]).astype("int64")
 
     whole = sized.where("blocks = 1").select("cluster", "name", "bytes", "text").repartition("cluster").sortWithinPartitions("cluster")
     links = scratch.write("links", whole.mapInPandas(small, "a long, b long"))
@@ -223,7 +232,7 @@ def _verified(members: DataFrame, shingle: int, percent: int, scratch: Scratch)
         out = []
         if len(x) and (len(y) or key[1] == key[2]):
             left = _Side(x.name, x.bytes, x.text, shingle)
-            out = forest(left, left if key[1] == key[2] else _Side(y.name, y.bytes, y.text, shingle), percent)
+            out = linked(left, left if key[1] == key[2] else _Side(y.name, y.bytes, y.text, shingle), percent)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return scratch.write("links", low.groupBy("cluster", "mine", "other").cogroup(high.groupBy("c", "o", "i")).applyInPandas(run, "a long, b long"))
@@ -258,18 +267,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = scratch.write("placed", split_join(placed, mixed, ["slot"]))
     scratch.drop("slots")
     left, right = (placed.where(F.col("m") <= DENSE_BUCKET).select("slot", F.col("name").alias(c), F.col("root").alias(f"root{c}")) for c in "ab")
-    few = left.join(right, "slot").where("a < b AND roota <> rootb").select("a", "b").distinct()
-    near = scratch.write("near", _with_sketches(few, sketches, percent))
+    few = left.join(right, "slot").where("a < b AND roota <> rootb").select("a", "b", "roota", "rootb").distinct()
+    joins = scratch.write("joins", _with_sketches(few, sketches, percent).select(F.col("roota").alias("a"), F.col("rootb").alias("b")))
     many = placed.where(F.col("m") > DENSE_BUCKET)
     if not many.isEmpty():
-        near = scratch.write("near", _joined_in_blocks(many.join(sketches, "name"), percent))
+        joins = scratch.write("joins", _joined_in_blocks(many.join(sketches, "name"), percent))
     scratch.drop("placed")
 
-    clusters = connected_components(near).select(F.col("node").alias("name"), F.col("root").alias("cluster"))
+    tops = connected_components(joins).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    clusters = roots.join(tops, "root", "left").select("name", F.coalesce("top", "root").alias("cluster"))
+    single = tops.select(F.col("root").alias("name"), F.col("top").alias("cluster")).join(roots, "name", "left_anti")
+    clusters = clusters.unionByName(single)
     keys = classes.join(clusters, "name").select("name", "cluster", "bytes", F.col("row.size").alias("size"), F.col("row.id").alias("key"), F.col("row.th").alias("key_th"))
     found = rows.withColumn("th", th).join(keys, F.col("id").eqNullSafe(F.col("key")) & (F.col("th") == F.col("key_th")))
     links = _verified(found.select("cluster", "name", "size", "bytes", "text").dropDuplicates(["name"]), shingle, percent, scratch)
-    scratch.drop("near", "members")
+    scratch.drop("near", "joins", "members")
 
     true = connected_components(links).select(F.col("node").alias("name"), "root")
     rooted = classes.select("name", "first").join(true, "name", "left").withColumn("root", F.coalesce("root", "name"))

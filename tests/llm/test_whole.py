@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docprep.llm import minmax
+from docprep.llm import components, minmax
 from test_llm import WORDS, components_of, corpus, docs_of
 
 
@@ -78,3 +78,19 @@ def test_pipeline_of_empty_and_null_tables(spark, tmp_path, texts):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() <= len(texts)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """What links of one-block clusters give are stars already, and the components of stars are read off."""
+    written, write = [], components.Scratch.write
+    monkeypatch.setattr(components.Scratch, "write", lambda self, name, *a, **k: (written.append(name), write(self, name, *a, **k))[1])
+    edges = [(9, 1), (1, 4), (7, 1), (3, 2), (8, 2)]
+    found = {tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {(1, 1), (9, 1), (4, 1), (7, 1), (2, 2), (3, 2), (8, 2)} and written == ["e0", "ends0"]
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*(f"x{i}" for i in range(n)), *words[n:]]) for n in (0, 5, 10, 15, 20)]
+    written.clear()
+    assert [r["doc_id"] for r in minmax.keep_first(docs_of(spark, texts)).collect()] == [0]
+    assert written[written.index("links") :] == ["links", "e0", "ends0"]
+    side = minmax._Side([5, 3, 4, 9, 7], [bytes(160)] * 5, ["a b c d", "A b c d", "x y z", "a b c D", "q r s"], 3)
+    assert sorted(minmax.linked(side, side, 85)) == [(3, 5), (3, 9)]
