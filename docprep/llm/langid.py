@@ -159,12 +159,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     order = ("h", "id", "th")
     each = Window.partitionBy("lang").orderBy(*order)
     keys = rows.select("id", "lang", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("th")).withColumn("r", F.row_number().over(each)).where(F.col("r") <= SAMPLE_PER_LANGUAGE)
-    picked = keys.orderBy("r", "lang", *order).limit(MAX_SAMPLE).select("id", "th", "lang", "h").distinct().collect()
-    wanted = docs.sparkSession.createDataFrame(picked, f"kid {dict(rows.dtypes)['id']}, kth long, klang string, h long")
+    # not collected and sent back: rows of the driver go through a second pool of Python workers, which stays
+    wanted = durable(keys.orderBy("r", "lang", *order).limit(MAX_SAMPLE).select(F.col("id").alias("kid"), F.col("th").alias("kth"), F.col("lang").alias("klang"), "h").distinct())
+    n_langs = wanted.select("klang").distinct().count()
     same = F.col("id").eqNullSafe(F.col("kid")) & (F.xxhash64("text") == F.col("kth")) & (F.col("lang") == F.col("klang"))
     found = rows.join(F.broadcast(wanted), same).select("id", F.col("kth").alias("th"), "h", "lang", "text")
     sample = durable(found.dropDuplicates(["id", "th", "lang"]))  # at most MAX_SAMPLE rows
-    n_each = max(1, min(LANDMARKS_PER_LANGUAGE, MAX_LANDMARKS // max(1, len({r["lang"] for r in picked}))))
+    n_each = max(1, min(LANDMARKS_PER_LANGUAGE, MAX_LANDMARKS // max(1, n_langs)))
     longer = F.char_length("text") > LANDMARK_CHARS
     apt = Window.partitionBy("lang").orderBy(longer, *order)
     chosen = sample.withColumn("r", F.row_number().over(apt)).where((F.col("r") == 1) | (F.col("r") <= n_each) & ~longer)

@@ -253,7 +253,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, k: int, carry: bool) ->
     found, keys = sourced_spans(docs, id_col, text_col, k)
     spans = found.groupBy("row").agg(F.collect_list(F.struct("at", "words")).alias("s")).join(keys, "row").drop("row")
     rows = docs.select(*_keys(docs, id_col, text_col), *[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if carry])
-    return split_join(rows, spans, ["id", "th"], "left").withColumn("cut", _cut(k)(F.col("text"), F.col("s.at"), F.col("s.words")))
+    # not deterministic where rows are carried, or a filter of them and their columns would each cut every text
+    cut = _cut(k).asNondeterministic() if carry else _cut(k)
+    return split_join(rows, spans, ["id", "th"], "left").withColumn("cut", cut(F.col("text"), F.col("s.at"), F.col("s.words")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docprep.llm import components, minmax
+from docprep.llm import components, minmax, substring
 from test_llm import WORDS, components_of, corpus, docs_of
 
 
@@ -94,3 +94,24 @@ def test_stars_take_no_round(spark, monkeypatch):
     assert written[written.index("links") :] == ["links", "e0", "ends0"]
     side = minmax._Side([5, 3, 4, 9, 7], [bytes(160)] * 5, ["a b c d", "A b c d", "x y z", "a b c D", "q r s"], 3)
     assert sorted(minmax.linked(side, side, 85)) == [(3, 5), (3, 9)]
+
+
+def test_language_has_one_pool_of_workers(spark, monkeypatch):
+    """Rows that the driver sends start Python workers apart from those of Arrow batches, which stay beside them."""
+    docs = docs_of(spark, [f"{word} {word}s text {i}" for i in range(20) for word in ("house", "baum")]).select("doc_id", "text", F.element_at(F.array(F.lit("en"), F.lit("de")), (F.col("doc_id") % 2 + 1).cast("int")).alias("lang"))
+    expected = {r["doc_id"]: r["lang"] for r in docs.collect()}
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("rows sent by the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    out = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert out == expected
+
+
+def test_passages_cut_each_text_once(spark):
+    same = " ".join(f"w{i}" for i in range(20))
+    docs = docs_of(spark, [f"{same} a b", f"c {same}", same, None, "x"])
+    out = corpus_pipeline.drop_repeated_passages(spark, docs, "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["doc_id"]: r["text"] for r in substring.without_repeats(docs).collect()} == {0: f"{same} a b", 1: "c", 3: None, 4: "x"}
